@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from placefabric.llm.ngram_join import ngram_components
+from placefabric.llm.substring_dedup import substring_dedup
+from placefabric.llm.suffix_dedup import suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,5 +17,13 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(_table(spark, sf_dir, "documents"), width=3, num=90, den=100)
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join,)}
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(_table(spark, sf_dir, "documents"), length=400)
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(_table(spark, sf_dir, "documents"), length=50)
+
+
+QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op5_suffix_array_dedup, op6_substring_dedup)}
 ORACLES: dict[str, str] = {}
