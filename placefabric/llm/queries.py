@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from placefabric.llm.language_id import identify
 from placefabric.llm.ngram_join import ngram_components
+from placefabric.llm.secret_scan import secret_spans
 from placefabric.llm.substring_dedup import substring_dedup
 from placefabric.llm.suffix_dedup import suffix_dedup
 
@@ -25,5 +27,22 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents"), length=50)
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op5_suffix_array_dedup, op6_substring_dedup)}
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_table(spark, sf_dir, "documents"))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_spans(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_ngram_jaccard_join,
+        op5_suffix_array_dedup,
+        op6_substring_dedup,
+        op8_language_id,
+        op10_secret_scan,
+    )
+}
 ORACLES: dict[str, str] = {}
