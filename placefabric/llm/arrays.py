@@ -43,6 +43,14 @@ def space_table() -> np.ndarray:
     return t
 
 
+@cache
+def mark_table() -> np.ndarray:
+    """What separates words of ASCII letters, digits and all non-ASCII characters, in lower-cased text."""
+    t = np.ones(256, bool)
+    t[0x30:0x3A] = t[0x61:0x7B] = t[0x80:] = False
+    return t
+
+
 @cache
 def lower_table() -> np.ndarray:
     t = np.arange(256, dtype=np.uint8)
@@ -100,12 +108,12 @@ def chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         at = to
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words, and for each row the number of its first word (rows + 1 entries)."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words, and for each row the number of its first word (rows + 1 entries). apart: the table of separating bytes, else white space."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    space = space_table()[data]
+    space = (space_table() if apart is None else apart)[data]
     before = np.empty(n, bool)
     before[0], before[1:] = True, space[:-1]
     before[offsets[:-1][offsets[:-1] < n]] = True
@@ -116,11 +124,11 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, np.flatnonzero(after & ~space) + 1, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool, apart: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each word, and for each row the number of its first word."""
     if lower:
         data = lower_table()[data]
-    starts, ends, first = word_spans(data, offsets)
+    starts, ends, first = word_spans(data, offsets, apart)
     return span_hash(prefix_hash(byte_table()[data]), starts, ends), first
 
 

@@ -1,8 +1,8 @@
 """Language identification by compression.
 
 One raw-content zstandard dictionary for each language comes from a bounded sample of labelled texts. A text is encoded
-in pieces with every dictionary, and the language of the smallest total wins. The score is the relative margin of the
-best over the second, squashed to 0..1; a text whose margin is narrow is rejected.
+in pieces with every dictionary, and the language of the smallest total wins. Letters count alone,
+without case. The score is five times the relative margin of the best over the second, 1 at most; a text whose margin is narrow is rejected.
 """
 
 from __future__ import annotations
@@ -15,20 +15,28 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SAMPLE_DOCS = 400  # labelled texts of a language, at most about so many, chosen by hash
 SAMPLE_CHARS = 2_000  # of each
 DICTIONARY_BYTES = 96 << 10
-PIECE = 4_096  # code points encoded at once
-LEVEL = 1
+PIECE = 2_048  # code points encoded at once
+LEVEL = 5
 NARROW = 0.001  # relative margin under which a text is rejected
 _LETTER = re.compile(r"[^\W\d_]")
+_OTHERS = re.compile(r"[\W\d_]+")
+
+
+def letters(text: str) -> str:
+    """Lower case, everything but letters folded to single spaces."""
+    return _OTHERS.sub(" ", text.lower())
 
 
 def learn(labelled: DataFrame) -> dict[str, bytes]:
     """(doc_id, text, lang) -> a dictionary for each language. Null texts and languages are left out.
 
-    About SAMPLE_DOCS texts of a language, the ones of least hash, reach the driver, SAMPLE_CHARS of each.
+    About SAMPLE_DOCS texts of a language, the ones of least hash, reach the driver, SAMPLE_CHARS of each. The languages
+    with most texts stand first; the order decides ties.
     """
     rows = labelled.where("text is not null and lang is not null").select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)).alias("h"))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -46,30 +54,32 @@ def learn(labelled: DataFrame) -> dict[str, bytes]:
         for _, text in sorted(found):
             if size >= DICTIONARY_BYTES:
                 break
-            taken.append(text.encode())
+            taken.append(letters(text).encode())
             size += len(taken[-1])
-        out[lang] = b"\n".join(reversed(taken))[-DICTIONARY_BYTES:]  # what stands last is nearest
-    return out
+        out[lang] = b" ".join(reversed(taken))[-DICTIONARY_BYTES:]  # what stands last is nearest
+    return {lang: out[lang] for lang in sorted(out, key=lambda x: (-counts[x], x))}
 
 
 def classify(text: str | None, coders: list[tuple[str, zstandard.ZstdCompressor]]) -> tuple[str, float, float]:
     """(language, score, margin); `und` for null texts and texts without letters."""
     if not text or not coders or not _LETTER.search(text):
         return "und", 0.0, 0.0
+    text = letters(text)
     pieces = [text[i : i + PIECE].encode() for i in range(0, len(text), PIECE)]
-    sizes = sorted((sum(len(c.compress(p)) for p in pieces), lang) for lang, c in coders)
+    sizes = sorted((sum(len(c.compress(p)) for p in pieces), k) for k, (_, c) in enumerate(coders))
+    best = coders[sizes[0][1]][0]
     if len(sizes) == 1:
-        return sizes[0][1], 1.0, 1.0
+        return best, 1.0, 1.0
     margin = (sizes[1][0] - sizes[0][0]) / sizes[1][0]
-    return sizes[0][1], min(1.0, margin * 5), margin
+    return best, min(1.0, margin * 5), margin
 
 
 def coders(dictionaries: dict[str, bytes]) -> list[tuple[str, zstandard.ZstdCompressor]]:
     out = []
-    for lang in sorted(dictionaries):
-        d = zstandard.ZstdCompressionDict(dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        d.precompute_compress(level=LEVEL)
-        params = zstandard.ZstdCompressionParameters.from_level(LEVEL, write_content_size=False, write_dict_id=False)
+    params = zstandard.ZstdCompressionParameters.from_level(LEVEL, dict_size=DICTIONARY_BYTES, source_size=2 * PIECE, write_content_size=False, write_dict_id=False)
+    for lang, content in dictionaries.items():
+        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(compression_params=params)
         out.append((lang, zstandard.ZstdCompressor(dict_data=d, compression_params=params)))
     return out
 
@@ -91,10 +101,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
             cols = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[0] == "und" or f[2] < NARROW for f in found], pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*batch.schema.names, "lang_pred", "score", "rejected"])
 
-    schema = docs.schema
-    for name, kind in (("lang_pred", "string"), ("score", "double"), ("rejected", "boolean")):
-        schema = schema.add(name, kind)
-    return docs.mapInArrow(scan, schema)
+    return docs.mapInArrow(scan, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

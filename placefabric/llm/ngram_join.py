@@ -141,21 +141,6 @@ def _lists(num: int, den: int):
     return work
 
 
-def _ship(width: int):
-    """(doc, text, lists [(list, i, j)]) -> a row for each piece of work that needs the document's set."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, lists = batch.column(0), batch.column(2).to_pylist()
-            for at, to, data, offsets in chunks(batch.column(1)):
-                words, first = word_hashes(data, offsets, True)
-                rows = [(x["work"], x["i"], x["j"], x["own"], ids[row].as_py(), s.tobytes()) for row, s in enumerate(shingle_sets(words, first, width), at) for x in lists[row]]
-                for k in range(0, len(rows), 2000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 2000], strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["work", "i", "j", "own", "doc", "shingles"])
-
-    return scan
-
-
 class _Forest:
     def __init__(self, n: int):
         self.up = list(range(n))
@@ -215,17 +200,21 @@ def spanning_links(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int
     return found
 
 
-def _verify(num: int, den: int):
+def _verify(width: int, num: int, den: int):
+    """From a bucket of pieces of work (work, i, j, doc, text): the spanning links of each piece."""
+
     def work(table: pa.Table) -> pa.Table:
-        keys = np.stack([table[c].to_numpy() for c in ("work", "i", "j")])
-        docs, sets = table["doc"].to_numpy(), table["shingles"]
-        order = np.lexsort(keys)
-        at, to = runs(np.ascontiguousarray(keys[:, order].T).view([("", np.int64)] * 3).ravel())
+        keys = np.stack([table[c].to_numpy() for c in ("j", "i", "work")])
+        docs, order = table["doc"].to_numpy(), np.lexsort(keys)
+        keys = keys[:, order]
+        cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
         out: list[tuple[int, int]] = []
-        for a, b in zip(at.tolist(), to.tolist(), strict=True):
-            rows = order[a:b]
-            rows = rows[np.unique(docs[rows], return_index=True)[1]]
-            out += [(int(docs[rows[x]]), int(docs[rows[y]])) for x, y in spanning_links([np.frombuffer(sets[int(r)].as_py(), np.uint64) for r in rows], num, den)]
+        for rows in np.split(order, cuts):
+            if len(rows) > 1:
+                sets: list[np.ndarray] = []
+                for _, _, data, offsets in chunks(table["text"].take(pa.array(rows))):
+                    sets += shingle_sets(*word_hashes(data, offsets, True), width)
+                out += [(int(docs[rows[x]]), int(docs[rows[y]])) for x, y in spanning_links(sets, num, den)]
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     return work
@@ -258,14 +247,13 @@ def ngram_components(docs: DataFrame, width: int = 5, num: int = 8, den: int = 1
     counts = listed.groupBy("list").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     listed = listed.join(counts, "list").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     pieces = listed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pieces = pieces.select("doc", "size", F.struct(F.col("list").alias("work"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own").alias("x"))
-    by_doc = pieces.groupBy("doc").agg(F.collect_list("x").alias("lists"), F.sum("size").alias("weight"))
-    by_doc = materialise(by_doc)
+    pieces = pieces.select("doc", "size", F.struct(F.col("list").alias("work"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).alias("piece"))
+    by_doc = materialise(pieces.groupBy("doc").agg(F.collect_list("piece").alias("pieces"), F.sum("size").alias("weight")))
     bytes_ = 8 * (by_doc.agg(F.sum("weight")).first()[0] or 0)
-    shipped = by_doc.join(docs, F.col("doc") == F.col("doc_id")).select("doc", "text", "lists")
-    shipped = shipped.mapInArrow(_ship(width), "work long, i int, j int, own int, doc long, shingles binary")
     tasks = max(least, bytes_ // BUCKET_BYTES)
-    links = shipped.withColumn("bucket", F.pmod(F.xxhash64("work", "i", "j"), F.lit(tasks))).groupBy("bucket").applyInArrow(_verify(num, den), "a long, b long")
+    # texts travel, not their sets: they take fewer bytes once compressed
+    shipped = by_doc.join(docs, F.col("doc") == F.col("doc_id")).select("doc", "text", F.explode("pieces").alias("piece")).select("piece.*", "doc", "text")
+    links = shipped.withColumn("bucket", F.pmod(F.xxhash64("work", "i", "j"), F.lit(tasks))).groupBy("bucket").applyInArrow(_verify(width, num, den), "a long, b long")
     nodes = components(links)
 
     classes = rows.where("size > 0 and doc_id is not null").groupBy("s1", "s2", "size").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("n"))

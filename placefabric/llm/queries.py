@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from placefabric.llm.decontaminate import find_leaks
 from placefabric.llm.language_id import identify
+from placefabric.llm.license_scan import license_scan
 from placefabric.llm.ngram_join import ngram_components
 from placefabric.llm.secret_scan import secret_spans
+from placefabric.llm.source_mix import mix_sources
 from placefabric.llm.substring_dedup import substring_dedup
 from placefabric.llm.suffix_dedup import suffix_dedup
 
@@ -15,10 +18,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(_table(spark, sf_dir, "documents"), width=3, num=90, den=100)
 
 
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents"))
+
+
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(_table(spark, sf_dir, "documents"), length=400)
 
@@ -31,6 +42,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(_table(spark, sf_dir, "documents"))
 
@@ -38,10 +53,13 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_benchmark_decontamination,
         op2_ngram_jaccard_join,
+        op3_source_mix,
         op5_suffix_array_dedup,
         op6_substring_dedup,
         op8_language_id,
+        op9_license_scan,
         op10_secret_scan,
     )
 }

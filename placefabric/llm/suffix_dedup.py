@@ -72,7 +72,7 @@ def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return z, common
 
 
-def repeated_suffixes(pieces: list[bytes], length: int, width: int = 50, shard_bytes: int = 4 << 20) -> list[np.ndarray]:
+def repeated_suffixes(pieces: list[bytes], length: int, width: int = 100, shard_bytes: int = 1 << 20) -> list[np.ndarray]:
     """For each piece, which of its windows of `length` bytes stand at two places or more of all pieces."""
     depth = length // width
     if depth * width != length:
