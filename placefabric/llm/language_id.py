@@ -23,6 +23,7 @@ DICTIONARY_BYTES = 96 << 10
 PIECE = 2_048  # code points encoded at once
 LEVEL = 5
 NARROW = 0.001  # relative margin under which a text is rejected
+ENOUGH = 40  # letters (with spaces) under which a margin says too little to reject
 _LETTER = re.compile(r"[^\W\d_]")
 _OTHERS = re.compile(r"[\W\d_]+")
 
@@ -60,18 +61,18 @@ def learn(labelled: DataFrame) -> dict[str, bytes]:
     return {lang: out[lang] for lang in sorted(out, key=lambda x: (-counts[x], x))}
 
 
-def classify(text: str | None, coders: list[tuple[str, zstandard.ZstdCompressor]]) -> tuple[str, float, float]:
-    """(language, score, margin); `und` for null texts and texts without letters."""
+def classify(text: str | None, coders: list[tuple[str, zstandard.ZstdCompressor]]) -> tuple[str, float, bool]:
+    """(language, score, rejected); `und` for null texts and texts without letters."""
     if not text or not coders or not _LETTER.search(text):
-        return "und", 0.0, 0.0
+        return "und", 0.0, True
     text = letters(text)
     pieces = [text[i : i + PIECE].encode() for i in range(0, len(text), PIECE)]
     sizes = sorted((sum(len(c.compress(p)) for p in pieces), k) for k, (_, c) in enumerate(coders))
     best = coders[sizes[0][1]][0]
     if len(sizes) == 1:
-        return best, 1.0, 1.0
+        return best, 1.0, False
     margin = (sizes[1][0] - sizes[0][0]) / sizes[1][0]
-    return best, min(1.0, margin * 5), margin
+    return best, min(1.0, margin * 5), margin < NARROW and len(text) >= ENOUGH
 
 
 def coders(dictionaries: dict[str, bytes]) -> list[tuple[str, zstandard.ZstdCompressor]]:
@@ -88,7 +89,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
     """Adds lang_pred, score and rejected to the rows of docs, whose column text it reads.
 
     The dictionaries are bounded (DICTIONARY_BYTES for each language) and travel with the function. Rejected: `und`, or
-    a margin under NARROW. Without any learned language every text is `und`.
+    a margin under NARROW in a text of ENOUGH letters. Without any learned language every text is `und`.
     """
     fields = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score", "rejected")]
     docs = docs.select([F.col(f"`{f.name}`") for f in fields])
@@ -98,7 +99,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
         own = coders(dictionaries)
         for batch in batches:
             found = [classify(t.as_py(), own) for t in batch.column(at)]
-            cols = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[0] == "und" or f[2] < NARROW for f in found], pa.bool_())]
+            cols = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*batch.schema.names, "lang_pred", "score", "rejected"])
 
     return docs.mapInArrow(scan, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]))

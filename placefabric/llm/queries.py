@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from placefabric.llm.decontaminate import find_leaks
+from placefabric.llm.edit_fingerprint import neighbour_fingerprints
 from placefabric.llm.language_id import identify
 from placefabric.llm.license_scan import license_scan
 from placefabric.llm.ngram_join import ngram_components
@@ -38,6 +39,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents"), length=50)
 
 
+def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbour_fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"))
 
@@ -58,6 +63,7 @@ QUERIES = {
         op3_source_mix,
         op5_suffix_array_dedup,
         op6_substring_dedup,
+        op7_document_fingerprints,
         op8_language_id,
         op9_license_scan,
         op10_secret_scan,
