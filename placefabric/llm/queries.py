@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from placefabric.llm.decontaminate import find_leaks
 from placefabric.llm.edit_fingerprint import neighbour_fingerprints
+from placefabric.llm.html_extract import extract
 from placefabric.llm.language_id import identify
 from placefabric.llm.license_scan import license_scan
 from placefabric.llm.ngram_join import ngram_components
@@ -31,6 +32,10 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(_table(spark, sf_dir, "documents"), length=400)
 
@@ -61,6 +66,7 @@ QUERIES = {
         op1_benchmark_decontamination,
         op2_ngram_jaccard_join,
         op3_source_mix,
+        op4_html_extraction,
         op5_suffix_array_dedup,
         op6_substring_dedup,
         op7_document_fingerprints,
