@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a reliable checkpoint in the folder the session names; one is set only where none is."""
-    context = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that the session names in spark.checkpoint.dir; one of our own only where none is set."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             import tempfile
 
             folder = tempfile.mkdtemp(prefix="placefabric-checkpoint-")  # a local session without the setting, as in tests
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Cuts lineage with a reliable checkpoint in the shared folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
