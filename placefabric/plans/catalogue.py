@@ -1,5 +1,8 @@
 """The catalogue of named queries with their oracles."""
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLES: dict = {}
+from placefabric.plans import geo_queries  # noqa: F401
+from placefabric.plans.registry import ORACLES, QUERIES
+
+FLAGSHIP = "alg4_fallback_feed"
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
