@@ -1,8 +1,8 @@
 """Jaccard join of documents on word n-grams, as a grouped prefix join, and the components of its links.
 
 Documents whose shingle sets have the same prefix and the same size form one group. An inverted index of prefix
-shingles proposes pairs of groups, sizes filter them, and only then are the groups expanded to their documents and the
-members verified on whole sets. Prefixes follow the order (frequency, hash), frequencies from a counting sketch of fixed
+shingles proposes pairs of groups; sizes and the number of prefix shingles that two groups share filter them, and only
+then are the groups expanded to their documents and the members verified on whole sets. Prefixes follow the order (frequency, hash), frequencies from a counting sketch of fixed
 size, so a shingle that very many documents share stands last and is in almost no prefix. Frequencies only shape the
 order: the result is exact for every sketch.
 
@@ -27,6 +27,7 @@ from placefabric.llm.exchange import Dealer, runs, unpack
 SKETCH = 1 << 20
 SKETCH_BLOCK = 1 << 16
 BLOCK = 4096
+SHORT = 64  # groups of a posting list whose pairs are counted; longer lists are verified as a whole
 BUCKET_BYTES = 24 << 20
 
 _POSTING = np.dtype([("token", "<u8"), ("group", "<u8"), ("size", "<u4")])
@@ -100,42 +101,62 @@ def _post(width: int, num: int, den: int, buckets: int, sketch):
 
 
 def _lists(num: int, den: int):
-    """From a bucket of postings: the lists of at least two groups of fitting sizes, one for each set of groups; and its groups' members."""
+    """From a bucket of postings: what its lists propose, and the members of its groups.
+
+    kind 0: (list, group) of long lists, one for each set of groups; kind 1: (group, document, size); kind 2: pairs of
+    groups with the number of shingles that they share in short lists.
+    """
 
     def work(table: pa.Table) -> pa.Table:
         p = unpack(table, 0, _POSTING)
         p = np.unique(p) if len(p) else p
-        at, to = runs(p["token"])
-        near = np.zeros(len(p), bool)  # sorted by token, group: sizes are compared in their own order
+        near = np.zeros(len(p), bool)
         order = np.lexsort((p["size"], p["token"]))
         token, size = p["token"][order], p["size"][order].astype(np.int64)
         fits = (token[1:] == token[:-1]) & (size[:-1] * den >= size[1:] * num)
         near[order[1:][fits]] = near[order[:-1][fits]] = True
         p = p[near]
         at, to = runs(p["token"])
-        lists, groups = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        lists, groups, pairs = np.zeros(0, np.uint64), np.zeros(0, np.uint64), [np.zeros((0, 4), np.int64)]
         if len(p):
-            h = mix(p["group"])
-            sums = np.add.reduceat(h, at) ^ mix((to - at).astype(np.uint64))
-            _, one = np.unique(sums, return_index=True)
-            n = to[one] - at[one]
-            lists = np.repeat(sums[one], n)
-            groups = p["group"][np.repeat(at[one], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+            group, size = p["group"].astype(np.int64), p["size"].astype(np.int64)
+            for m in np.unique(to - at).tolist():
+                if m <= SHORT:
+                    block = at[to - at == m][:, None] + np.arange(m)
+                    i, j = np.triu_indices(m, 1)
+                    left, right = block[:, i].ravel(), block[:, j].ravel()
+                    ok = np.minimum(size[left], size[right]) * den >= np.maximum(size[left], size[right]) * num
+                    pairs.append(np.stack((group[left[ok]], group[right[ok]], size[left[ok]], size[right[ok]]), axis=1))
+            long_ = to - at > SHORT
+            if long_.any():
+                sums = (np.add.reduceat(mix(p["group"]), at) ^ mix((to - at).astype(np.uint64)))[long_]
+                _, one = np.unique(sums, return_index=True)
+                first, n = at[long_][one], (to - at)[long_][one]
+                lists = np.repeat(sums[one], n)
+                groups = p["group"][np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        found = np.concatenate(pairs)
+        found = found[np.lexsort((found[:, 1], found[:, 0]))]
+        new = np.concatenate(([True], (found[1:, :2] != found[:-1, :2]).any(axis=1))) if len(found) else np.zeros(0, bool)
+        shared = np.diff(np.concatenate((np.flatnonzero(new), [len(found)])))
+        found = found[new]
         m = unpack(table, 1, _MEMBER)
         m = m[np.lexsort((m["doc"], m["sig"], m["group"]))]
         m = m[np.concatenate(([True], (m["sig"][1:] != m["sig"][:-1]) | (m["group"][1:] != m["group"][:-1])))] if len(m) else m
         at, to = runs(m["group"])
-        shared = np.repeat(to - at > 1, to - at)
-        lists = np.concatenate((lists, m["group"][shared]))  # a group of several classes is a list of its own
-        groups = np.concatenate((groups, m["group"][shared]))
-        pairs = np.unique(np.stack((lists, groups)), axis=1) if len(lists) else np.zeros((2, 0), np.uint64)
-        k, n = pairs.shape[1], len(m)
+        several = np.repeat(to - at > 1, to - at)
+        lists = np.concatenate((lists, m["group"][several]))  # a group of several classes is a list of its own
+        groups = np.concatenate((groups, m["group"][several]))
+        listed = np.unique(np.stack((lists, groups)), axis=1) if len(lists) else np.zeros((2, 0), np.uint64)
+        k, n, q = listed.shape[1], len(m), len(found)
+        column = lambda a, b, c: pa.array(np.concatenate((a, b, c)).astype(np.int64))
+        none = np.zeros
         return pa.table({
-            "kind": pa.array(np.repeat(np.array([0, 1], np.int32), [k, n])),
-            "list": pa.array(np.concatenate((pairs[0].view(np.int64), np.zeros(n, np.int64)))),
-            "grp": pa.array(np.concatenate((pairs[1].view(np.int64), m["group"].view(np.int64)))),
-            "doc": pa.array(np.concatenate((np.zeros(k, np.int64), m["doc"]))),
-            "size": pa.array(np.concatenate((np.zeros(k, np.int64), m["size"].astype(np.int64)))),
+            "kind": pa.array(np.repeat(np.array([0, 1, 2], np.int32), [k, n, q])),
+            "list": column(listed[0].view(np.int64), none(n, np.int64), found[:, 0]),
+            "grp": column(listed[1].view(np.int64), m["group"].astype(np.int64), found[:, 1]),
+            "doc": column(none(k, np.int64), m["doc"], found[:, 2]),
+            "size": column(none(k, np.int64), m["size"], found[:, 3]),
+            "shared": column(none(k, np.int64), none(n, np.int64), shared),
         })
 
     return work
@@ -240,10 +261,14 @@ def ngram_components(docs: DataFrame, width: int = 5, num: int = 8, den: int = 1
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(least, int(words * (den - num) / den * _POSTING.itemsize) // BUCKET_BYTES)
     posted = docs.mapInArrow(_post(width, num, den, buckets, sketch), Dealer.ddl)
-    proposed = materialise(posted.groupBy("bucket").applyInArrow(_lists(num, den), "kind int, list long, grp long, doc long, size long"))
+    proposed = materialise(posted.groupBy("bucket").applyInArrow(_lists(num, den), "kind int, list long, grp long, doc long, size long, shared long"))
 
     members = proposed.where("kind = 1").select("grp", "doc", "size")
-    listed = proposed.where("kind = 0").select("list", "grp").distinct().join(members, "grp").select("list", "doc", "size")
+    x, y = F.col("x"), F.col("y")
+    need = F.ceil(num * (x + y) / (num + den)) - F.greatest(F.ceil(num * x / den), F.ceil(num * y / den)) + 1
+    pairs = proposed.where("kind = 2").groupBy("list", "grp").agg(F.sum("shared").alias("shared"), F.max("doc").alias("x"), F.max("size").alias("y")).where(F.col("shared") >= need)
+    stars = pairs.select("list", F.explode(F.array("list", "grp")).alias("grp"))
+    listed = proposed.where("kind = 0").select("list", "grp").unionByName(stars).distinct().join(members, "grp").select("list", "doc", "size")
     counts = listed.groupBy("list").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     listed = listed.join(counts, "list").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     pieces = listed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
