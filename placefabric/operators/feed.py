@@ -70,7 +70,7 @@ def signals(saves: DataFrame, reactions: DataFrame) -> DataFrame:
     A reaction is the latest one. Favourites are favourite reactions and the saves that are neither wanted nor only been;
     if a user has neither derived saves nor wanted ones, all saves are favourites. A disliked or hidden place is no other.
     """
-    last = Window.partitionBy("user_id", "place_id").orderBy(F.desc("updated_at"), F.desc("order_id"), F.desc("line"))
+    last = Window.partitionBy("user_id", "place_id").orderBy(F.desc("updated_at"), F.desc("order_id"), F.desc("line"), "reaction")
     latest = reactions.withColumn("rn", F.row_number().over(last)).where("rn = 1").select("user_id", "place_id", "reaction")
     lists = saves.groupBy("user_id", "place_id").agg(F.max((F.col("slug") == "saved").cast("int")).alias("wanted"), F.min((F.col("slug") == "been").cast("int")).alias("only_been"))
     per_user = Window.partitionBy("user_id")
