@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-#: The latest reaction of a key: by time, then order and line; the name decides what is left.
-LATEST = [F.desc("updated_at"), F.desc("order_id"), F.desc("line"), F.asc("reaction")]
+def newest_reaction() -> list[Column]:
+    """By time, then order and line; the name decides what is left."""
+    return [F.desc("updated_at"), F.desc("order_id"), F.desc("line"), F.asc("reaction")]
 
 
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -110,14 +111,14 @@ def dashboard(saves: DataFrame, previews: int = 3) -> DataFrame:
 def saved_state(page: DataFrame, saves: DataFrame, reactions: DataFrame, user_id: int) -> DataFrame:
     """A page of places with is_saved, the user's lists and their reaction."""
     own = saves.where(F.col("user_id") == user_id).groupBy("place_id").agg(F.array_join(F.sort_array(F.collect_set("list_name")), ",").alias("lists"))
-    last = latest(reactions.where(F.col("user_id") == user_id), ["place_id"], LATEST).select("place_id", "reaction")
+    last = latest(reactions.where(F.col("user_id") == user_id), ["place_id"], newest_reaction()).select("place_id", "reaction")
     joined = page.join(own, page["id"] == own["place_id"], "left").drop("place_id").join(last, page["id"] == last["place_id"], "left").drop("place_id")
     return joined.withColumn("is_saved", F.col("lists").isNotNull())
 
 
 def reactions_by_kind(reactions: DataFrame) -> DataFrame:
     """For each user the places of each kind of latest reaction, sorted."""
-    last = latest(reactions, ["user_id", "place_id"], LATEST)
+    last = latest(reactions, ["user_id", "place_id"], newest_reaction())
     kind = lambda k: F.array_join(F.sort_array(F.collect_list(F.when(F.col("reaction") == k, F.col("place_id")))), ",").alias(k)
     return last.groupBy("user_id").agg(kind("favorite"), kind("dislike"), kind("hide"))
 

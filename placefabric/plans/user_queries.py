@@ -9,12 +9,11 @@ from placefabric.plans.registry import query
 from placefabric.plans.testmap import cte, entity, table
 
 _LAST = "ORDER BY updated_at DESC, order_id DESC, line DESC, reaction"
-LATEST = [F.desc("updated_at"), F.desc("order_id"), F.desc("line"), F.asc("reaction")]
 
 
 @query("win10_latest_reaction", cte("reactions") + f"SELECT user_id, place_id, reaction FROM (SELECT *, row_number() OVER (PARTITION BY user_id, place_id {_LAST}) AS rn FROM reactions) WHERE rn = 1")
 def win10(spark, sf):
-    return userstate.latest(entity(spark, sf, "reactions"), ["user_id", "place_id"], LATEST).select("user_id", "place_id", "reaction")
+    return userstate.latest(entity(spark, sf, "reactions"), ["user_id", "place_id"], userstate.newest_reaction()).select("user_id", "place_id", "reaction")
 
 
 _SIGNALS = (
