@@ -34,6 +34,7 @@ def deduplicated(events: DataFrame, ts: str = "server_ts", horizon: str = HORIZO
 
 def windowed_counts(events: DataFrame, ts: str, width: str, slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     w = F.window(ts, width, slide) if slide else F.window(ts, width)
+    events = events.withColumn(ts, F.col(ts).cast("timestamp"))  # event time has a zone; UTC sessions read it as it is
     return events.withWatermark(ts, late).groupBy(w.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
 
 
