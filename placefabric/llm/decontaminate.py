@@ -1,9 +1,9 @@
 """Benchmark decontamination by BM25 retrieval with block-max WAND.
 
-The test items are indexed with impacts divided by the item's score against itself, in blocks that keep their largest
-impact. Every passage of every document queries the index: passages whose known words cannot reach the threshold even
-with their largest impacts are passed over, the rest run WAND, which skips items whose block bounds are too low and
-retrieves all above the threshold. A retrieved pair counts as a leak when both the item's question and its answer
+The test items are indexed with impacts divided by the item's score against itself, in blocks of items that keep each
+term's largest impact. Every passage of every document queries the index: blocks that the passage's words cannot lift to
+the threshold even with their largest impacts are passed over, in the others WAND moves cursors from pivot to pivot and
+retrieves all items above the threshold. A retrieved pair counts as a leak when both the item's question and its answer
 overlap the passage in word n-grams.
 """
 
@@ -22,8 +22,9 @@ from pyspark.sql import DataFrame
 from placefabric.llm.arrays import chunks, mark_table, word_hashes
 
 K1, B = 1.2, 0.75
-BLOCK = 16  # postings of a block
-SHARD_BYTES = 8 << 20  # of items' texts in one index; more items make more shards, each a pass of its own
+BLOCK = 4  # items of a block
+INDEX_ITEMS = 1024  # items of one index, which keeps a bound for each term and block
+SHARD_BYTES = 1 << 20  # of items' texts that travel with one pass over the documents, in as many indexes as they need
 THRESHOLD = 0.5  # of the item's score against itself
 PASSAGE = 128  # words; at least twice the longest item
 NGRAM = 3
@@ -72,20 +73,35 @@ class Index:
             total = sum(impact.values())
             for t, x in impact.items():
                 self.postings[t].append((number, x / total))
-        self.blocks = {t: [max(x for _, x in p[i : i + BLOCK]) for i in range(0, len(p), BLOCK)] for t, p in self.postings.items()}
         self.terms = np.array(sorted(self.postings), np.uint64)
-        self.bounds = np.array([max(self.blocks[int(t)]) for t in self.terms])
+        place = {t: i for i, t in enumerate(self.terms.tolist())}
+        self.blocks: list[dict[int, list[tuple[int, float]]]] = [defaultdict(list) for _ in range(-(-n // BLOCK))]
+        self.bounds = np.zeros((len(self.terms), len(self.blocks)), np.float32)
+        for t, found in self.postings.items():
+            i = place[t]
+            for item, x in found:
+                self.blocks[item // BLOCK][i].append((item, x))
+                self.bounds[i, item // BLOCK] = max(self.bounds[i, item // BLOCK], x)
+
+    def search(self, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
+        """All items that score the threshold or more for distinct terms, given by their places in `terms`."""
+        found: list[tuple[int, float]] = []
+        if len(terms):
+            for b in np.flatnonzero(self.bounds[terms].sum(axis=0) >= threshold - 1e-4).tolist():
+                found += self._wand(b, terms.tolist(), threshold)
+        return found
 
-    def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
-        """All items that score the threshold or more for the distinct terms."""
-        cursors = [[self.postings[t][0][0], 0, self.postings[t], self.blocks[t], max(self.blocks[t])] for t in terms]
+    def _wand(self, b: int, terms: list[int], threshold: float) -> list[tuple[int, float]]:
+        block = self.blocks[b]
+        # a cursor: current item, position, postings, largest impact in the block
+        cursors = [[block[t][0][0], 0, block[t], float(self.bounds[t, b])] for t in terms if t in block]
         found = []
         while cursors:
             cursors.sort(key=lambda c: c[0])
             bound, pivot = 0.0, -1
             for k, c in enumerate(cursors):
-                bound += c[4]
-                if bound >= threshold - 1e-12:
+                bound += c[3]
+                if bound >= threshold - 1e-4:
                     pivot = k
                     break
             if pivot < 0:
@@ -93,32 +109,19 @@ class Index:
             item = cursors[pivot][0]
             while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
                 pivot += 1
-            # block bounds: of each cursor up to the pivot, the block that the pivot's item would stand in
-            bound, nearest = 0.0, 1 << 60
-            for c in cursors[: pivot + 1]:
-                k = c[1] // BLOCK
-                while (k + 1) * BLOCK < len(c[2]) and c[2][(k + 1) * BLOCK][0] <= item:
-                    k += 1
-                bound += c[3][k]
-                nearest = min(nearest, c[2][(k + 1) * BLOCK][0] if (k + 1) * BLOCK < len(c[2]) else 1 << 60)
-            if bound < threshold - 1e-12:
-                to = nearest  # no item before the next block's first can do better
-                if pivot + 1 < len(cursors):
-                    to = min(to, cursors[pivot + 1][0])
-                moved = cursors[: pivot + 1]
-            elif cursors[0][0] == item:
+            if cursors[0][0] == item:
                 score = sum(c[2][c[1]][1] for c in cursors[: pivot + 1])
                 if score >= threshold - 1e-12:
                     found.append((item, score))
-                to, moved = item + 1, cursors[: pivot + 1]
+                to = item + 1
             else:
-                to, moved = item, [c for c in cursors[:pivot] if c[0] < item]
-            for c in moved:
+                to = item
+            for c in cursors[: pivot + 1]:
                 i, p = c[1], c[2]
                 while i < len(p) and p[i][0] < to:
                     i += 1
-                c[1], c[0] = i, p[i][0] if i < len(p) else 1 << 60
-            cursors = [c for c in cursors if c[0] < 1 << 60]
+                c[1], c[0] = i, p[i][0] if i < len(p) else -1
+            cursors = [c for c in cursors if c[0] >= 0]
         return found
 
 
@@ -134,17 +137,13 @@ def leaks(index: Index, words: np.ndarray) -> list[tuple[int, float, float, floa
         return []
     place = np.minimum(np.searchsorted(index.terms, words), len(index.terms) - 1)
     known = index.terms[place] == words
-    sums = np.concatenate(([0.0], np.cumsum(np.where(known, index.bounds[place], 0.0))))
     width = max(PASSAGE, 2 * index.longest)
-    starts = np.arange(0, max(1, len(words) - width // 2), width // 2)
-    ends = np.minimum(starts + width, len(words))
     best: dict[int, tuple[int, float, float, float]] = {}
-    for a, b in zip(starts[hot := sums[ends] - sums[starts] >= THRESHOLD - 1e-9].tolist(), ends[hot].tolist(), strict=True):
+    for a in range(0, max(1, len(words) - width // 2), width // 2):
+        b = min(a + width, len(words))
         own = np.unique(place[a:b][known[a:b]])
-        if index.bounds[own].sum() < THRESHOLD - 1e-9:
-            continue
         grams: set[tuple[int, ...]] | None = None
-        for number, score in index.search(index.terms[own].tolist(), THRESHOLD):
+        for number, score in index.search(own, THRESHOLD):
             if grams is None:
                 w = words[a:b].tolist()
                 grams = {tuple(w[i : i + n]) for n in range(1, NGRAM + 1) for i in range(len(w) - n + 1)}
@@ -155,6 +154,10 @@ def leaks(index: Index, words: np.ndarray) -> list[tuple[int, float, float, floa
     return [best[k] for k in sorted(best)]
 
 
+def indexes(part: list[tuple[int, str]]) -> list[Index]:
+    return [Index(part[k : k + INDEX_ITEMS]) for k in range(0, len(part), INDEX_ITEMS)]
+
+
 def shards(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
     """Items in lists of about SHARD_BYTES, read one partition at a time. Null texts and ids are left out."""
     part, size = [], 0
@@ -181,14 +184,14 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     for part in shards(items):
 
         def scan(batches: Iterator[pa.RecordBatch], part: list[tuple[int, str]] = part) -> Iterator[pa.RecordBatch]:
-            index = Index(part)
+            own = indexes(part)
             for batch in batches:
                 rows: list[int] = []
                 found: list[tuple] = []
                 for at, to, data, offsets in chunks(batch.column(1)):
                     words, first = word_hashes(data, offsets, True, mark_table())
                     for k in range(to - at):
-                        for x in leaks(index, words[first[k] : first[k + 1]]):
+                        for x in [x for index in own for x in leaks(index, words[first[k] : first[k + 1]])]:
                             rows.append(at + k)
                             found.append(x)
                 cols = list(zip(*found, strict=True)) or [()] * 4
@@ -204,12 +207,12 @@ def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     for part in shards(items):
 
         def scan(batches: Iterator[pa.RecordBatch], part: list[tuple[int, str]] = part) -> Iterator[pa.RecordBatch]:
-            index = Index(part)
+            own = indexes(part)
             for batch in batches:
                 keep: list[bool] = []
                 for _, _, data, offsets in chunks(batch.column(at)):
                     words, first = word_hashes(data, offsets, True, mark_table())
-                    keep += [not leaks(index, words[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
+                    keep += [not any(leaks(index, words[a:b]) for index in own) for a, b in zip(first[:-1], first[1:], strict=True)]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
         docs = docs.mapInArrow(scan, docs.schema)
