@@ -24,7 +24,7 @@ from placefabric.llm.components import materialise
 from placefabric.llm.exchange import Dealer, runs, unpack
 
 BUCKET_BYTES = 24 << 20  # of runs in a bucket of the first exchange
-CLOSER_BYTES = 2 << 20  # of symbols in one of the second, which are worked on as integers
+CLOSER_BYTES = 1 << 20  # of symbols in one of the second, which are worked on as integers
 NO_ID = (1 << 63) - 1
 RUN = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("ver", "<i4"), ("lo", "<u4"), ("n", "<u2"), ("at", "<u2")])
 COPY = np.dtype([("doc", "<i8"), ("ver", "<i4"), ("n", "<u4")])
@@ -208,7 +208,7 @@ def repeated_windows(docs: DataFrame, size: int, words: bool, length: int, both:
     met = materialise(docs.mapInArrow(_scan(symbols, length, gram, buckets, both), Dealer.ddl).groupBy("bucket").applyInArrow(_meet(length, both), MARKS))
     asked = met.where("kind = 1").groupBy("doc", "ver").agg(F.collect_list(F.struct("lo", "n", "anchor", "at", "target")).alias("asked"))
     look = met.where("kind = 1").agg(F.sum(F.col("n") + length)).first()[0] or 0
-    pieces = max(least, look * (8 if words else 1) // (CLOSER_BYTES * (2 if words else 1)))
+    pieces = max(least, look * (8 if words else 1) // (CLOSER_BYTES * (3 if words else 1)))
     fetched = docs.join(asked, ["doc", "ver"]).select("doc", "ver", "text", "asked").mapInArrow(_fetch(symbols, length, words), FETCHED)
     closer = fetched.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(pieces))).groupBy("bucket").applyInArrow(decide, "doc long, ver int, lo long, n long")
     marks = met.where("kind = 0").select("doc", "ver", "lo", "n").unionByName(closer)

@@ -18,11 +18,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placefabric.llm import anchors
 from placefabric.llm.arrays import byte_table, chunks, prefix_hash, span_hash
+from placefabric.llm.exchange import runs
+
+GROUP_BYTES = 256 << 10  # of runs that are merged in one go
 
 
 class Shard:
@@ -72,7 +76,7 @@ def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return z, common
 
 
-def repeated_suffixes(pieces: list[bytes], length: int, width: int = 100, shard_bytes: int = 1 << 20) -> list[np.ndarray]:
+def repeated_suffixes(pieces: list[bytes], length: int, width: int = 100, shard_bytes: int = 1 << 19) -> list[np.ndarray]:
     """For each piece, which of its windows of `length` bytes stand at two places or more of all pieces."""
     depth = length // width
     if depth * width != length:
@@ -92,43 +96,84 @@ def repeated_suffixes(pieces: list[bytes], length: int, width: int = 100, shard_
     last = np.flatnonzero(np.concatenate((line[1:] != line[:-1], [True]))) if len(line) else np.zeros(0, np.int64)
     text = np.insert(codes[order], last + 1, 0)
     back = np.insert(order, last + 1, -1)  # which block position each symbol is
+    found = [np.zeros(max(0, len(p) - length + 1), bool) for p in pieces]
+    hit = back[twins(text, depth, shard_bytes)]
+    hit = hit[hit >= 0]
+    hit = hit[place[hit] + length <= sizes[owner[hit]]]
+    flat = np.zeros(len(owner), bool)
+    flat[hit] = True
+    base = np.cumsum(blocks) - blocks
+    for k in range(len(pieces)):
+        found[k] = flat[base[k] : base[k] + len(found[k])]
+    return found
+
+
+def twins(text: np.ndarray, depth: int, shard_symbols: int) -> np.ndarray:
+    """Positions of coded strings (0 ends each) whose next `depth` symbols stand at another position too."""
     shards, bases, a = [], [], 0
     stops = np.flatnonzero(text == 0) + 1
     while a < len(text):
-        b = int(stops[min(len(stops) - 1, np.searchsorted(stops, min(a + shard_bytes, len(text))))])
+        b = int(stops[min(len(stops) - 1, np.searchsorted(stops, min(a + shard_symbols, len(text))))])
         shards.append(Shard(text[a:b], depth))
         bases.append(a)
         a = b
-    found = [np.zeros(max(0, len(p) - length + 1), bool) for p in pieces]
     if not shards:
-        return found
+        return np.zeros(0, np.int64)
     z, common = merge(shards, depth)
     twin = common >= depth
     twin[:-1] |= twin[1:].copy()
     position = np.empty(len(z), np.int64)
     for k, s in enumerate(shards):
         position[z == k] = s.order + bases[k]
-    hit = back[position[twin]]
-    hit = hit[hit >= 0]
-    whole = place[hit] + length <= sizes[owner[hit]]
-    hit = hit[whole]
-    flat = np.zeros(len(owner), bool)
-    flat[hit] = True
-    base = np.cumsum(blocks) - blocks
-    for k in range(len(pieces)):
-        found[k] = flat[base[k] : base[k] + len(found[k])]
+    return position[twin]
+
+
+def repeated_in_large_group(pieces: list[bytes], at: np.ndarray, length: int, width: int = 100) -> list[np.ndarray]:
+    """repeated_suffixes for many pieces under one anchor, which stands in each at `at`.
+
+    Equal windows stand at equal distances from the anchor, so the windows of one distance are merged at a time, as
+    strings of length / width symbols. Memory is one hash for each byte and a few numbers for each piece.
+    """
+    depth = length // width
+    hashes = []
+    for p in pieces:
+        n = len(p) - width + 1
+        i = np.arange(n)
+        hashes.append(span_hash(prefix_hash(byte_table()[np.frombuffer(p, np.uint8)]), i, i + width))
+    counts = np.array([len(p) - length + 1 for p in pieces], np.int64)
+    found = [np.zeros(n, bool) for n in counts]
+    for offset in range(int((-at).min()), int((counts - at).max())):
+        own = np.flatnonzero((at + offset >= 0) & (at + offset < counts))
+        if len(own) > 1:
+            symbols = np.stack([hashes[k][at[k] + offset :: width][:depth] for k in own.tolist()])
+            text = np.zeros((len(own), depth + 1), np.int64)
+            text[:, :depth] = np.unique(symbols, return_inverse=True)[1].reshape(symbols.shape) + 1
+            hit = twins(text.ravel(), depth, 1 << 19)
+            for k in own[hit[hit % (depth + 1) == 0] // (depth + 1)].tolist():
+                found[k][at[k] + offset] = True
     return found
 
 
 def _decide(length: int):
     def work(table: pa.Table) -> pa.Table:
-        doc, ver, lo = (table[c].to_numpy() for c in ("doc", "ver", "lo"))
-        target = table["target"].to_numpy(zero_copy_only=False)
+        anchor, doc, ver, lo, at = (table[c].to_numpy() for c in ("anchor", "doc", "ver", "lo", "at"))
+        target, symbols = table["target"].to_numpy(zero_copy_only=False), table["symbols"]
+        order = np.argsort(anchor, kind="stable")
+        sizes = pc.binary_length(symbols).to_numpy()[order]
+        first, end = runs(anchor[order])
+        upto = np.concatenate(([0], np.cumsum(sizes)))
         marks: list[tuple[int, int, int, int]] = []
-        for k, found in enumerate(repeated_suffixes(table["symbols"].to_pylist(), length)):
-            if target[k] and found.any():
-                edges = np.flatnonzero(np.diff(np.concatenate(([False], found, [False])).astype(np.int8)))
-                marks += [(int(doc[k]), int(ver[k]), int(lo[k]) + int(s), int(e - s)) for s, e in edges.reshape(-1, 2)]
+        a = 0
+        while a < len(first):  # whole anchors up to GROUP_BYTES, or one that is larger
+            b = max(a + 1, int(np.searchsorted(upto[end], upto[first[a]] + GROUP_BYTES, "right")))
+            rows = order[first[a] : end[b - 1]]
+            pieces = [symbols[k].as_py() for k in rows.tolist()]
+            large = b == a + 1 and upto[end[a]] - upto[first[a]] > GROUP_BYTES
+            for k, found in zip(rows.tolist(), repeated_in_large_group(pieces, at[rows].astype(np.int64), length) if large else repeated_suffixes(pieces, length), strict=True):
+                if target[k] and found.any():
+                    edges = np.flatnonzero(np.diff(np.concatenate(([False], found, [False])).astype(np.int8)))
+                    marks += [(int(doc[k]), int(ver[k]), int(lo[k]) + int(s), int(e - s)) for s, e in edges.reshape(-1, 2)]
+            a = b
         cols = list(zip(*marks, strict=True)) or [()] * 4
         return pa.table({"doc": pa.array(cols[0], pa.int64()), "ver": pa.array(cols[1], pa.int32()), "lo": pa.array(cols[2], pa.int64()), "n": pa.array(cols[3], pa.int64())})
 
