@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from placefabric.llm import oracles
 from placefabric.llm.decontaminate import find_leaks
 from placefabric.llm.edit_fingerprint import neighbour_fingerprints
 from placefabric.llm.html_extract import extract
@@ -75,4 +76,4 @@ QUERIES = {
         op10_secret_scan,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op2_ngram_jaccard_join": oracles.OP2, "op6_substring_dedup": oracles.OP6}
