@@ -7,8 +7,8 @@ cut at row borders; a chunk holds at least one whole text, however long it is. N
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +19,19 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
 
+def memo(f):
+    """Keeps a function's results for the process. Unlike functools.cache it travels by value and takes no results along."""
+    name = f"{f.__module__}.{f.__qualname__}"
+
+    def kept(*args):
+        store = sys.__dict__.setdefault("_placefabric_memo", {})
+        if (name, *args) not in store:
+            store[(name, *args)] = f(*args)
+        return store[(name, *args)]
+
+    return kept
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64, on unsigned 64-bit integers."""
     x = x ^ (x >> np.uint64(30))
@@ -29,13 +42,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@cache
+@memo
 def byte_table(seed: int = 1) -> np.ndarray:
     with np.errstate(over="ignore"):
         return mix((np.arange(256, dtype=np.uint64) + np.uint64(1 + 1000 * seed)) * np.uint64(_BASE))
 
 
-@cache
+@memo
 def space_table() -> np.ndarray:
     """White space of the word pattern: U+0020 and U+0009 to U+000D."""
     t = np.zeros(256, bool)
@@ -43,7 +56,7 @@ def space_table() -> np.ndarray:
     return t
 
 
-@cache
+@memo
 def mark_table() -> np.ndarray:
     """What separates words of ASCII letters, digits and all non-ASCII characters, in lower-cased text."""
     t = np.ones(256, bool)
@@ -51,14 +64,14 @@ def mark_table() -> np.ndarray:
     return t
 
 
-@cache
+@memo
 def lower_table() -> np.ndarray:
     t = np.arange(256, dtype=np.uint8)
     t[65:91] += 32
     return t
 
 
-@cache
+@memo
 def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     n = 1 << bits
     up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)

@@ -13,14 +13,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placefabric.llm.arrays import mix
+from placefabric.llm.arrays import memo, mix
 
 FIRST = 256
 BAND = 128
@@ -31,13 +30,13 @@ NO_ID = (1 << 63) - 1
 _HEX = np.frombuffer(b"0123456789abcdef", np.uint8)
 
 
-@cache
+@memo
 def bits() -> np.ndarray:
     """r(j, c) for a period of steps and 256 character classes."""
     return (mix(np.arange(PERIOD * 256, dtype=np.uint64) + np.uint64(0xC0FFEE)) & np.uint64(1)).astype(np.uint8).reshape(PERIOD, 256)
 
 
-@cache
+@memo
 def sampled(octaves: int) -> np.ndarray:
     """The sampled steps below 256 << octaves, in order."""
     out = [np.arange(FIRST)]
@@ -153,7 +152,7 @@ def likeness(a: str, b: str) -> float:
     return max(0.0, min(1.0, (share - 1 / 16) / (15 / 16)))
 
 
-@cache
+@memo
 def _weights(octaves: int) -> np.ndarray:
     return np.concatenate([np.ones(FIRST), *(np.full(BAND, (FIRST << k) / BAND) for k in range(octaves))])
 

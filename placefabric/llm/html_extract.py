@@ -10,12 +10,12 @@ from __future__ import annotations
 
 import random
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from placefabric.llm.arrays import memo
 from placefabric.llm.boosting import Trees, fit
 from placefabric.llm.dom import RAW, Node, clean, parse
 
@@ -181,7 +181,7 @@ def training_page(r: random.Random) -> str:
     return f"<!DOCTYPE html><html><head><title>{text(2, 6)}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head><body>{''.join(junk)}</body></html>"
 
 
-@cache
+@memo
 def model() -> Trees:
     """Trained on TRAIN_PAGES generated pages; the same for every run and every input."""
     r = random.Random(TRAIN_SEED)
