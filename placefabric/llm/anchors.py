@@ -70,7 +70,7 @@ def _scan(symbols: Symbols, length: int, gram: int, buckets: int, both: bool):
     """both: the standing copy is marked as well, as its windows are elsewhere too; else only those of larger doc_id."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dealer, seen = Dealer(buckets), {}
+        dealer, seen, twice = Dealer(buckets), {}, set()
         for batch in batches:
             ids = batch.column(0).to_numpy()
             vers = batch.column(1).to_numpy()
@@ -80,21 +80,18 @@ def _scan(symbols: Symbols, length: int, gram: int, buckets: int, both: bool):
                 send, copies = np.ones(to - at, bool), []
                 for k in np.flatnonzero(first[1:] - first[:-1] >= length).tolist():
                     key, own = (int(whole[k]), int(first[k + 1] - first[k])), (int(ids[at + k]), int(vers[at + k]))
-                    stands = seen.setdefault(key, (own, [False]))
-                    if stands[1][0] is False:
-                        stands[1][0] = None  # the first
+                    if key not in seen:
+                        seen[key] = own
                         continue
-                    marks = [own] if both or own[0] > stands[0][0] else []
-                    if both and not stands[1][0]:
-                        marks.append(stands[0])
-                    if not both and own[0] < stands[0][0]:
-                        marks.append(stands[0])
-                        seen[key] = (own, [None])
-                    else:
-                        if both:
-                            stands[1][0] = True
-                        send[k] = not both and own[0] == stands[0][0]
-                    copies += [(*m, key[1]) for m in marks]
+                    stands, gone = seen[key], []
+                    if both:
+                        gone, send[k] = [own] if key in twice else [own, stands], False
+                        twice.add(key)
+                    elif own[0] > stands[0]:
+                        gone, send[k] = [own], False
+                    elif own[0] < stands[0]:
+                        gone, seen[key] = [stands], own
+                    copies += [(*x, key[1]) for x in gone]
                 keep = send[row]
                 found, row = found[keep], row[keep]
                 found["doc"], found["ver"] = ids[at + row], vers[at + row]

@@ -2,13 +2,13 @@
 
 Documents whose shingle sets have the same prefix and the same size form one group. An inverted index of prefix
 shingles proposes pairs of groups; sizes and the number of prefix shingles that two groups share filter them, and only
-then are the groups expanded to their documents and the members verified on whole sets. Prefixes follow the order (frequency, hash), frequencies from a counting sketch of fixed
-size, so a shingle that very many documents share stands last and is in almost no prefix. Frequencies only shape the
-order: the result is exact for every sketch.
+then are the groups expanded to their documents and the members verified on whole sets. Prefixes follow the order
+(frequency, hash), frequencies from a counting sketch of fixed size, so a shingle that very many documents share stands
+last and is in almost no prefix. Frequencies only shape the order: the result is exact for every sketch.
 
-Each posting list is verified in one task that joins its members to components as it goes, so that no pair is written
-for members that are already connected; lists of more than BLOCK members are cut into blocks and every pair of blocks
-is one piece of work. Documents with equal sets are one class from the first scan on.
+Pairs are counted in posting lists of up to SHORT groups; a longer list is verified as a whole. A piece of work is
+verified in one task that joins its members to components as it goes, so that no pair is written for members that are
+already connected; lists of more than BLOCK members are cut into blocks and every pair of blocks is one piece of work. Documents with equal sets are one class from the first scan on.
 """
 
 from __future__ import annotations
