@@ -27,7 +27,8 @@ from placefabric.llm.exchange import Dealer, runs, unpack
 SKETCH = 1 << 20
 SKETCH_BLOCK = 1 << 16
 BLOCK = 4096
-SHORT = 64  # groups of a posting list whose pairs are counted; longer lists are verified as a whole
+SHORT = 16  # groups of a posting list whose pairs are counted; longer lists are verified as a whole
+PAIRS = 1 << 19  # pairs counted at a time
 BUCKET_BYTES = 24 << 20
 
 _POSTING = np.dtype([("token", "<u8"), ("group", "<u8"), ("size", "<u4")])
@@ -100,6 +101,31 @@ def _post(width: int, num: int, den: int, buckets: int, sketch):
     return scan
 
 
+def _count_pairs(dense: np.ndarray, size: np.ndarray, at: np.ndarray, to: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of groups of fitting sizes in lists of up to SHORT, as left * groups + right, and in how many lists they stand.
+
+    Pairs are counted PAIRS at a time, so memory follows the distinct pairs.
+    """
+    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for m in np.unique(to - at).tolist():
+        if m > SHORT:
+            continue
+        i, j = np.triu_indices(m, 1)
+        starts = at[to - at == m]
+        step = max(1, PAIRS // len(i))
+        for k in range(0, len(starts), step):
+            block = dense[starts[k : k + step, None] + np.arange(m)]
+            left, right = block[:, i].ravel(), block[:, j].ravel()
+            ok = np.minimum(size[left], size[right]) * den >= np.maximum(size[left], size[right]) * num
+            left, right = left[ok], right[ok]
+            new, n = np.unique(np.minimum(left, right) * len(size) + np.maximum(left, right), return_counts=True)
+            both = np.concatenate((keys, new))
+            order = np.argsort(both, kind="stable")
+            first, end = runs(both[order])
+            keys, counts = both[order][first], np.add.reduceat(np.concatenate((counts, n))[order], first) if len(first) else counts
+    return keys, counts
+
+
 def _lists(num: int, den: int):
     """From a bucket of postings: what its lists propose, and the members of its groups.
 
@@ -117,16 +143,13 @@ def _lists(num: int, den: int):
         near[order[1:][fits]] = near[order[:-1][fits]] = True
         p = p[near]
         at, to = runs(p["token"])
-        lists, groups, pairs = np.zeros(0, np.uint64), np.zeros(0, np.uint64), [np.zeros((0, 4), np.int64)]
+        lists, groups, found, shared = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros((0, 4), np.int64), np.zeros(0, np.int64)
         if len(p):
-            group, size = p["group"].astype(np.int64), p["size"].astype(np.int64)
-            for m in np.unique(to - at).tolist():
-                if m <= SHORT:
-                    block = at[to - at == m][:, None] + np.arange(m)
-                    i, j = np.triu_indices(m, 1)
-                    left, right = block[:, i].ravel(), block[:, j].ravel()
-                    ok = np.minimum(size[left], size[right]) * den >= np.maximum(size[left], size[right]) * num
-                    pairs.append(np.stack((group[left[ok]], group[right[ok]], size[left[ok]], size[right[ok]]), axis=1))
+            names, first, dense = np.unique(p["group"], return_index=True, return_inverse=True)
+            size = p["size"][first].astype(np.int64)
+            keys, shared = _count_pairs(dense, size, at, to, num, den)
+            i, j = keys // len(names), keys % len(names)
+            found = np.stack((names[i].view(np.int64), names[j].view(np.int64), size[i], size[j]), axis=1)
             long_ = to - at > SHORT
             if long_.any():
                 sums = (np.add.reduceat(mix(p["group"]), at) ^ mix((to - at).astype(np.uint64)))[long_]
@@ -134,11 +157,6 @@ def _lists(num: int, den: int):
                 first, n = at[long_][one], (to - at)[long_][one]
                 lists = np.repeat(sums[one], n)
                 groups = p["group"][np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        found = np.concatenate(pairs)
-        found = found[np.lexsort((found[:, 1], found[:, 0]))]
-        new = np.concatenate(([True], (found[1:, :2] != found[:-1, :2]).any(axis=1))) if len(found) else np.zeros(0, bool)
-        shared = np.diff(np.concatenate((np.flatnonzero(new), [len(found)])))
-        found = found[new]
         m = unpack(table, 1, _MEMBER)
         m = m[np.lexsort((m["doc"], m["sig"], m["group"]))]
         m = m[np.concatenate(([True], (m["sig"][1:] != m["sig"][:-1]) | (m["group"][1:] != m["group"][:-1])))] if len(m) else m
