@@ -62,56 +62,45 @@ def char_classes(text: str) -> np.ndarray:
     return (mix(points.astype(np.uint64) + np.uint64(5)) & np.uint64(255)).astype(np.uint8) if len(points) else np.zeros(0, np.uint8)
 
 
-def walk(x: np.ndarray, start: np.ndarray, end: np.ndarray, step: np.ndarray, stop: np.ndarray, slots: np.ndarray, out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+STRIDE = 64  # steps between two looks at who has arrived
+
+
+def walk(x: np.ndarray, start: np.ndarray, end: np.ndarray, step: np.ndarray, stop: np.ndarray, slots: np.ndarray, out: np.ndarray) -> np.ndarray:
     """Walks all rows from x[start] to x[end], row k from step[k] on, writing into out[k, slot].
 
-    Returns for each row the step in which it first stands on `stop` (its end if never) and the step after its last.
-    x must reach 64 entries beyond every end.
+    Returns for each row the step in which it first stands on `stop`, which must not lie beyond its end. x must reach
+    STRIDE entries beyond every end. A row's places of one stride are kept, so that arrivals are dated afterwards.
     """
-    table, n = bits().ravel(), len(start)
-    at_stop, last = np.full(n, -1, np.int64), step.copy()
+    table = bits().ravel()
+    at_stop = step.copy()
     rows = np.flatnonzero(start < end)
-    pos, j, to = start[rows].astype(np.int64), step[rows].astype(np.int64), end[rows]
-    together = not step.any()
-    slot_of = np.full(int(slots[-1]) + 2, -1, np.int32)
+    pos, j, to, goal = start[rows].astype(np.int64), step[rows].astype(np.int64), end[rows], stop[rows]
+    slot_of = np.full(int(slots[-1]) + 2 * STRIDE, -1, np.int32)
     slot_of[slots] = np.arange(len(slots))
-    at_stop[stop <= start] = step[stop <= start]
-    waiting = at_stop[rows] < 0
+    ahead = np.arange(STRIDE)[:, None]
     while len(rows):
-        for _ in range(64):
-            c = x[pos]
-            if together:
-                jj = int(j[0])
-                if slot_of[jj] >= 0:
-                    live = pos < to
-                    out[rows[live], slot_of[jj]] = nibbles(c[live], j[live])
-                pos += table[(jj & (PERIOD - 1)) * 256 :][:256][c]
-            else:
-                s = slot_of[np.minimum(j, len(slot_of) - 1)]
-                hit = (s >= 0) & (pos < to)
-                if hit.any():
-                    out[rows[hit], s[hit]] = nibbles(c[hit], j[hit])
-                pos += table[(j & (PERIOD - 1)) * 256 + c]
-            j += 1
-            if waiting.any():
-                now = waiting & (pos >= stop[rows])
-                if now.any():
-                    at_stop[rows[now]] = j[now]
-                    waiting &= ~now
-            over = pos >= to
-            if over.any():
-                fresh = over & (last[rows] >= 0)
-                last[rows[fresh]] = -j[fresh] - 1  # the first time
+        steps = j + ahead
+        base = (steps & (PERIOD - 1)) << 8
+        places = np.empty((STRIDE + 1, len(rows)), np.int64)
+        for t in range(STRIDE):
+            places[t] = pos
+            pos = pos + table[base[t] + x[pos]]
+        places[STRIDE] = pos
+        slot = slot_of[np.minimum(steps, len(slot_of) - 1)]
+        t, k = np.nonzero((slot >= 0) & (places[:-1] < to))
+        out[rows[k], slot[t, k]] = nibbles(x[places[t, k]], steps[t, k])
+        arrived = np.flatnonzero((places[0] < goal) & (pos >= goal))
+        at_stop[rows[arrived]] = j[arrived] + (places[:, arrived] < goal[arrived]).sum(axis=0)
+        j = j + STRIDE
         keep = pos < to
-        rows, pos, j, to, waiting = rows[keep], pos[keep], j[keep], to[keep], waiting[keep]
-    last = np.where(last < 0, -last - 1, last)
-    return np.where(at_stop < 0, last, at_stop), last
+        rows, pos, j, to, goal = rows[keep], pos[keep], j[keep], to[keep], goal[keep]
+    return at_stop
 
 
 def _joined(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sizes = np.array([len(t) for t in texts], np.int64)
     end = np.cumsum(sizes)
-    return np.concatenate([*texts, np.zeros(80, np.uint8)]), end - sizes, end
+    return np.concatenate([*texts, np.zeros(2 * STRIDE, np.uint8)]), end - sizes, end
 
 
 def fingerprints(texts: list[str], edits: list[str] | None = None, kept: list[int] | None = None) -> tuple[list[str], list[str]]:
@@ -125,20 +114,18 @@ def fingerprints(texts: list[str], edits: list[str] | None = None, kept: list[in
     out = np.full((len(texts), len(slots)), 16, np.uint8)
     zero = np.zeros(len(texts), np.int64)
     stop = start + np.array(kept, np.int64) if kept is not None else end
-    order = np.arange(len(texts))
-    at_stop, last = walk(x, start, end, zero, stop, slots, out)
+    at_stop = walk(x, start, end, zero, stop, slots, out)
 
-    def said(m: np.ndarray, steps: np.ndarray) -> list[str]:
-        n = np.searchsorted(slots, steps)
-        return [_HEX[np.minimum(m[k, : n[k]], 15)].tobytes().decode() for k in order]
+    def said(m: np.ndarray) -> list[str]:
+        return [_HEX[r[: np.count_nonzero(r < 16)]].tobytes().decode() for r in m]  # the slots that a row reached are its first
 
-    own = said(out, last)
+    own = said(out)
     if edits is None:
         return own, []
     x, start, end = _joined(tails)
     edited = np.where(slots[None, :] < at_stop[:, None], out, 16).astype(np.uint8)
-    _, last = walk(x, start, end, at_stop, end, slots, edited)
-    return own, said(edited, last)
+    walk(x, start, end, at_stop, end, slots, edited)
+    return own, said(edited)
 
 
 def likeness(a: str, b: str) -> float:
