@@ -88,6 +88,16 @@ class Automaton:
             states, at = self.closure(following), at + 1
         return end
 
+    def reaches(self, without: str) -> bool:
+        """Whether the end can be reached by words other than this one."""
+        states, todo = {0}, [0]
+        while todo:
+            s = todo.pop()
+            following = self.free[s] | self.any[s] | {t for w, to in self.words[s].items() if w != without for t in to}
+            todo += following - states
+            states |= following
+        return self.final in states
+
     def first_words(self) -> set[str]:
         return {w for s in self.closure({0}) for w in self.words[s]}
 
@@ -150,7 +160,17 @@ def scan_tokens(tokens: list[str], automata: dict[str, list[tuple[str, Automaton
     return starts, base, labels, score
 
 
-_HINTS = (b"licens", b"permission", b"redistribution", b"unencumbered", b"cc0", b"under the")
+def hints(automata: dict[str, list[tuple[str, Automaton]]]) -> tuple[bytes, ...]:
+    """Words of which every text that a template or a base phrase accepts holds one.
+
+    For each automaton the longest word without whose edge no path leads to the end; all its words' edges alike if there is no such word.
+    """
+    out = {max(phrase, key=len) for phrase, _ in BASE}
+    for a in {id(a): a for listed in automata.values() for _, a in listed}.values():
+        words = {w for edges in a.words for w in edges}
+        needed = [w for w in words if not a.reaches(w)]
+        out |= {max(needed, key=lambda w: (len(w), w))} if needed else words
+    return tuple(sorted(w.encode() for w in out if not any(o != w and o in w for o in out)))
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
@@ -162,6 +182,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automata = compile_all()
+        wanted = hints(automata)
         for batch in batches:
             rows: list[tuple] = []
             for at, to, data, offsets in chunks(batch.column(1)):
@@ -172,7 +193,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
                     a, b = int(first[k]), int(first[k + 1])
                     own = raw[offsets[k] : offsets[k + 1]]
                     found: tuple = ([], (), (), 0.0)
-                    if any(h in own for h in _HINTS):
+                    if any(h in own for h in wanted):
                         found = scan_tokens([raw[s:e].decode("utf-8", "replace") for s, e in zip(starts[a:b].tolist(), ends[a:b].tolist(), strict=True)], automata)
                     p = found[0]
                     rows.append((b - a, len(p), min(p, default=None), max(p, default=None), ",".join(sorted(found[1])), ",".join(sorted(found[2])), found[3]))
