@@ -1,9 +1,10 @@
 """Secret scanning: three base patterns, and an assignment-aware lexer over source and configuration syntax.
 
 The lexer reads quoted strings, names, numbers and operators. `name = "literal"`, `name: literal`, `"name": "literal"`,
-`name => literal`, `-Dname=literal` and `name := literal` give name-literal pairs; `a + b`, adjacent strings and `${a}`
-or a bare name on the right side are resolved from constants bound before in the same text. A literal is scored by its
-target's name and by its own look (length, character classes, entropy); a pair above the threshold is a span `lexed`.
+`name => literal`, `-Dname=literal`, `--name=literal` and `name := literal` give name-literal pairs; `a + b`, adjacent
+strings and `${a}` or a bare name on the right side are resolved from constants bound before in the same text, on either
+side of a concatenation. A literal is scored by its target's name and by its own look (length, character classes,
+entropy); a pair above the threshold is a span `lexed`, and so is every literal that a constant in it was bound to.
 """
 
 from __future__ import annotations
@@ -28,14 +29,17 @@ SENSITIVE = {
     "auth": 0.6, "private": 0.5, "access": 0.3, "client": 0.1, "signing": 0.4, "bearer": 0.9, "salt": 0.5, "session": 0.3,
 }
 THRESHOLD = 1.0
+LONGEST = 1 << 14  # characters of a resolved constant; longer ones are not put into others, whose size could double line by line
 
 # One lexical step: where a name, or a quoted name, is followed by an assigning operator. Everything else is passed over
 # by the regular expression engine; a run without = or : costs nothing more.
-_TARGET = re.compile(r"""(?<![A-Za-z0-9_$.-])(["']?)([A-Za-z_$][A-Za-z0-9_$.-]{0,79})\1[\x20\t]*(?::=|=>|=(?!=)|:(?![:/]))[\x20\t]*""")
+_TARGET = re.compile(r"""(?<![A-Za-z0-9_$.-])(?:-D|--?)?(["']?)([A-Za-z_$][A-Za-z0-9_$.-]*+)\1[\x20\t]*(?::=|=>|=(?!=)|:(?![:/]))[\x20\t]*""")
 _QUOTED = re.compile(r'"((?:[^"\\\n]|\\.)*)"|\'((?:[^\'\\\n]|\\.)*)\'|`((?:[^`\\\n]|\\.)*)`')
 _BARE = re.compile(r"[A-Za-z0-9+/_.=~!@#%^*$-]+")
 _NAME = re.compile(r"[A-Za-z_$][A-Za-z0-9_$.]*\Z")
+_IDENTIFIER = re.compile(r"[A-Za-z_$][A-Za-z0-9_$]*+(?:\.[A-Za-z_$][A-Za-z0-9_$]*+)*+(?![\x20\t]*\()")
 _JOIN = re.compile(r"[\x20\t]*(?:\+|\.\.|&)?[\x20\t]*(?=[\"'`])")
+_PLUS = re.compile(r"[\x20\t]*(?:\+|\.\.|&)[\x20\t]*(?=[A-Za-z_$\"'`])")
 _REFERENCE = re.compile(r"\$\{([A-Za-z_][A-Za-z0-9_.]*)\}")
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
@@ -67,37 +71,54 @@ def look(value: str) -> float:
     return min(1.0, 0.12 * classes + 0.1 * max(0.0, entropy - 1.5) + 0.01 * min(n, 32))
 
 
-def pairs(text: str) -> Iterator[tuple[str, str, int, int]]:
-    """Name-literal pairs (name, resolved literal, start, end of the literal as written), in order of place."""
+Bound = dict[str, tuple[str, frozenset[tuple[int, int]]]]
+
+
+def _operand(text: str, at: int, bound: Bound) -> tuple[str, frozenset, int, int, int] | None:
+    """(value, places of the constants in it, start, end as written, end with the quote) of a string or a bound name."""
+    if q := _QUOTED.match(text, at):
+        value = next(g for g in q.groups() if g is not None)
+        used = frozenset().union(*(bound[n][1] for n in _REFERENCE.findall(value) if n in bound))
+        return _REFERENCE.sub(lambda r: bound[r[1]][0] if r[1] in bound else r[0], value), used, q.start() + 1, q.end() - 1, q.end()
+    if (r := _REFERENCE.match(text, at)) and r[1] in bound:
+        return *bound[r[1]], r.start(), r.end(), r.end()
+    if (n := _IDENTIFIER.match(text, at)) and n[0] in bound:
+        return *bound[n[0]], n.start(), n.end(), n.end()
+    return None
+
+
+def pairs(text: str) -> Iterator[tuple[str, str, int, int, frozenset[tuple[int, int]]]]:
+    """Name-literal pairs in order of place: name, resolved literal, start, end as written, places of the constants in it."""
     if "=" not in text and ":" not in text:
         return
-    bound: dict[str, str] = {}
+    bound: Bound = {}
     for m in _TARGET.finditer(text):
         name, at = m[2], m.end()
-        q = _QUOTED.match(text, at)
-        if q:
-            value, start, end = "", q.start() + 1, q.end() - 1
-            while q:
-                value += next(g for g in q.groups() if g is not None)
-                end = q.end() - 1
-                j = _JOIN.match(text, q.end())
-                q = _QUOTED.match(text, j.end()) if j else None
-            value = _REFERENCE.sub(lambda r: bound.get(r[1], r[0]), value)
-        else:
-            b = _BARE.match(text, at)
+        b = _BARE.match(text, at)
+        operand, value, parts = _operand(text, at, bound), "", 0
+        if operand:
+            used, start = frozenset(), operand[2]
+            while operand:
+                value, used, end, after, parts = value + operand[0], used | operand[1], operand[3], operand[4], parts + 1
+                j = after > end and _JOIN.match(text, after) or _PLUS.match(text, after)  # only strings stand side by side
+                operand = _operand(text, j.end(), bound) if j else None
+        if b and not text.startswith("${", at) and (not parts or end < b.end() and parts == 1):
+            value, used, start, end = b[0], frozenset(), b.start(), b.end()  # a bare literal, not a name alone
+            if _NAME.match(value) and value in bound:
+                value, used = bound[value]
+        elif not parts:
             if not b:
                 continue
-            value, start, end = b[0], b.start(), b.end()
-            if _NAME.match(value) and value in bound:
-                value = bound[value]
-            elif (r := _REFERENCE.match(text, at)) and r[1] in bound:
-                value, end = bound[r[1]], r.end()
-        bound[name] = value
-        yield name, value, start, end
+            value, used, start, end = b[0], frozenset(), b.start(), b.end()
+        bound.pop(name, None)
+        if len(value) <= LONGEST:
+            bound[name] = value, used | {(start, end)}
+        yield name, value, start, end, used
 
 
 def lexed_spans(text: str) -> list[tuple[str, int, int]]:
-    return [("lexed", start, end) for name, value, start, end in pairs(text) if (w := name_weight(name)) and w + look(value) >= THRESHOLD + 0.4 and look(value) >= 0.45]
+    found = [((start, end), used) for name, value, start, end, used in pairs(text) if (w := name_weight(name)) and w + look(value) >= THRESHOLD + 0.4 and look(value) >= 0.45]
+    return [("lexed", *place) for place in {p for own, used in found for p in (own, *used)}]
 
 
 def all_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
