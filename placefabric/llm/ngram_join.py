@@ -259,7 +259,84 @@ def _verify(width: int, num: int, den: int):
     return work
 
 
-def ngram_components(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+def _same(x: np.ndarray, tokens: np.ndarray, owner: np.ndarray, m: int) -> np.ndarray:
+    """How many tokens of x each of m sets holds, a million hits at a time."""
+    at, to = np.searchsorted(tokens, x, "left"), np.searchsorted(tokens, x, "right")
+    n = to - at
+    parts = np.cumsum(n) // (1 << 20)
+    same = np.zeros(m, np.int64)
+    for lo, hi in zip(*runs(parts), strict=True):
+        k = n[lo:hi]
+        same += np.bincount(owner[np.repeat(at[lo:hi] - (np.cumsum(k) - k), k) + np.arange(k.sum())], minlength=m)
+    return same
+
+
+def _verify_all(width: int, num: int, den: int):
+    """From a bucket of pieces of work (work, i, j, doc, own, n, works, text): kind 0, links (a, b) that span the piece;
+    kind 1, (document, sum of n over its links). A link counts in one piece alone, that of the smallest work of both."""
+
+    def work(table: pa.Table) -> pa.Table:
+        keys = np.stack([table[c].to_numpy() for c in ("j", "i", "work")])
+        order = np.lexsort(keys)
+        keys = keys[:, order]
+        cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+        kinds, left, right = [], [], []
+        for rows in np.split(order, cuts):
+            m = len(rows)
+            if m < 2:
+                continue
+            part = table.take(pa.array(rows))
+            docs, own, n = (part[c].to_numpy() for c in ("doc", "own", "n"))
+            here, i, j = (part[c][0].as_py() for c in ("work", "i", "j"))
+            works, holders = [[w for w in ws if w < here] for ws in part["works"].to_pylist()], {}
+            for k, ws in enumerate(works):
+                for w in ws:
+                    holders.setdefault(w, []).append(k)
+            holders = {w: np.array(ks) for w, ks in holders.items() if len(ks) > 1}
+            sets: list[np.ndarray] = []
+            for _, _, data, offsets in chunks(part["text"]):
+                sets += shingle_sets(*word_hashes(data, offsets, True), width)
+            sizes = np.array([len(x) for x in sets], np.int64)
+            tokens, owner = np.concatenate(sets), np.repeat(np.arange(m), sizes)
+            by = np.argsort(tokens, kind="stable")
+            tokens, owner = tokens[by], owner[by]
+            forest, linked = _Forest(m), np.zeros(m, np.int64)
+            for x in range(m):
+                same = _same(sets[x], tokens, owner, m)
+                like = same * den >= num * (sizes + sizes[x] - same)
+                like[: x + 1] = False
+                like &= (np.minimum(own, own[x]) == i) & (np.maximum(own, own[x]) == j)
+                for w in works[x]:
+                    if w in holders:
+                        like[holders[w]] = False
+                ys = np.flatnonzero(like)
+                linked[x] += n[ys].sum()
+                linked[ys] += n[x]
+                for y in ys.tolist():
+                    if forest.link(x, y):
+                        kinds.append(0)
+                        left.append(int(docs[x]))
+                        right.append(int(docs[y]))
+            some = np.flatnonzero(linked)
+            kinds += [1] * len(some)
+            left += docs[some].tolist()
+            right += linked[some].tolist()
+        return pa.table({"kind": pa.array(kinds, pa.int32()), "a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+
+    return work
+
+
+def ngram_links(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+    """docs as in ngram_components -> a row for each row: doc_id, n_shingles, component_id, copies, n_links.
+
+    Every pair that the index proposes is verified. n_links counts the other rows with a doc_id whose sets have a Jaccard
+    similarity of num/den or more to the row's, equal sets among them; it is 0 for an empty set or a null doc_id.
+    """
+    out = ngram_components(docs, width, num, den, every=True)
+    return out.select("doc_id", F.col("size").alias("n_shingles"), "component_id", "copies", "n_links")
+
+
+def ngram_components(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, every: bool = False) -> DataFrame:
     """docs (doc_id long, text string, ...) -> a row for each row: doc_id, size (distinct shingles), component_id, copies.
 
     Links join documents whose shingle sets have a Jaccard similarity of num/den or more; component_id is the smallest
@@ -290,16 +367,26 @@ def ngram_components(docs: DataFrame, width: int = 5, num: int = 8, den: int = 1
     counts = listed.groupBy("list").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     listed = listed.join(counts, "list").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     pieces = listed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pieces = pieces.select("doc", "size", F.struct(F.col("list").alias("work"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).alias("piece"))
+    pieces = pieces.select("doc", "size", F.struct(F.col("list").alias("work"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own").alias("piece"))
     by_doc = materialise(pieces.groupBy("doc").agg(F.collect_list("piece").alias("pieces"), F.sum("size").alias("weight")))
     bytes_ = 8 * (by_doc.agg(F.sum("weight")).first()[0] or 0)
     tasks = max(least, bytes_ // BUCKET_BYTES)
     # texts travel, not their sets: they take fewer bytes once compressed
     shipped = by_doc.join(docs, F.col("doc") == F.col("doc_id")).select("doc", "text", F.explode("pieces").alias("piece")).select("piece.*", "doc", "text")
-    links = shipped.withColumn("bucket", F.pmod(F.xxhash64("work", "i", "j"), F.lit(tasks))).groupBy("bucket").applyInArrow(_verify(width, num, den), "a long, b long")
+    bucketed = F.pmod(F.xxhash64("work", "i", "j"), F.lit(tasks))
+    classes = rows.where("size > 0 and doc_id is not null").groupBy("s1", "s2", "size").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("n"))
+    if every:
+        full = by_doc.join(docs, F.col("doc") == F.col("doc_id")).join(classes.select(F.col("head").alias("doc_id"), "n"), "doc_id")
+        full = full.select("doc", "text", "n", F.array_distinct(F.transform("pieces", lambda p: p["work"])).alias("works"), F.explode("pieces").alias("piece")).select("piece.*", "doc", "n", "works", "text")
+        found = materialise(full.withColumn("bucket", bucketed).groupBy("bucket").applyInArrow(_verify_all(width, num, den), "kind int, a long, b long"))
+        links = found.where("kind = 0").select("a", "b")
+        degrees = found.where("kind = 1").groupBy(F.col("a").alias("head")).agg(F.sum("b").alias("linked"))
+        classes = classes.join(degrees, "head", "left").withColumn("linked", F.coalesce("linked", F.lit(0)) + F.col("n") - 1)
+    else:
+        links = shipped.withColumn("bucket", bucketed).groupBy("bucket").applyInArrow(_verify(width, num, den), "a long, b long")
     nodes = components(links)
 
-    classes = rows.where("size > 0 and doc_id is not null").groupBy("s1", "s2", "size").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("n"))
-    classes = classes.join(nodes, F.col("head") == F.col("node"), "left").select("s1", "s2", "size", F.coalesce("component", "head").alias("component"), "n")
+    classes = classes.join(nodes, F.col("head") == F.col("node"), "left").select("s1", "s2", "size", F.coalesce("component", "head").alias("component"), "n", *["linked"] * every)
     out = rows.join(classes, ["s1", "s2", "size"], "left")
-    return out.select("doc_id", "size", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"), F.coalesce("n", F.lit(1)).alias("copies"))
+    out = out.select("doc_id", "size", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"), F.coalesce("n", F.lit(1)).alias("copies"), *[F.when(F.col("doc_id").isNotNull(), F.col("linked")).otherwise(0).alias("_l")] * every)
+    return out.withColumn("n_links", F.coalesce("_l", F.lit(0))).drop("_l") if every else out

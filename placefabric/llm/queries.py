@@ -10,7 +10,7 @@ from placefabric.llm.edit_fingerprint import neighbour_fingerprints
 from placefabric.llm.html_extract import extract
 from placefabric.llm.language_id import identify
 from placefabric.llm.license_scan import license_scan
-from placefabric.llm.ngram_join import ngram_components
+from placefabric.llm.ngram_join import ngram_components, ngram_links
 from placefabric.llm.secret_scan import secret_spans
 from placefabric.llm.source_mix import mix_sources
 from placefabric.llm.substring_dedup import substring_dedup
@@ -29,6 +29,10 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(_table(spark, sf_dir, "documents"), width=3, num=90, den=100)
 
 
+def op2_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_links(_table(spark, sf_dir, "documents"), width=3, num=90, den=100)
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
@@ -66,6 +70,7 @@ QUERIES = {
     for f in (
         op1_benchmark_decontamination,
         op2_ngram_jaccard_join,
+        op2_ngram_jaccard_links,
         op3_source_mix,
         op4_html_extraction,
         op5_suffix_array_dedup,
