@@ -332,12 +332,11 @@ def ngram_links(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10) ->
     Every pair that the index proposes is verified. n_links counts the other rows with a doc_id whose sets have a Jaccard
     similarity of num/den or more to the row's, equal sets among them; it is 0 for an empty set or a null doc_id.
     """
-    out = ngram_components(docs, width, num, den, every=True)
-    return out.select("doc_id", F.col("size").alias("n_shingles"), "component_id", "copies", "n_links")
+    return ngram_components(docs, width, num, den, every=True).select("doc_id", "n_shingles", "component_id", "copies", "n_links")
 
 
 def ngram_components(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, every: bool = False) -> DataFrame:
-    """docs (doc_id long, text string, ...) -> a row for each row: doc_id, size (distinct shingles), component_id, copies.
+    """docs (doc_id long, text string, ...) -> a row for each row: doc_id, n_shingles (distinct ones), component_id, copies.
 
     Links join documents whose shingle sets have a Jaccard similarity of num/den or more; component_id is the smallest
     doc_id that links reach. copies counts the documents with the same set. Null and wordless texts have the empty set,
@@ -388,5 +387,5 @@ def ngram_components(docs: DataFrame, width: int = 5, num: int = 8, den: int = 1
 
     classes = classes.join(nodes, F.col("head") == F.col("node"), "left").select("s1", "s2", "size", F.coalesce("component", "head").alias("component"), "n", *["linked"] * every)
     out = rows.join(classes, ["s1", "s2", "size"], "left")
-    out = out.select("doc_id", "size", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"), F.coalesce("n", F.lit(1)).alias("copies"), *[F.when(F.col("doc_id").isNotNull(), F.col("linked")).otherwise(0).alias("_l")] * every)
+    out = out.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"), F.coalesce("n", F.lit(1)).alias("copies"), *[F.when(F.col("doc_id").isNotNull(), F.col("linked")).otherwise(0).alias("_l")] * every)
     return out.withColumn("n_links", F.coalesce("_l", F.lit(0))).drop("_l") if every else out

@@ -11,7 +11,7 @@ e AS (SELECT c.head AS doc_id, c.n, unnest(s.sh) AS g FROM c JOIN s ON s.doc_id
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
 l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
 r(doc_id, reached) AS (SELECT head, head FROM c UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.reached)
-SELECT k.doc_id, k.n AS size, coalesce(m.component_id, k.doc_id) AS component_id, coalesce(c.copies, 1) AS copies
+SELECT k.doc_id, k.n AS n_shingles, coalesce(m.component_id, k.doc_id) AS component_id, coalesce(c.copies, 1) AS copies
 FROM k LEFT JOIN c ON c.h = k.h AND c.n = k.n LEFT JOIN (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id) m ON m.doc_id = c.head"""
 
 OP6 = f"""WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),

@@ -29,7 +29,7 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(_table(spark, sf_dir, "documents"), width=3, num=90, den=100)
 
 
-def op2_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_links(_table(spark, sf_dir, "documents"), width=3, num=90, den=100)
 
 
@@ -70,7 +70,7 @@ QUERIES = {
     for f in (
         op1_benchmark_decontamination,
         op2_ngram_jaccard_join,
-        op2_ngram_jaccard_links,
+        ngram_jaccard_links,
         op3_source_mix,
         op4_html_extraction,
         op5_suffix_array_dedup,
