@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SAMPLE_DOCS = 400  # labelled texts of a language, at most about so many, chosen by hash
-SAMPLE_CHARS = 2_000  # of each
+SAMPLE_CHARS = 2_000  # of each, a window at a place chosen by hash
+BROADCAST_ROWS = 10_000  # languages up to which their counts are broadcast
 DICTIONARY_BYTES = 96 << 10
 PIECE = 2_048  # code points encoded at once
 LEVEL = 5
@@ -36,18 +37,22 @@ def letters(text: str) -> str:
 def learn(labelled: DataFrame) -> dict[str, bytes]:
     """(doc_id, text, lang) -> a dictionary for each language. Null texts and languages are left out.
 
-    About SAMPLE_DOCS texts of a language, the ones of least hash, reach the driver, SAMPLE_CHARS of each. The languages
-    with most texts stand first; the order decides ties.
+    About SAMPLE_DOCS texts of a language, the ones of least hash, reach the driver, of each a window of SAMPLE_CHARS that
+    a hash places. The languages with most texts stand first; the order decides ties. One count of each language reaches
+    the driver too. Without labelled texts there is no dictionary.
     """
-    rows = labelled.where("text is not null and lang is not null").select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)).alias("h"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    labelled = labelled.where("text is not null and lang is not null").select("doc_id", labelled["text"].cast("string").alias("text"), labelled["lang"].cast("string").alias("lang"))
+    hashed = labelled.withColumn("h", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)))
+    counts = {r["lang"]: r["n"] for r in hashed.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return {}
-    limit: Column = F.lit(0)
-    for lang, n in counts.items():
-        limit = F.when(F.col("lang") == lang, F.lit(min(1 << 20, (SAMPLE_DOCS << 20) // n))).otherwise(limit)
+    limits = labelled.sparkSession.createDataFrame([(lang, min(1 << 20, (SAMPLE_DOCS << 20) // n)) for lang, n in counts.items()], "lang string, most long")
+    if len(counts) <= BROADCAST_ROWS:
+        limits = F.broadcast(limits)
+    start = F.pmod(F.xxhash64("text", F.lit(1)), F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS + 1)).cast("int") + 1
+    rows = hashed.join(limits, "lang").where("h < most").select("lang", "h", F.substring("text", start, F.lit(SAMPLE_CHARS)).alias("text"))
     by_lang = defaultdict(list)
-    for r in rows.where(F.col("h") < limit).collect():
+    for r in rows.collect():
         by_lang[r["lang"]].append((r["h"], r["text"]))
     out = {}
     for lang, found in by_lang.items():
