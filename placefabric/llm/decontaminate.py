@@ -1,8 +1,10 @@
 """Benchmark decontamination by BM25 retrieval with block-max WAND.
 
-The test items are indexed with impacts divided by the item's score against itself, in blocks of items that keep each
-term's largest impact. Every passage of every document queries the index: blocks that the passage's words cannot lift to
-the threshold even with their largest impacts are passed over, in the others WAND moves cursors from pivot to pivot and
+The number of items, their mean length and each term's document frequency are counted over all items first, so an item's
+scores don't depend on how the items are cut. The test items are indexed with impacts divided by the item's score against
+itself, in blocks of items and spans of blocks that keep each term's largest impact. Every passage of every document
+queries the index: a span that its words cannot lift to the threshold even with their largest impacts is skipped with all
+its blocks, then a block of the others with all its items; in what remains WAND moves cursors from pivot to pivot and
 retrieves all items above the threshold. A retrieved pair counts as a leak when both the item's question and its answer
 overlap the passage in word n-grams.
 """
@@ -11,33 +13,27 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from placefabric.llm.arrays import chunks, mark_table, word_hashes
+from placefabric.llm.components import materialise
+from placefabric.llm.exchange import runs
 
 K1, B = 1.2, 0.75
 BLOCK = 4  # items of a block
-INDEX_ITEMS = 1024  # items of one index, which keeps a bound for each term and block
-SHARD_BYTES = 1 << 20  # of items' texts that travel with one pass over the documents, in as many indexes as they need
+SPAN = 16  # blocks of a span
+INDEX_BYTES = 8 << 20  # of items' texts in one index, which is broadcast; its arrays take about eight times that
 THRESHOLD = 0.5  # of the item's score against itself
 PASSAGE = 128  # words; at least twice the longest item
 NGRAM = 3
 OVERLAP = 0.6  # share of the n-grams of question and answer
 
 
-@dataclass
-class Item:
-    item_id: int
-    question: list[int]
-    answer: list[int]
-
-
 def split_item(text: str) -> tuple[str, str]:
     """Question and answer: parted after the last question mark, else before the last sentence; one sentence is both."""
     at = text.rfind("?") + 1
@@ -47,54 +43,96 @@ def split_item(text: str) -> tuple[str, str]:
     return (text[:at], text[at:]) if at and re.search(r"\w", text[:at]) and re.search(r"\w", text[at:]) else (text, text)
 
 
-def hashed_words(texts: list[str]) -> list[list[int]]:
-    out: list[list[int]] = []
+def hashed_words(texts: list[str]) -> list[np.ndarray]:
+    out: list[np.ndarray] = []
     for _, _, data, offsets in chunks(pa.array(texts, pa.string())):
         words, first = word_hashes(data, offsets, True, mark_table())
-        out += [words[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)]
+        out += [words[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
     return out
 
 
+def _flat(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([np.zeros(0, np.uint64), *parts]), np.cumsum([0, *map(len, parts)])
+
+
+def _slices(at: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """All places in [at, to) of each slice."""
+    n = to - at
+    return np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
 class Index:
-    """Inverted index of items; items without words are left out."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        parts = [split_item(t) for _, t in items]
-        whole, questions, answers = hashed_words([t for _, t in items]), hashed_words([q for q, _ in parts]), hashed_words([a for _, a in parts])
-        rows = [k for k, w in enumerate(whole) if w]
-        self.items = [Item(items[k][0], questions[k], answers[k]) for k in rows]
-        self.longest = max((len(whole[k]) for k in rows), default=0)
-        counts = [Counter(whole[k]) for k in rows]
-        n, mean = len(rows), sum(len(whole[k]) for k in rows) / max(1, len(rows))
-        frequency = Counter(t for c in counts for t in c)
-        self.postings: dict[int, list[tuple[int, float]]] = defaultdict(list)
-        for number, (k, c) in enumerate(zip(rows, counts, strict=True)):
-            impact = {t: math.log(1 + (n - frequency[t] + 0.5) / (frequency[t] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * len(whole[k]) / mean)) for t, f in c.items()}
-            total = sum(impact.values())
-            for t, x in impact.items():
-                self.postings[t].append((number, x / total))
-        self.terms = np.array(sorted(self.postings), np.uint64)
-        place = {t: i for i, t in enumerate(self.terms.tolist())}
-        self.blocks: list[dict[int, list[tuple[int, float]]]] = [defaultdict(list) for _ in range(-(-n // BLOCK))]
-        self.bounds = np.zeros((len(self.terms), len(self.blocks)), np.float32)
-        for t, found in self.postings.items():
-            i = place[t]
-            for item, x in found:
-                self.blocks[item // BLOCK][i].append((item, x))
-                self.bounds[i, item // BLOCK] = max(self.bounds[i, item // BLOCK], x)
+    """Inverted index of items as flat arrays; items without words are left out.
+
+    rows: (item_id, text) each, with two arrays more, its distinct terms and their document frequencies over all items.
+    count, mean: the number of all items with words and their mean length. Without these the rows are all items.
+    """
+
+    def __init__(self, rows: list[tuple], count: int | None = None, mean: float | None = None):
+        parts = [split_item(r[1]) for r in rows]
+        whole, questions, answers = hashed_words([r[1] for r in rows]), hashed_words([q for q, _ in parts]), hashed_words([a for _, a in parts])
+        own = [k for k, w in enumerate(whole) if len(w)]
+        self.ids = np.array([rows[k][0] for k in own], np.int64)
+        self.questions, self.answers = _flat([questions[k] for k in own]), _flat([answers[k] for k in own])
+        self.longest = max((len(whole[k]) for k in own), default=0)
+        n, mean = count or len(own), mean or sum(len(whole[k]) for k in own) / max(1, len(own))
+        found = [np.unique(whole[k], return_counts=True) for k in own]
+        term, f = np.concatenate([np.zeros(0, np.uint64), *(t for t, _ in found)]), np.concatenate([np.zeros(0), *(c for _, c in found)])
+        sizes = np.array([len(t) for t, _ in found], np.int64)
+        item, length = np.repeat(np.arange(len(own)), sizes), np.repeat(np.array([len(whole[k]) for k in own], np.float64), sizes)
+        self.terms, place, standing = np.unique(term, return_inverse=True, return_counts=True)
+        if count is not None:  # over all items
+            for k in own:
+                standing[np.searchsorted(self.terms, np.asarray(rows[k][2], np.int64).view(np.uint64))] = rows[k][3]
+        df = standing[place].astype(np.float64)
+        impact = np.log(1 + (n - df + 0.5) / (df + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * length / mean))
+        total = np.bincount(item, impact, len(own)) if len(own) else np.zeros(0)
+        order = np.lexsort((item, place))
+        self.item, self.impact = item[order].astype(np.int32), (impact / total[item])[order] if len(own) else impact
+        self.n_blocks = -(-len(own) // BLOCK)
+        self.n_spans = -(-self.n_blocks // SPAN)
+        key = place[order].astype(np.int64) * max(1, self.n_blocks) + self.item // BLOCK
+        at, to = runs(key)
+        self.block_key, self.block_at = key[at], np.append(at, len(key))
+        self.block_most = np.maximum.reduceat(self.impact, at) if len(at) else np.zeros(0)
+        block, of = self.block_key % max(1, self.n_blocks), self.block_key // max(1, self.n_blocks)
+        key = of * max(1, self.n_spans) + block // SPAN
+        at, to = runs(key)
+        self.span, self.span_most = (key[at] % max(1, self.n_spans)).astype(np.int32), np.maximum.reduceat(self.block_most, at) if len(at) else np.zeros(0)
+        self.span_at = np.searchsorted(key[at] // max(1, self.n_spans), np.arange(len(self.terms) + 1))
+
+    def postings(self, term: int) -> tuple[np.ndarray, np.ndarray]:
+        """The items of a term and its impacts."""
+        a, b = self.block_at[np.searchsorted(self.block_key, [term * self.n_blocks, (term + 1) * self.n_blocks])]
+        return self.item[a:b], self.impact[a:b]
 
     def search(self, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
         """All items that score the threshold or more for distinct terms, given by their places in `terms`."""
         found: list[tuple[int, float]] = []
-        if len(terms):
-            for b in np.flatnonzero(self.bounds[terms].sum(axis=0) >= threshold - 1e-4).tolist():
-                found += self._wand(b, terms.tolist(), threshold)
+        if not len(terms):
+            return found
+        p = _slices(self.span_at[terms], self.span_at[terms + 1])
+        spans = np.flatnonzero(np.bincount(self.span[p], self.span_most[p], self.n_spans) >= threshold - 1e-4)
+        if not len(spans):
+            return found
+        base = (terms[:, None] * self.n_blocks + spans * SPAN).ravel()
+        end = (terms[:, None] * self.n_blocks + np.minimum((spans + 1) * SPAN, self.n_blocks)).ravel()
+        p = _slices(np.searchsorted(self.block_key, base), np.searchsorted(self.block_key, end))
+        block = self.block_key[p] % self.n_blocks
+        passing = np.bincount(block, self.block_most[p], self.n_blocks) >= threshold - 1e-4
+        if passing.any():
+            p, block = p[passing[block]], block[passing[block]]
+            for b in np.unique(block).tolist():
+                found += self._wand(p[block == b], threshold)
         return found
 
-    def _wand(self, b: int, terms: list[int], threshold: float) -> list[tuple[int, float]]:
-        block = self.blocks[b]
-        # a cursor: current item, position, postings, largest impact in the block
-        cursors = [[block[t][0][0], 0, block[t], float(self.bounds[t, b])] for t in terms if t in block]
+    def _wand(self, lists: np.ndarray, threshold: float) -> list[tuple[int, float]]:
+        """Items above the threshold in one block, whose posting lists have these numbers."""
+        cursors = []  # a cursor: current item, position, postings, largest impact in the block
+        for q in lists.tolist():
+            a, b = self.block_at[q], self.block_at[q + 1]
+            p = list(zip(self.item[a:b].tolist(), self.impact[a:b].tolist(), strict=True))
+            cursors.append([p[0][0], 0, p, float(self.block_most[q])])
         found = []
         while cursors:
             cursors.sort(key=lambda c: c[0])
@@ -125,9 +163,10 @@ class Index:
         return found
 
 
-def overlap(part: list[int], passage: set[tuple[int, ...]], n: int = NGRAM) -> float:
+def overlap(part: np.ndarray, passage: set[tuple[int, ...]], n: int = NGRAM) -> float:
     """Share of a part's n-grams (its whole sequence if shorter) that the passage holds."""
-    grams = {tuple(part[i : i + n]) for i in range(max(1, len(part) - n + 1))}
+    words = part.tolist()
+    grams = {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))}
     return sum(g in passage for g in grams) / len(grams)
 
 
@@ -147,51 +186,72 @@ def leaks(index: Index, words: np.ndarray) -> list[tuple[int, float, float, floa
             if grams is None:
                 w = words[a:b].tolist()
                 grams = {tuple(w[i : i + n]) for n in range(1, NGRAM + 1) for i in range(len(w) - n + 1)}
-            item = index.items[number]
-            q, r = overlap(item.question, grams), overlap(item.answer, grams)
+            q, r = (overlap(flat[at[number] : at[number + 1]], grams) for flat, at in (index.questions, index.answers))
             if q >= OVERLAP and r >= OVERLAP and score > best.get(number, (0, -1.0))[1]:
-                best[number] = (item.item_id, score, q, r)
+                best[number] = (int(index.ids[number]), score, q, r)
     return [best[k] for k in sorted(best)]
 
 
-def indexes(part: list[tuple[int, str]]) -> list[Index]:
-    return [Index(part[k : k + INDEX_ITEMS]) for k in range(0, len(part), INDEX_ITEMS)]
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = hashed_words(batch.column(1).to_pylist())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(w) for w in words], pa.int64()), pa.array([np.unique(w).view(np.int64) for w in words], pa.list_(pa.int64()))], names=["item_id", "text", "n", "terms"])
+
+
+def indexes(items: DataFrame) -> Iterator[Index]:
+    """Indexes of about INDEX_BYTES of items' texts each; counts are over all items. Null texts and ids are left out; a
+    repeated item counts as often as it stands."""
+    items = items.select(items["item_id"].cast("long").alias("item_id"), items["text"].cast("string").alias("text")).where("item_id is not null and text is not null")
+    split = materialise(items.mapInArrow(_terms, "item_id long, text string, n long, terms array<long>").where("n > 0").withColumn("at", F.monotonically_increasing_id()))
+    count, mean = split.agg(F.count(F.lit(1)), F.avg("n")).first()
+    if not count:
+        return
+    each = split.select("at", F.explode("terms").alias("term"))
+    df = each.join(each.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term").groupBy("at").agg(F.collect_list(F.struct("term", "df")).alias("t"))
+    rows, size = [], 0
+    for r in split.select("at", "item_id", "text").join(df, "at").select("item_id", "text", "t.term", "t.df").orderBy("item_id", "text").toLocalIterator():
+        rows.append(tuple(r))
+        size += len(r["text"])
+        if size >= INDEX_BYTES:
+            yield Index(rows, count, mean)
+            rows, size = [], 0
+    if rows:
+        yield Index(rows, count, mean)
+
 
+def _shared(docs: DataFrame, index: Index):
+    """The index in the tasks, sent to each executor once."""
+    sent = docs.sparkSession.sparkContext.broadcast(vars(index))
 
-def shards(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """Items in lists of about SHARD_BYTES, read one partition at a time. Null texts and ids are left out."""
-    part, size = [], 0
-    for r in items.where("item_id is not null and text is not null").select("item_id", "text").toLocalIterator():
-        part.append((r["item_id"], r["text"]))
-        size += len(r["text"])
-        if size >= SHARD_BYTES:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
+    def get() -> Index:
+        own = Index.__new__(Index)
+        vars(own).update(sent.value)
+        return own
+
+    return get
 
 
 def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Pairs of a document (doc_id, text) and a test item (item_id, text) that leaked into it: doc_id, item_id, score, question_overlap, answer_overlap.
 
     One row for each pair, with its best passage; documents without a leak have none. Null texts hold nothing. Repeated
-    rows give repeated pairs.
+    rows give repeated pairs. Documents are read once for every INDEX_BYTES of items.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     ddl = f"doc_id {kind}, item_id long, score double, question_overlap double, answer_overlap double"
     docs = docs.select("doc_id", docs["text"].cast("string").alias("text"))
     out = docs.sparkSession.createDataFrame([], ddl)
-    for part in shards(items):
+    for index in indexes(items):
 
-        def scan(batches: Iterator[pa.RecordBatch], part: list[tuple[int, str]] = part) -> Iterator[pa.RecordBatch]:
-            own = indexes(part)
+        def scan(batches: Iterator[pa.RecordBatch], get=_shared(docs, index)) -> Iterator[pa.RecordBatch]:
+            own = get()
             for batch in batches:
                 rows: list[int] = []
                 found: list[tuple] = []
                 for at, to, data, offsets in chunks(batch.column(1)):
                     words, first = word_hashes(data, offsets, True, mark_table())
                     for k in range(to - at):
-                        for x in [x for index in own for x in leaks(index, words[first[k] : first[k + 1]])]:
+                        for x in leaks(own, words[first[k] : first[k + 1]]):
                             rows.append(at + k)
                             found.append(x)
                 cols = list(zip(*found, strict=True)) or [()] * 4
@@ -202,17 +262,17 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs into which no item leaked, with all their columns."""
+    """The rows of docs into which no item leaked, with all their columns. Null and empty texts stay."""
     at = docs.columns.index("text")
-    for part in shards(items):
+    for index in indexes(items):
 
-        def scan(batches: Iterator[pa.RecordBatch], part: list[tuple[int, str]] = part) -> Iterator[pa.RecordBatch]:
-            own = indexes(part)
+        def scan(batches: Iterator[pa.RecordBatch], get=_shared(docs, index)) -> Iterator[pa.RecordBatch]:
+            own = get()
             for batch in batches:
                 keep: list[bool] = []
                 for _, _, data, offsets in chunks(batch.column(at)):
                     words, first = word_hashes(data, offsets, True, mark_table())
-                    keep += [not any(leaks(index, words[a:b]) for index in own) for a, b in zip(first[:-1], first[1:], strict=True)]
+                    keep += [not leaks(own, words[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
         docs = docs.mapInArrow(scan, docs.schema)
