@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder that the session names in spark.checkpoint.dir; one of our own only where none is set."""
+    """The shared folder that the session names in spark.checkpoint.dir; one of our own only in a local session without it."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             import tempfile
 
-            folder = tempfile.mkdtemp(prefix="placefabric-checkpoint-")  # a local session without the setting, as in tests
+            folder = tempfile.mkdtemp(prefix="placefabric-checkpoint-")  # as in tests
         context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
