@@ -28,6 +28,7 @@ K1, B = 1.2, 0.75
 BLOCK = 4  # items of a block
 SPAN = 16  # blocks of a span
 INDEX_BYTES = 8 << 20  # of items' texts in one index, which is broadcast; its arrays take about eight times that
+GATHER = 1 << 21  # list entries that are summed at a time
 THRESHOLD = 0.5  # of the item's score against itself
 PASSAGE = 128  # words; at least twice the longest item
 NGRAM = 3
@@ -61,6 +62,15 @@ def _slices(at: np.ndarray, to: np.ndarray) -> np.ndarray:
     return np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
+def _batches(upto: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of entries whose running totals grow by about GATHER; one entry at least."""
+    a = 0
+    while a < len(upto) - 1:
+        b = min(len(upto) - 1, max(a + 1, int(np.searchsorted(upto, upto[a] + GATHER, "right")) - 1))
+        yield a, b
+        a = b
+
+
 class Index:
     """Inverted index of items as flat arrays; items without words are left out.
 
@@ -108,23 +118,37 @@ class Index:
 
     def search(self, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
         """All items that score the threshold or more for distinct terms, given by their places in `terms`."""
-        found: list[tuple[int, float]] = []
-        if not len(terms):
-            return found
-        p = _slices(self.span_at[terms], self.span_at[terms + 1])
-        spans = np.flatnonzero(np.bincount(self.span[p], self.span_most[p], self.n_spans) >= threshold - 1e-4)
-        if not len(spans):
-            return found
-        base = (terms[:, None] * self.n_blocks + spans * SPAN).ravel()
-        end = (terms[:, None] * self.n_blocks + np.minimum((spans + 1) * SPAN, self.n_blocks)).ravel()
-        p = _slices(np.searchsorted(self.block_key, base), np.searchsorted(self.block_key, end))
-        block = self.block_key[p] % self.n_blocks
-        passing = np.bincount(block, self.block_most[p], self.n_blocks) >= threshold - 1e-4
-        if passing.any():
-            p, block = p[passing[block]], block[passing[block]]
-            for b in np.unique(block).tolist():
-                found += self._wand(p[block == b], threshold)
-        return found
+        return [(item, score) for _, item, score in self.retrieve(np.zeros(len(terms), np.int64), terms, threshold)]
+
+    def retrieve(self, passage: np.ndarray, term: np.ndarray, threshold: float) -> Iterator[tuple[int, int, float]]:
+        """(passage, item, score) of all that reach the threshold; the distinct pairs of passage and term come in order of passage."""
+        first = np.searchsorted(passage, np.arange(int(passage[-1]) + 2)) if len(passage) else np.zeros(1, np.int64)
+        upto = np.concatenate(([0], np.cumsum(self.span_at[term + 1] - self.span_at[term])))
+        for a, b in _batches(upto[first]):
+            t = term[first[a] : first[b]]
+            at, to = self.span_at[t], self.span_at[t + 1]
+            p, who = _slices(at, to), np.repeat(passage[first[a] : first[b]] - a, to - at)
+            bound = np.bincount(who * self.n_spans + self.span[p], self.span_most[p], (b - a) * self.n_spans)
+            hit = np.flatnonzero(bound >= threshold - 1e-4)  # spans that a passage may lift to the threshold
+            who, span = hit // self.n_spans + a, hit % self.n_spans
+            sizes = np.concatenate(([0], np.cumsum(first[who + 1] - first[who])))
+            for i, j in _batches(sizes * 4):
+                yield from self._blocks(first, term, who[i:j], span[i:j], threshold)
+
+    def _blocks(self, first: np.ndarray, term: np.ndarray, who: np.ndarray, span: np.ndarray, threshold: float) -> Iterator[tuple[int, int, float]]:
+        of = np.repeat(np.arange(len(who)), first[who + 1] - first[who])
+        key = term[_slices(first[who], first[who + 1])] * self.n_blocks
+        at = np.searchsorted(self.block_key, key + span[of] * SPAN)
+        to = np.searchsorted(self.block_key, key + np.minimum((span[of] + 1) * SPAN, self.n_blocks))
+        p, of = _slices(at, to), np.repeat(of, to - at)
+        cell = of * SPAN + self.block_key[p] % self.n_blocks % SPAN
+        passing = np.bincount(cell, self.block_most[p], len(who) * SPAN) >= threshold - 1e-4
+        p, cell = p[passing[cell]], cell[passing[cell]]
+        order = np.argsort(cell, kind="stable")
+        p, cell = p[order], cell[order]
+        for x, y in zip(*runs(cell), strict=True):
+            for item, score in self._wand(p[x:y], threshold):
+                yield int(who[cell[x] // SPAN]), item, score
 
     def _wand(self, lists: np.ndarray, threshold: float) -> list[tuple[int, float]]:
         """Items above the threshold in one block, whose posting lists have these numbers."""
@@ -170,26 +194,31 @@ def overlap(part: np.ndarray, passage: set[tuple[int, ...]], n: int = NGRAM) ->
     return sum(g in passage for g in grams) / len(grams)
 
 
-def leaks(index: Index, words: np.ndarray) -> list[tuple[int, float, float, float]]:
-    """(item_id, score, question overlap, answer overlap) of a document's best passage for each leaked item."""
+def leaks(index: Index, words: np.ndarray, first: np.ndarray) -> dict[int, list[tuple[int, float, float, float]]]:
+    """Rows (their words begin at `first`) with the (item_id, score, question overlap, answer overlap) of the best passage for each leaked item."""
     if not len(words) or not len(index.terms):
-        return []
-    place = np.minimum(np.searchsorted(index.terms, words), len(index.terms) - 1)
-    known = index.terms[place] == words
+        return {}
     width = max(PASSAGE, 2 * index.longest)
-    best: dict[int, tuple[int, float, float, float]] = {}
-    for a in range(0, max(1, len(words) - width // 2), width // 2):
-        b = min(a + width, len(words))
-        own = np.unique(place[a:b][known[a:b]])
-        grams: set[tuple[int, ...]] | None = None
-        for number, score in index.search(own, THRESHOLD):
-            if grams is None:
-                w = words[a:b].tolist()
-                grams = {tuple(w[i : i + n]) for n in range(1, NGRAM + 1) for i in range(len(w) - n + 1)}
-            q, r = (overlap(flat[at[number] : at[number + 1]], grams) for flat, at in (index.questions, index.answers))
-            if q >= OVERLAP and r >= OVERLAP and score > best.get(number, (0, -1.0))[1]:
-                best[number] = (int(index.ids[number]), score, q, r)
-    return [best[k] for k in sorted(best)]
+    step, sizes = width // 2, np.diff(first)
+    each = np.where(sizes > 0, np.maximum(1, -(-(sizes - step) // step)), 0)
+    row = np.repeat(np.arange(len(sizes)), each)
+    start = first[row] + step * (np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each))
+    end = np.minimum(start + width, first[row + 1])
+    place = np.minimum(np.searchsorted(index.terms, words), len(index.terms) - 1)
+    known = np.flatnonzero(index.terms[place] == words)
+    a, b = np.searchsorted(known, start), np.searchsorted(known, end)
+    pair = np.unique(np.repeat(np.arange(len(row)), b - a) * len(index.terms) + place[known[_slices(a, b)]])
+    best: dict[int, dict[int, tuple[int, float, float, float]]] = {}
+    held: tuple[int, set] = (-1, set())
+    for p, number, score in index.retrieve(pair // len(index.terms), pair % len(index.terms), THRESHOLD):
+        if held[0] != p:
+            w = words[start[p] : end[p]].tolist()
+            held = p, {tuple(w[i : i + n]) for n in range(1, NGRAM + 1) for i in range(len(w) - n + 1)}
+        q, r = (overlap(flat[at[number] : at[number + 1]], held[1]) for flat, at in (index.questions, index.answers))
+        own = best.setdefault(int(row[p]), {}) if q >= OVERLAP and r >= OVERLAP else None
+        if own is not None and score > own.get(number, (0, -1.0))[1]:
+            own[number] = (int(index.ids[number]), score, q, r)
+    return {k: [found[n] for n in sorted(found)] for k, found in sorted(best.items())}
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,12 +277,11 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
             for batch in batches:
                 rows: list[int] = []
                 found: list[tuple] = []
-                for at, to, data, offsets in chunks(batch.column(1)):
+                for at, _, data, offsets in chunks(batch.column(1)):
                     words, first = word_hashes(data, offsets, True, mark_table())
-                    for k in range(to - at):
-                        for x in leaks(own, words[first[k] : first[k + 1]]):
-                            rows.append(at + k)
-                            found.append(x)
+                    for k, own_leaks in leaks(own, words, first).items():
+                        rows += [at + k] * len(own_leaks)
+                        found += own_leaks
                 cols = list(zip(*found, strict=True)) or [()] * 4
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(cols[0], pa.int64()), *(pa.array(c, pa.float64()) for c in cols[1:])], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
@@ -272,7 +300,8 @@ def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
                 keep: list[bool] = []
                 for _, _, data, offsets in chunks(batch.column(at)):
                     words, first = word_hashes(data, offsets, True, mark_table())
-                    keep += [not leaks(own, words[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
+                    gone = leaks(own, words, first)
+                    keep += [k not in gone for k in range(len(first) - 1)]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
         docs = docs.mapInArrow(scan, docs.schema)

@@ -2,12 +2,13 @@
 
 import math
 import random
+import time
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from placefabric.llm import decontaminate, language_id, queries, source_mix
+from placefabric.llm import decontaminate, dom, html_extract, language_id, queries, source_mix
 from placefabric.llm.decontaminate import K1, NGRAM, OVERLAP, PASSAGE, THRESHOLD, B, find_leaks, hashed_words, split_item
 
 COLUMNS = {
@@ -119,3 +120,33 @@ def test_language_with_many_labels_and_with_none(spark):
     got = language_id.identify(df.withColumn("lang", df["lang"].substr(1, 0))).collect()
     assert {x.lang_pred for x in got} == {""}
     assert {(x.lang_pred, x.score) for x in language_id.identify(spark.createDataFrame([(1, "words", None)], df.schema)).collect()} == {("und", 0.0)}
+
+
+def extracted(pages):
+    return ["\n".join(b) for b in html_extract.main_blocks([html_extract.Page(p) for p in pages], html_extract.model())]
+
+
+def test_html_drops_controls_and_marked_inline_elements():
+    story = "<p>The river rose for the third day in a row, and the town began to move its boats.</p>"
+    page = f'<html><body><nav><a href=/>Home</a></nav><article><h1>High water</h1>{story}<p>A <b>bold</b> plan was made, and so on.<button>Share this</button> <span class="advert">Buy now cheap</span> Then they <span class="hl">all</span> went home.</p>{story}<label>Your mail</label></article></body></html>'
+    text = extracted([page])[0]
+    assert text.split("\n") == ["High water", story[3:-4], "A bold plan was made, and so on. Then they all went home.", story[3:-4]]
+
+
+def test_html_keeps_a_block_whole_around_inline_nodes():
+    root = dom.parse('<p>a <span class="ad">b <span>c</span> d</span> e <a href=x>f<div>g</div></a> h', frozenset({"ad"}))
+    p = root.children[0]
+    assert [c.tag for c in p.children if isinstance(c, dom.Node)] == ["span"] and p.children[1].flat and [c[0] for c in p.children[1].children] == ["b ", "c", " d"]
+    assert [c.tag for c in root.children if isinstance(c, dom.Node)] == ["p", "div"]
+
+
+def test_html_of_very_long_pages_takes_time_in_proportion():
+    start = time.perf_counter()
+    sizes = [len(t) for t in extracted(["<article>" + "<p>Some words of a sentence.</p>" * 100_000 + "</article>", "<h3>unclosed " * 100_000, "<tr><td>x" * 50_000, "</b></div>" * 100_000, '<p "' * 50_000, "<li>" * 100_000 + "</li>" * 100_000])]
+    assert sizes[0] >= 100_000 * 20 and time.perf_counter() - start < 120
+
+
+def test_html_rows_close_rows():
+    root = dom.parse("<table><tr><td>a<td>b<tr><td>c</table>d")
+    table = root.children[0]
+    assert [[c.tag for c in row.children] for row in table.children] == [["td", "td"], ["td"]] and root.children[1][0] == "d"

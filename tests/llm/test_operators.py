@@ -7,8 +7,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from placefabric.llm import dom, html_extract, secret_scan, source_mix, suffix_dedup
+from placefabric.llm import anchors, dom, html_extract, secret_scan, source_mix, suffix_dedup
+from placefabric.llm import substring_dedup as substring
 from placefabric.llm.boosting import fit
 from placefabric.llm.components import components
 from placefabric.llm.decontaminate import Index, find_leaks, hashed_words, without_leaks
@@ -135,23 +137,46 @@ def test_substring_dedup(edges, edge_rows, spark, sf, empty):
 
 
 def test_factors_are_greedy_and_windows_whole():
-    ref, target = np.arange(100, 200, dtype=np.uint64), np.concatenate((np.arange(120, 160), [7], np.arange(150, 190))).astype(np.uint64)
-    grams = lambda w: [hash(tuple(w[i : i + 5].tolist())) for i in range(len(w) - 4)]
-    windows = lambda w: [hash(tuple(w[i : i + 10].tolist())) for i in range(len(w) - 9)]
-    block = ReferenceBlock(10, 5)
-    block.add(ref, grams(ref), windows(ref))
-    assert block.factors(target, grams(target)) == [(0, 40), (41, 40)]
-    assert block.repeated(target, grams(target), windows(target)).tolist() == [w in set(windows(ref)) for w in windows(target)]
+    words = [np.arange(100, 200), np.concatenate((np.arange(120, 160), [7], np.arange(150, 190))), np.arange(140, 170), np.concatenate((np.arange(155, 170), np.arange(105, 140)))]
+    words = [w.astype(np.uint64) for w in words]
+    block = ReferenceBlock(words, np.array([1, 5, 3, 9]), 10, 5)
+    assert block.factors(1, 81) == [(0, 40), (41, 40)] and block.factors(0, 100) == [] and block.factors(2, 30) == [(0, 30)]
+    assert block.factors(3, 50) == [(0, 15), (15, 35)]
+    windows = lambda w: [tuple(w[i : i + 10].tolist()) for i in range(len(w) - 9)]
+    for k, docs in ((1, (0, 2)), (2, (0,)), (3, (0, 1, 2))):
+        known = {x for d in docs for x in windows(words[d])}
+        assert block.repeated(k, len(words[k])).tolist() == [x in known for x in windows(words[k])]
+
+
+@pytest.mark.parametrize("words", [1 << 16, 200, 40])
+def test_blocks_find_all_windows_of_smaller_documents(words, monkeypatch):
+    monkeypatch.setattr(substring, "BLOCK_WORDS", words)
+    r = np.random.default_rng(8)
+    core = r.integers(0, 9, 60)
+    pieces, docs = [], []
+    for _ in range(60):
+        w = np.concatenate((r.integers(0, 9, int(r.integers(0, 9))), core[int(r.integers(0, 9)) : 60 - int(r.integers(0, 9))], r.integers(0, 9, int(r.integers(0, 9)))))
+        if r.random() < 0.5:
+            w[int(r.integers(0, len(w)))] = 77
+        pieces.append(w.astype(np.uint64))
+        docs.append(int(r.integers(0, 30)))
+    windows = lambda w: [tuple(w[i : i + 20].tolist()) for i in range(len(w) - 19)]
+    least = {}
+    for w, d in zip(pieces, docs, strict=True):
+        for x in windows(w):
+            least[x] = min(d, least.get(x, d))
+    found = substring.repeated_in_smaller(pieces, np.array(docs), 20, 10)
+    assert [f.tolist() for f in found] == [[least[x] < d for x in windows(w)] for w, d in zip(pieces, docs, strict=True)]
 
 
 def repeats_by_hand(rows, length=400):
     texts = [(i, (t or "").encode()) for i, t, *_ in rows]
-    counts = Counter(b[j : j + length] for _, b in texts for j in range(len(b) - length + 1))
+    counts = Counter(hash(b[j : j + length]) for _, b in texts for j in range(len(b) - length + 1))
     out = []
     for i, b in texts:
         edge = np.zeros(len(b) + 1, int)
         for j in range(len(b) - length + 1):
-            if counts[b[j : j + length]] > 1:
+            if counts[hash(b[j : j + length])] > 1:
                 edge[j] += 1
                 edge[j + length] -= 1
         gone = np.cumsum(edge[:-1]) > 0
@@ -161,7 +186,7 @@ def repeats_by_hand(rows, length=400):
 
 def test_suffix_dedup(edges, edge_rows, spark, sf, empty):
     assert Counter(tuple(r) for r in remove_repeats(edges).collect()) == repeats_by_hand(edge_rows)
-    d = docs_of(spark, sf).where("doc_id < 60")
+    d = docs_of(spark, sf)
     assert Counter(tuple(r) for r in remove_repeats(d).collect()) == repeats_by_hand([tuple(r) for r in d.collect()])
     assert remove_repeats(empty).count() == 0
 
@@ -177,8 +202,60 @@ def test_merged_transforms_find_repeated_windows():
         at.append(len(left) + 200)
     counts = Counter(p[i : i + 400] for p in pieces for i in range(len(p) - 399))
     expected = [[counts[p[i : i + 400]] > 1 for i in range(len(p) - 399)] for p in pieces]
-    for found in (suffix_dedup.repeated_suffixes(pieces, 400), suffix_dedup.repeated_suffixes(pieces, 400, 50, 900), suffix_dedup.repeated_in_large_group(pieces, np.array(at), 400)):
-        assert [f.tolist() for f in found] == expected
+    for parts in (np.zeros(50, int), np.arange(50) // 7, np.arange(50)):  # one shard, eight, one for each piece
+        for found in (suffix_dedup.repeated_suffixes(pieces, parts, 400), suffix_dedup.repeated_suffixes(pieces, parts, 400, 50), suffix_dedup.repeated_in_large_group(pieces, parts, np.array(at), 400)):
+            assert [f.tolist() for f in found] == expected
+
+
+def common_passages(r):
+    """Texts with a passage that most hold, near copies, copies, null ids and repeated rows."""
+    say = lambda n: [f"{r.choice('abcdef')}{r.randrange(4000)}" for _ in range(n)]
+    passage, page = say(90), say(260)
+    rows = []
+    for k in range(240):
+        w = say(r.randint(0, 60)) + (passage if k % 3 else say(20)) + say(r.randint(0, 60))
+        if k % 4 == 0:
+            w = list(page)
+            w[r.randrange(len(w))] = f"new{k}"
+        if k % 10 == 7:
+            w = page
+        rows.append((None if k % 40 == 39 else k if k % 50 != 49 else k - 1, " ".join(w)))
+    rows += rows[7:9] * 2
+    r.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("often,runs_bytes", [(3, 8 << 20), (2, 4000), (1 << 30, 8 << 20)])
+def test_common_passages_and_copies(spark, monkeypatch, often, runs_bytes):
+    monkeypatch.setattr(anchors, "OFTEN", often)
+    monkeypatch.setattr(anchors, "RUNS_BYTES", runs_bytes)
+    rows = common_passages(random.Random(6))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert Counter(tuple(r) for r in substring_dedup(df).collect()) == windows_by_hand(rows)
+    assert Counter(tuple(r) for r in remove_repeats(df).collect()) == repeats_by_hand(rows)
+
+
+def test_several_shards_are_merged_by_default(spark, monkeypatch):
+    """The runs of one group come from several scan tasks, and each is a shard of the merge."""
+    rows = common_passages(random.Random(6))
+    docs, symbols = anchors.versioned(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)), anchors.Symbols(False)
+    sent = spark.sparkContext.broadcast(anchors.common_grams(docs, symbols, 400, 200))
+    met = docs.mapInArrow(anchors._scan(symbols, 400, 200, 4, True, sent), anchors.Dealer.ddl).groupBy("bucket").applyInArrow(anchors._meet(400, True), anchors.MET)
+    asked = met.where("kind = 1").groupBy("doc", "ver").agg(F.collect_list(F.struct("lo", "n", "anchor", "content", "at", "target", "many")).alias("asked"))
+    fetched = docs.join(asked, ["doc", "ver"]).select("doc", "ver", "text", "asked").repartition(4, "doc").mapInArrow(anchors._fetch(symbols, 400), anchors.FETCHED).toArrow()
+    seen, merge = [], suffix_dedup.merge
+    monkeypatch.setattr(suffix_dedup, "merge", lambda shards, depth: seen.append(len(shards)) or merge(shards, depth))
+    suffix_dedup._decide(400)(fetched)
+    assert max(seen) == 4
+
+
+def test_common_grams_are_the_most_frequent(spark, monkeypatch):
+    rows = common_passages(random.Random(6))
+    df = anchors.versioned(spark.createDataFrame(rows, "doc_id long, text string"))
+    every = anchors.common_grams(df, anchors.Symbols(True), 50, 25)
+    monkeypatch.setattr(anchors, "COMMON", 70)
+    few = anchors.common_grams(df, anchors.Symbols(True), 50, 25)
+    assert 0 < len(few) <= 70 < len(every) and set(few) < set(every)
 
 
 def test_shards_merge_to_the_sorted_suffixes():
