@@ -21,61 +21,51 @@ from placefabric.llm.dom import RAW, Node, clean, parse
 
 TRAIN_PAGES = 500
 TRAIN_SEED = 7
+PART_CHARS = 4 << 20  # of pages that are judged together
 _BAD = frozenset("nav navigation navbar menu menubar breadcrumb breadcrumbs footer foot header masthead banner sidebar side aside rail widget ad ads advert advertisement adverts sponsor sponsored promo promotion cookie cookies consent notice notices alert popup modal newsletter subscribe subscription signup login share social sharing related recommended recommendations comment comments respond reply replies discussion disqus form search pagination pager tags toolbar skip hidden contentinfo complementary copyright legal".split())
 _GOOD = frozenset("article content contents main body post entry text story page articlebody hentry prose".split())
 _GROUPS = (
-    frozenset(("article", "main")), frozenset(("nav", "menu")), frozenset(("footer",)), frozenset(("header",)), frozenset(("aside",)), frozenset(("form", "fieldset", "input", "button", "dialog")),
+    frozenset(("article", "main")), frozenset(("nav", "menu")), frozenset(("footer",)), frozenset(("header",)), frozenset(("aside",)), frozenset(("form", "fieldset", "input", "button", "label", "dialog")),
     frozenset(("p", "pre", "blockquote")), frozenset(("h1", "h2", "h3", "h4", "h5", "h6")), frozenset(("ul", "ol", "dl")), frozenset(("li", "dt", "dd")), frozenset(("table", "tbody", "thead", "tr", "td", "th")), frozenset(("div", "section", "center")), frozenset(("html", "body", "#root")),
 )
 
 
 class Page:
-    """Nodes in page order with what is counted for their subtrees."""
+    """Nodes in page order with what is counted for their subtrees. Texts keep the number of their block: a flat node's stand in its parent's."""
 
     def __init__(self, html: str):
         self.nodes: list[Node] = []
         self.up: list[int] = []
-        self.own: list[str] = []
         self.blocks: list[tuple[int, str]] = []  # (node, text) in page order
+        self.numbers: list[int] = []  # of the block of each
         stats: list[list[float]] = []
-        stack: list[tuple[Node, int]] = [(parse(html), -1)]
-        order: list[tuple] = []
-        # depth first with explicit places, so that texts between children stay in order
-        while stack:
+        stack: list[tuple] = [(parse(html, _BAD), -1)]
+        block = 0
+        while stack:  # depth first with explicit places, so that texts between children stay in order
             node, up = stack.pop()
-            if isinstance(node, str):
-                order.append((up, node))
+            if node is None:
+                block += 1
+                continue
+            if isinstance(node, tuple):
+                text, linked = node
+                self.blocks.append((up, text))
+                self.numbers.append(block)
+                n, own = len(text.strip()), stats[up]
+                own[0] += n
+                own[1] += n * linked
+                own[4] += sum(text.count(c) for c in ".!?;:,")
+                own[6] += n > 60
                 continue
             k = len(self.nodes)
             self.nodes.append(node)
             self.up.append(up)
             stats.append([0.0, 0.0, 1.0, float(node.links), 0.0, float(node.tag == "input"), 0.0])  # chars, linked chars, tags, links, sentence ends, controls, paragraphs
-            if node.tag in RAW or node.tag == "head":
-                if node.tag != "head":
-                    continue
-            parts: list = []
-            pieces: list[str] = []
-            for child in node.children:
-                if isinstance(child, Node):
-                    if pieces:
-                        parts.append("".join(pieces))
-                        pieces = []
-                    parts.append(child)
-                else:
-                    pieces.append(child[0])
-                    n = len(child[0].strip())
-                    stats[k][0] += n
-                    stats[k][1] += n * child[1]
-            if pieces:
-                parts.append("".join(pieces))
-            stack += [(p, k) for p in reversed(parts)]
-        if not self.nodes:
-            self.nodes, self.up = [Node("#root", None)], [-1]
-        for k, text in order:
-            if text := clean(text):
-                self.blocks.append((k, text))
-                stats[k][4] += sum(text.count(c) for c in ".!?;:,")
-                stats[k][6] += len(text) > 60
+            if node.tag in RAW:
+                continue
+            if not node.flat:
+                block += 1
+                stack.append((None, up))
+            stack += [(c, k) for c in reversed(node.children)]
         self.stats = np.array(stats)
         self.total = self.stats.copy()
         for k in range(len(self.nodes) - 1, 0, -1):
@@ -110,8 +100,8 @@ class Page:
             mean = chars[c_].mean()
             beside[c_] = np.log1p(mean)
             share[c_] = chars[c_] / max(1.0, chars[u])
-            tag = np.array([self.nodes[k].tag for k in c])
-            same[c_] = (tag[:, None] == tag[None, :]).mean(1)
+            _, tag, count = np.unique([self.nodes[k].tag for k in c], return_inverse=True, return_counts=True)
+            same[c_] = count[tag] / len(c)
         return np.column_stack([
             np.log1p(chars), np.log1p(chars / tags), linked / np.maximum(1, chars), np.log1p(links), np.log1p(marks), marks / np.maximum(1, chars), controls, np.log1p(paragraphs), chars / whole,
             depth, own_bad, own_good, bad, good, boiler, in_head, same, place, beside, share, np.log1p(self.stats[:, 0]), groups,
@@ -160,6 +150,8 @@ def training_page(r: random.Random) -> str:
     side = r.choice(("", "", f"<aside><h3>{text(1, 3)}</h3><p>{text(6, 30)}</p></aside>", box(("sidebar", "widget", "related"), f"<h3>{text(1, 3)}</h3><ul>{links(r.randint(2, 7))}</ul>"), box(("sidebar", "rail side"), f"<p>{text(8, 40)}</p>")))
     comments = r.choice(("", "", box(("comments", "comment-list", "discussion replies"), "".join(f'<div class="comment"><b>{text(1, 2)}</b><p>{text(4, 40)}</p></div>' for _ in range(r.randint(1, 6))), ("div", "section"))))
     footer = r.choice((f"<footer>&copy; {text(2, 14)}</footer>", box(("footer", "site-footer", "contentinfo legal"), f"<p>&copy; {text(2, 20)}</p>"), ""))
+    # controls and adverts that stand inside a block of the main text
+    inside = lambda: r.choice((f"<button>{text(1, 3)}</button>", f'<button class="btn share">{text(1, 2)}</button>', f"<label>{text(1, 3)} <input></label>", f"<span{attr('ad', 'ads', 'advert', 'sponsored', 'promo', 'share', 'social')}>{text(1, 8)}</span>", f"<a{attr('advert', 'sponsored', 'promo')} href=/x>{text(1, 8)}</a>"))
     parts = [f'<h1 class="mainmark">{text(2, 9)}</h1>'] if r.random() < 0.85 else []
     for _ in range(r.choice((1, 1, 2, 3, 5, 8, 14, 25))):
         parts.append(
@@ -170,6 +162,8 @@ def training_page(r: random.Random) -> str:
         )
         if r.random() < 0.06:
             parts.append(ad())
+        if r.random() < 0.04:
+            parts.append(f'<p class="mainmark">{text(4, 60)} {inside()} {text(0, 40)}</p>' if r.random() < 0.8 else inside())
     if r.random() < 0.15:
         parts.append(box(("share", "social", "tags"), f"<ul>{links(3)}</ul>"))
     body = "".join(parts)
@@ -208,14 +202,20 @@ def main_blocks(pages: list[Page], trees: Trees) -> Iterator[list[str]]:
         own = logits[at : at + n]
         at += n
         label = decode(p.up, own, np.sqrt(1 + p.total[:, 0]))
-        yield [text for k, text in p.blocks if label[k]]
+        kept: dict[int, list[str]] = {}
+        for number, (k, text) in zip(p.numbers, p.blocks, strict=True):
+            if label[k]:
+                kept.setdefault(number, []).append(text)
+        yield [text for parts in kept.values() if (text := clean("".join(parts)))]
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """pages (page_id, url, html) -> page_id, url, text, n_chars, a row for each row.
 
     Blocks of main text in page order, joined by line feeds; a null or empty html, or one without main text, gives an
-    empty string. Markup that isn't closed or isn't HTML is read as far as it goes.
+    empty string. Markup that isn't closed or isn't HTML is read as far as it goes. Buttons, labels and marked inline
+    elements are judged as nodes; where they go, the block around them stays one. Repeated rows give equal rows; other
+    columns are ignored.
     """
     trees = model()
     fields = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
@@ -224,11 +224,13 @@ def extract(pages: DataFrame) -> DataFrame:
         for batch in batches:
             texts: list[str] = []
             part: list[Page] = []
+            size = 0
             for html in batch.column(2):
                 part.append(Page(html.as_py() or ""))
-                if len(part) == 200:
+                size += len(html.as_py() or "")
+                if len(part) == 200 or size > PART_CHARS:
                     texts += ["\n".join(b) for b in main_blocks(part, trees)]
-                    part = []
+                    part, size = [], 0
             texts += ["\n".join(b) for b in main_blocks(part, trees)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
