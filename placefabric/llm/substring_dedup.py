@@ -1,9 +1,10 @@
 """Removal of passages that a smaller doc_id holds, by relative Lempel-Ziv parsing against reference blocks.
 
-The documents' runs of windows meet their possible references by anchor (see anchors). The reference block of an anchor
-is the runs of smaller doc_ids, indexed by word gram. Each later run is factored greedily against the whole block: the
-longest match from the current word on is a factor, a word that starts none is a literal. Factors of `length` words or
-more are duplicate spans; windows that cross a factor's border, where another reference may match, are checked one by one.
+The documents' runs of windows meet their possible references by anchor (see anchors). A reference block is a suffix array
+over runs of words; with the common prefixes of neighbours it gives, for each place, the longest match with any run of a
+smaller doc_id. A run is factored greedily: the longest match from the current word on is a factor, a word that starts
+none of `gram` words is a literal. Factors of `length` words or more are duplicate spans; a window that crosses the end of
+a factor, where another reference may match further, is checked by its own longest match.
 """
 
 from __future__ import annotations
@@ -13,86 +14,128 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placefabric.llm import anchors
-from placefabric.llm.arrays import chunks, prefix_hash, span_hash, word_spans
+from placefabric.llm.arrays import chunks, word_spans
 from placefabric.llm.exchange import runs
 
+BLOCK_WORDS = 1 << 16  # words of the runs in one reference block
+
 
 class ReferenceBlock:
-    """An indexed block of reference sequences: where each gram of words stands first, and the hashes of all windows."""
-
-    def __init__(self, length: int, gram: int):
-        self.length, self.gram, self.sequences, self.grams, self.windows = length, gram, [], {}, set()
-
-    def add(self, words: np.ndarray, grams: list[int], windows: list[int]) -> None:
-        number = len(self.sequences)
-        for i, g in enumerate(grams):
-            if g not in self.grams:
-                self.grams[g] = (number, i)
-        self.sequences.append(words)
-        self.windows.update(windows)
-
-    def factors(self, words: np.ndarray, grams: list[int]) -> list[tuple[int, int]]:
-        """Greedy factors (start, length); words outside are literals."""
-        out, i = [], 0
-        while i < len(grams):
-            place = self.grams.get(grams[i])
-            if place is None:
-                i += 1
-                continue
-            ref = self.sequences[place[0]][place[1] :]
-            m = min(len(ref), len(words) - i)
-            differs = np.flatnonzero(ref[:m] != words[i : i + m])
-            m = int(differs[0]) if len(differs) else m
-            if m < self.gram:  # two grams of one hash
+    """An indexed block of sequences, each of a document: for every place the longest match with a sequence of a smaller document."""
+
+    def __init__(self, sequences: list[np.ndarray], docs: np.ndarray, length: int, gram: int):
+        self.length, self.gram = length, gram
+        sizes = np.array([len(s) for s in sequences], np.int64)
+        self.starts = np.cumsum(sizes + 1) - sizes - 1  # an end mark follows each
+        n = int((sizes + 1).sum())
+        text = np.zeros(n, np.int64)
+        inside = np.ones(n, bool)
+        inside[self.starts + sizes] = False
+        text[inside] = np.unique(np.concatenate(sequences), return_inverse=True)[1] + len(sequences)
+        text[~inside] = np.arange(len(sequences))  # end marks differ, so no match goes beyond one
+        levels, step = [text], 1
+        while step <= sizes.max(initial=0):  # ranks of the next 1, 2, 4, ... words
+            rank = levels[-1]
+            after = np.zeros(n, np.int64)
+            after[: n - step] = rank[step:] + 1
+            levels.append(np.unique(rank * (int(after.max()) + 1) + after, return_inverse=True)[1])
+            step *= 2
+        order = np.argsort(levels[-1], kind="stable")
+        a, b, common = order[:-1].copy(), order[1:].copy(), np.zeros(max(0, n - 1), np.int64)
+        for k in range(len(levels) - 1, -1, -1):
+            same = levels[k][np.minimum(a, n - 1)] == levels[k][np.minimum(b, n - 1)]
+            same &= np.maximum(a, b) < n
+            a[same] += 1 << k
+            b[same] += 1 << k
+            common[same] += 1 << k
+        owner = np.repeat(docs, sizes + 1)[order]
+        longest = np.zeros(n, np.int64)
+        near = np.flatnonzero(common >= gram)  # neighbours that share a gram; the others stand alone
+        for at, to in zip(*(x.tolist() for x in runs(near - np.arange(len(near)))), strict=True):
+            lo, hi = int(near[at]), int(near[to - 1]) + 2
+            if owner[lo:hi].min() < owner[lo:hi].max():
+                longest[order[lo:hi]] = longest_to_smaller(owner[lo:hi].tolist(), common[lo : hi - 1].tolist())
+        self.longest = longest
+
+    def factors(self, number: int, size: int) -> list[tuple[int, int]]:
+        """Greedy factors (start, length) of a sequence; words outside are literals."""
+        out, i, own = [], 0, self.longest[self.starts[number] : self.starts[number] + size].tolist()
+        while i < size:
+            if own[i] >= self.gram:
+                out.append((i, own[i]))
+                i += own[i]
+            else:
                 i += 1
-                continue
-            out.append((i, m))
-            i += m
         return out
 
-    def repeated(self, words: np.ndarray, grams: list[int], windows: list[int]) -> np.ndarray:
-        """Which windows stand in the block: those inside long factors, then those across borders by a check each."""
-        found = np.zeros(len(windows), bool)
-        for start, m in self.factors(words, grams):
-            if m >= self.length:
-                found[start : start + m - self.length + 1] = True
-        for s in np.flatnonzero(~found).tolist():
-            found[s] = windows[s] in self.windows
+    def repeated(self, number: int, size: int) -> np.ndarray:
+        """Which windows of a sequence stand in a smaller document: those inside long factors, and of those across a factor's end the ones that match further."""
+        found = np.zeros(max(0, size - self.length + 1), bool)
+        for start, m in self.factors(number, size):
+            inside = max(start, start + m - self.length + 1)
+            found[start:inside] = True
+            border = np.arange(inside, min(start + m, len(found)))
+            found[border] = self.longest[self.starts[number] + border] >= self.length
         return found
 
 
-def _decide(length: int):
-    gram = length // 2
+def longest_to_smaller(owner: list[int], common: list[int]) -> np.ndarray:
+    """For sorted suffixes with the common prefixes of neighbours, the longest common prefix of each with one of a smaller owner."""
+
+    def one_way(owner: list[int], common: list[int]) -> list[int]:
+        out, who, shared = [], [], []  # the stack: owners in rising order, with the prefix shared with the one below
+        for x, h in zip(owner, common, strict=True):
+            while who and who[-1] >= x:
+                who.pop()
+                h = min(h, shared.pop())
+            out.append(h if who else 0)
+            who.append(x)
+            shared.append(h)
+        return out
+
+    ahead = one_way(owner, [0, *common])
+    back = one_way(owner[::-1], [0, *common[::-1]])[::-1]
+    return np.maximum(ahead, back)
 
+
+def repeated_in_smaller(sequences: list[np.ndarray], docs: np.ndarray, length: int, gram: int) -> list[np.ndarray]:
+    """For each sequence, which of its windows stand in a sequence of a smaller document.
+
+    Sequences are dealt to blocks of BLOCK_WORDS in order of their documents. A block's sequences are factored against it
+    together with each block before it, so memory holds two blocks, however many there are.
+    """
+    order = np.argsort(docs, kind="stable")
+    sizes = np.array([len(s) for s in sequences], np.int64)
+    block = np.cumsum(sizes[order]) // BLOCK_WORDS
+    blocks = [order[a:b] for a, b in zip(*runs(block), strict=True)]
+    found = [np.zeros(max(0, len(s) - length + 1), bool) for s in sequences]
+    for k, own in enumerate(blocks):
+        for before in blocks[:k] or [own[:0]]:
+            rows = np.concatenate((before, own))
+            index = ReferenceBlock([sequences[i] for i in rows.tolist()], docs[rows], length, gram)
+            for number, i in enumerate(own.tolist(), len(before)):
+                found[i] |= index.repeated(number, len(sequences[i]))
+    return found
+
+
+def _decide(length: int):
     def work(table: pa.Table) -> pa.Table:
-        anchor, doc, ver, lo = (table[c].to_numpy() for c in ("anchor", "doc", "ver", "lo"))
-        target, symbols = table["target"].to_numpy(zero_copy_only=False), table["symbols"]
-        order = np.lexsort((lo, doc, anchor))
-        marks: list[tuple[int, int, int, int]] = []
-        for a, b in zip(*(x.tolist() for x in runs(anchor[order])), strict=True):
-            block, waiting, at = ReferenceBlock(length, gram), [], None
-            for k in order[a:b].tolist():
-                words = np.frombuffer(symbols[k].as_py(), np.uint64)
-                sums = prefix_hash(words)
-                i = np.arange(len(words) - gram + 1)
-                grams = span_hash(sums, i, i + gram).tolist()
-                i = np.arange(len(words) - length + 1)
-                windows = span_hash(sums, i, i + length).tolist()
-                if doc[k] != at:
-                    for w in waiting:
-                        block.add(*w)
-                    waiting, at = [], doc[k]
-                if target[k]:
-                    found = block.repeated(words, grams, windows)
-                    edges = np.flatnonzero(np.diff(np.concatenate(([False], found, [False])).astype(np.int8)))
-                    marks += [(int(doc[k]), int(ver[k]), int(lo[k]) + int(s), int(e - s)) for s, e in edges.reshape(-1, 2)]
-                waiting.append((words, grams, windows))
-        cols = list(zip(*marks, strict=True)) or [()] * 4
-        return pa.table({"doc": pa.array(cols[0], pa.int64()), "ver": pa.array(cols[1], pa.int32()), "lo": pa.array(cols[2], pa.int64()), "n": pa.array(cols[3], pa.int64())})
+        d = anchors.Decisions(table, False)
+        order = np.argsort(d.anchor, kind="stable")
+        sizes = pc.binary_length(d.symbols).to_numpy()[order] // 8
+        first, end = runs(d.anchor[order])
+        upto, a = np.concatenate(([0], np.cumsum(sizes))), 0
+        while a < len(first):  # whole anchors up to BLOCK_WORDS, or one that is larger
+            b = max(a + 1, int(np.searchsorted(upto[end], upto[first[a]] + BLOCK_WORDS, "right")))
+            rows = order[first[a] : end[b - 1]].tolist()
+            d.add(rows, repeated_in_smaller([np.frombuffer(d.symbols[k].as_py(), np.uint64) for k in rows], d.doc[rows], length, length // 2))
+            a = b
+        return d.table()
 
     return work
 

@@ -1,12 +1,12 @@
 """Removal of byte strings that stand at several places, by merging shard Burrows-Wheeler transforms.
 
 Texts are read over an alphabet of fixed-width byte blocks: each residue class of positions gives one string of block
-symbols, so a suffix agrees on `depth` symbols exactly if it agrees on depth * width bytes. Each shard sorts its own
-suffixes once and keeps its transform, the symbol before each suffix. Shards merge by refinement of their interleave:
-one pass over the merged order sends every shard number to the next slot of its symbol, which sorts the merged order one
-symbol deeper. Suffixes whose predecessors' blocks are split get split blocks, so the pass in which a border appears is
-the common prefix there, and blocks that remain after `depth` passes are the repeated intervals. No suffixes are compared
-or sorted again across shards.
+symbols, so a suffix agrees on `depth` symbols exactly if it agrees on depth * width bytes. The strings that one scan task
+sends are a shard. Each shard sorts its own suffixes once and keeps its transform, the symbol before each suffix. Shards
+merge by refinement of their interleave: one pass over the merged order sends every shard number to the next slot of its
+symbol, which sorts the merged order one symbol deeper. Suffixes whose predecessors' blocks are split get split blocks, so
+the pass in which a border appears is the common prefix there, and blocks that remain after `depth` passes are the
+repeated intervals. No suffixes are compared or sorted again across shards.
 
 Anchors (see anchors) bring together the runs that can share so long a string, so a merge sees only these.
 """
@@ -29,6 +29,16 @@ from placefabric.llm.exchange import runs
 GROUP_BYTES = 256 << 10  # of runs that are merged in one go
 
 
+def _sorted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in stable order of their keys (not negative), and the sorted keys."""
+    bits = max(1, int(len(keys)).bit_length())
+    if len(keys) and int(keys.max()).bit_length() + bits < 63:  # one sort of key and place together
+        both = np.sort((keys << bits) | np.arange(len(keys)))
+        return both & ((1 << bits) - 1), both >> bits
+    order = np.argsort(keys, kind="stable")
+    return order, keys[order]
+
+
 class Shard:
     """Suffixes of block strings in sorted order (to `depth` symbols) with their transform. Code 0 ends a string."""
 
@@ -38,14 +48,16 @@ class Shard:
         ends = np.flatnonzero(codes == 0)
         rank[ends] = np.arange(len(ends))  # end marks differ, in the order of their strings
         rank[codes != 0] += len(ends)
+        limit = ends[np.searchsorted(ends, np.arange(n))]  # a suffix doesn't reach beyond its end
+        self.order, keys = _sorted(rank)
         while step < depth:
+            rank = np.empty(n, np.int64)
+            rank[self.order] = np.cumsum(np.concatenate(([0], keys[1:] != keys[:-1])))
             after = np.zeros(n, np.int64)
             after[: n - step] = rank[step:] + 1
-            limit = ends[np.searchsorted(ends, np.arange(n))]  # a suffix doesn't reach beyond its end
             after[np.arange(n) + step > limit] = 0
-            _, rank = np.unique(rank * (int(after.max()) + 1) + after, return_inverse=True)
+            self.order, keys = _sorted(rank * (int(after.max()) + 1) + after)
             step *= 2
-        self.order = np.argsort(rank, kind="stable")
         before = np.empty(n, codes.dtype)
         before[1:], before[0] = codes[:-1], 0
         self.transform = before[self.order]
@@ -56,16 +68,16 @@ def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """The interleave after `depth` passes (shard of each merged place) and for each place the common prefix with the one before."""
     sizes = [len(s.order) for s in shards]
     n, ends = sum(sizes), sum(s.ends for s in shards)
-    z = np.repeat(np.arange(len(shards), dtype=np.int32), sizes)
+    z = np.repeat(np.arange(len(shards)), sizes)
+    transforms = np.concatenate([s.transform for s in shards])
     block = np.zeros(n, np.int64)
     common = np.full(n, -1, np.int64)  # unknown yet: at least the passes so far
-    fixed = np.repeat(np.arange(len(shards), dtype=np.int32), [s.ends for s in shards])
+    fixed = np.repeat(np.arange(len(shards)), [s.ends for s in shards])
     for done in range(depth):
         symbol = np.empty(n, np.int64)
-        for k, s in enumerate(shards):
-            symbol[z == k] = s.transform
-        order = np.argsort(symbol, kind="stable")
-        z, block, symbol = z[order], block[order], symbol[order]
+        symbol[_sorted(z)[0]] = transforms  # a shard's places take its symbols in order
+        order, symbol = _sorted(symbol)
+        z, block = z[order], block[order]
         z[:ends] = fixed
         border = np.ones(n, bool)
         border[1:] = (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])
@@ -76,8 +88,11 @@ def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return z, common
 
 
-def repeated_suffixes(pieces: list[bytes], length: int, width: int = 100, shard_bytes: int = 1 << 19) -> list[np.ndarray]:
-    """For each piece, which of its windows of `length` bytes stand at two places or more of all pieces."""
+def repeated_suffixes(pieces: list[bytes], parts: np.ndarray, length: int, width: int = 100) -> list[np.ndarray]:
+    """For each piece, which of its windows of `length` bytes stand at two places or more of all pieces.
+
+    parts: the scan task of each piece, in rising order; a task's pieces are one shard.
+    """
     depth = length // width
     if depth * width != length:
         raise ValueError("length must be a multiple of width")
@@ -97,7 +112,7 @@ def repeated_suffixes(pieces: list[bytes], length: int, width: int = 100, shard_
     text = np.insert(codes[order], last + 1, 0)
     back = np.insert(order, last + 1, -1)  # which block position each symbol is
     found = [np.zeros(max(0, len(p) - length + 1), bool) for p in pieces]
-    hit = back[twins(text, depth, shard_bytes)]
+    hit = back[twins(text, depth, np.searchsorted(parts[owner[order[last]]], np.unique(parts)), last + 1 + np.arange(len(last)))]
     hit = hit[hit >= 0]
     hit = hit[place[hit] + length <= sizes[owner[hit]]]
     flat = np.zeros(len(owner), bool)
@@ -108,27 +123,24 @@ def repeated_suffixes(pieces: list[bytes], length: int, width: int = 100, shard_
     return found
 
 
-def twins(text: np.ndarray, depth: int, shard_symbols: int) -> np.ndarray:
-    """Positions of coded strings (0 ends each) whose next `depth` symbols stand at another position too."""
-    shards, bases, a = [], [], 0
-    stops = np.flatnonzero(text == 0) + 1
-    while a < len(text):
-        b = int(stops[min(len(stops) - 1, np.searchsorted(stops, min(a + shard_symbols, len(text))))])
-        shards.append(Shard(text[a:b], depth))
-        bases.append(a)
-        a = b
-    if not shards:
+def twins(text: np.ndarray, depth: int, shards: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Positions of coded strings whose next `depth` symbols stand at another position too.
+
+    ends: where each string's end mark (0) stands; shards: the first string of each shard.
+    """
+    if not len(text):
         return np.zeros(0, np.int64)
-    z, common = merge(shards, depth)
+    starts = np.concatenate(([0], ends + 1))[np.unique(np.minimum(shards, len(ends) - 1))]
+    built = [Shard(text[a:b], depth) for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(text)], strict=True)]
+    z, common = merge(built, depth)
     twin = common >= depth
     twin[:-1] |= twin[1:].copy()
     position = np.empty(len(z), np.int64)
-    for k, s in enumerate(shards):
-        position[z == k] = s.order + bases[k]
+    position[_sorted(z)[0]] = np.concatenate([s.order + a for s, a in zip(built, starts.tolist(), strict=True)])
     return position[twin]
 
 
-def repeated_in_large_group(pieces: list[bytes], at: np.ndarray, length: int, width: int = 100) -> list[np.ndarray]:
+def repeated_in_large_group(pieces: list[bytes], parts: np.ndarray, at: np.ndarray, length: int, width: int = 100) -> list[np.ndarray]:
     """repeated_suffixes for many pieces under one anchor, which stands in each at `at`.
 
     Equal windows stand at equal distances from the anchor, so the windows of one distance are merged at a time, as
@@ -148,7 +160,7 @@ def repeated_in_large_group(pieces: list[bytes], at: np.ndarray, length: int, wi
             symbols = np.stack([hashes[k][at[k] + offset :: width][:depth] for k in own.tolist()])
             text = np.zeros((len(own), depth + 1), np.int64)
             text[:, :depth] = np.unique(symbols, return_inverse=True)[1].reshape(symbols.shape) + 1
-            hit = twins(text.ravel(), depth, 1 << 19)
+            hit = twins(text.ravel(), depth, np.searchsorted(parts[own], np.unique(parts[own])), np.arange(len(own)) * (depth + 1) + depth)
             for k in own[hit[hit % (depth + 1) == 0] // (depth + 1)].tolist():
                 found[k][at[k] + offset] = True
     return found
@@ -156,26 +168,21 @@ def repeated_in_large_group(pieces: list[bytes], at: np.ndarray, length: int, wi
 
 def _decide(length: int):
     def work(table: pa.Table) -> pa.Table:
-        anchor, doc, ver, lo, at = (table[c].to_numpy() for c in ("anchor", "doc", "ver", "lo", "at"))
-        target, symbols = table["target"].to_numpy(zero_copy_only=False), table["symbols"]
-        order = np.argsort(anchor, kind="stable")
-        sizes = pc.binary_length(symbols).to_numpy()[order]
-        first, end = runs(anchor[order])
-        upto = np.concatenate(([0], np.cumsum(sizes)))
-        marks: list[tuple[int, int, int, int]] = []
-        a = 0
+        d = anchors.Decisions(table, True)
+        order = np.argsort(d.anchor, kind="stable")
+        sizes = pc.binary_length(d.symbols).to_numpy()[order]
+        first, end = runs(d.anchor[order])
+        upto, a = np.concatenate(([0], np.cumsum(sizes))), 0
         while a < len(first):  # whole anchors up to GROUP_BYTES, or one that is larger
             b = max(a + 1, int(np.searchsorted(upto[end], upto[first[a]] + GROUP_BYTES, "right")))
             rows = order[first[a] : end[b - 1]]
-            pieces = [symbols[k].as_py() for k in rows.tolist()]
+            rows = rows[np.argsort(d.part[rows], kind="stable")]
+            pieces, parts = [d.symbols[k].as_py() for k in rows.tolist()], d.part[rows]
             large = b == a + 1 and upto[end[a]] - upto[first[a]] > GROUP_BYTES
-            for k, found in zip(rows.tolist(), repeated_in_large_group(pieces, at[rows].astype(np.int64), length) if large else repeated_suffixes(pieces, length), strict=True):
-                if target[k] and found.any():
-                    edges = np.flatnonzero(np.diff(np.concatenate(([False], found, [False])).astype(np.int8)))
-                    marks += [(int(doc[k]), int(ver[k]), int(lo[k]) + int(s), int(e - s)) for s, e in edges.reshape(-1, 2)]
+            found = repeated_in_large_group(pieces, parts, d.at[rows].astype(np.int64), length) if large else repeated_suffixes(pieces, parts, length)
+            d.add(rows.tolist(), found)
             a = b
-        cols = list(zip(*marks, strict=True)) or [()] * 4
-        return pa.table({"doc": pa.array(cols[0], pa.int64()), "ver": pa.array(cols[1], pa.int32()), "lo": pa.array(cols[2], pa.int64()), "n": pa.array(cols[3], pa.int64())})
+        return d.table()
 
     return work
 
