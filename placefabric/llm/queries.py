@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from placefabric.llm import oracles
 from placefabric.llm.decontaminate import find_leaks
-from placefabric.llm.edit_fingerprint import neighbour_fingerprints
+from placefabric.llm.edit_fingerprint import near_classes, neighbour_fingerprints
 from placefabric.llm.html_extract import extract
 from placefabric.llm.language_id import identify
 from placefabric.llm.license_scan import license_scan
@@ -53,6 +53,10 @@ def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbour_fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def fingerprint_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(_table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"))
 
@@ -76,6 +80,7 @@ QUERIES = {
         op5_suffix_array_dedup,
         op6_substring_dedup,
         op7_document_fingerprints,
+        fingerprint_classes,
         op8_language_id,
         op9_license_scan,
         op10_secret_scan,
