@@ -1,4 +1,4 @@
-"""A PySpark-native analytics engine for place discovery, and a corpus-preparation subpackage (``placefabric.llm``)."""
+"""A PySpark-native analytics engine for place discovery."""
 
 import sys
 

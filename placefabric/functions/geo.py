@@ -70,6 +70,16 @@ def zoom_of_span(span: float) -> int:
     return max(1, min(22, math.floor(math.log2(360 / span)))) if span > 0 else 22
 
 
+def zoom_for(span: Column) -> Column:
+    """zoom_of_span of a column."""
+    return F.when(span > 0, F.greatest(F.lit(1), F.least(F.lit(22), F.floor(F.log2(360 / span))))).otherwise(22).cast("int")
+
+
+def reach(budget_min: Column, dwell_min: Column, loop: bool, walk_kmh: float = 4.5, detour: float = 1.35, least_min: float = 20) -> Column:
+    """reach_km of columns."""
+    return F.greatest(F.lit(float(least_min)), budget_min - dwell_min) / 60 * walk_kmh / detour / (2 if loop else 1)
+
+
 def reach_km(budget_min: float, dwell_min: float, loop: bool, walk_kmh: float = 4.5, detour: float = 1.35, least_min: float = 20) -> float:
     """How far a walk can go in what the stays leave of the time; a loop goes half as far."""
     return max(least_min, budget_min - dwell_min) / 60 * walk_kmh / detour / (2 if loop else 1)

@@ -20,8 +20,8 @@ def day_slice(events: DataFrame, start: str, end: str) -> DataFrame:
 EVENT = "event_id string, event_type string, client_ts string, seq bigint, anon_id string, session_id string, surface string, context struct<request_id:string,position:int>, place_id string, payload string"
 
 
-def validated(raw: DataFrame, column: str = "value") -> DataFrame:
-    """JSON text -> parsed event with reject_reason (null if accepted), in the order object, id, type, time."""
+def validated(raw: DataFrame, column: str = "value", keep: list[str] | None = None) -> DataFrame:
+    """JSON text -> parsed event with reject_reason (null if accepted), in the order object, id, type, time, and the columns to keep."""
     body = F.trim(F.col(column))
     e = F.from_json(F.when(F.startswith(body, F.lit("{")), F.col(column)), EVENT)
     reason = (
@@ -30,7 +30,8 @@ def validated(raw: DataFrame, column: str = "value") -> DataFrame:
         .when(~F.coalesce(e["event_type"].rlike(r"^[a-z][a-z0-9_]{0,63}$"), F.lit(False)), "bad_event_type")
         .when(F.try_to_timestamp(e["client_ts"]).isNull(), "bad_client_ts")
     )
-    return raw.select(e.alias("e"), reason.alias("reject_reason")).select("e.*", "reject_reason", F.coalesce(F.col("e.event_type").isin(*KNOWN_TYPES), F.lit(False)).alias("known_type"))
+    kept = [F.col(c).alias(c.rpartition(".")[2]) for c in keep or []]
+    return raw.select(e.alias("e"), reason.alias("reject_reason"), *kept).select("e.*", "reject_reason", *[c.rpartition(".")[2] for c in keep or []], F.coalesce(F.col("e.event_type").isin(*KNOWN_TYPES), F.lit(False)).alias("known_type"))
 
 
 def batch_outcome(accepted: DataFrame, store: DataFrame) -> DataFrame:

@@ -27,6 +27,14 @@ def tile_cap(zoom: int) -> int:
     return next((n for z, n in TILE_CAPS if zoom <= z), 25)
 
 
+def tile_cap_of(zoom: Column) -> Column:
+    """tile_cap of a column."""
+    out: Column = F.lit(25)
+    for z, n in reversed(TILE_CAPS):
+        out = F.when(zoom <= z, n).otherwise(out)
+    return out
+
+
 def visibility_order() -> list[Column]:
     """The six keys of map pins; a total order."""
     return [F.desc_nulls_last(c) for c in ("visibility", "rating", "popularity", "google_rating", "google_count")] + [F.asc("id")]
@@ -73,14 +81,15 @@ def resolve_city(places: DataFrame, lat: float, lng: float, guard_m: float = 50_
 
 
 def tile_features(places: DataFrame, zooms: list[int]) -> DataFrame:
-    """For every tile of every zoom: its best pins, with coordinates in the tile. One shuffle by tile for each zoom."""
-    out = None
+    """For every tile of every zoom: its best pins, with coordinates in the tile. The catalogue is read once and shuffled once, by tile."""
+    each = []
     for z in zooms:
         x, y = geo.tile_local(F.col("lat"), F.col("lng"), z)
-        t = places.select("*", F.lit(z).alias("z"), geo.tile_x(F.col("lng"), z).alias("x"), geo.tile_y(F.col("lat"), z).alias("y"), x.alias("px"), y.alias("py"))
-        t = t.withColumn("rn", F.row_number().over(Window.partitionBy("z", "x", "y").orderBy(*visibility_order()))).where(F.col("rn") <= tile_cap(z))
-        out = t if out is None else out.unionByName(t)
-    return out.select("z", "x", "y", "rn", "id", "name", "category", "primary_type", "price_level", "visibility", "photo_path", "px", "py")
+        each.append(F.struct(F.lit(z).alias("z"), geo.tile_x(F.col("lng"), z).alias("x"), geo.tile_y(F.col("lat"), z).alias("y"), x.alias("px"), y.alias("py")))
+    t = places.select("*", F.explode(F.array(*each)).alias("_t")).select("*", "_t.*").drop("_t")
+    rank = F.row_number().over(Window.partitionBy("z", "x", "y").orderBy(*visibility_order()))
+    t = t.withColumn("rn", rank).where(F.col("rn") <= max(map(tile_cap, zooms), default=0)).where(F.col("rn") <= tile_cap_of(F.col("z")))
+    return t.select("z", "x", "y", "rn", "id", "name", "category", "primary_type", "price_level", "visibility", "photo_path", "px", "py")
 
 
 def pin_score() -> Column:
@@ -133,8 +142,9 @@ def photo_rank(source: Column) -> Column:
 def photo_keys(photos: DataFrame, most: int = 10) -> DataFrame:
     """Up to so many distinct paths of each place: vibe, review, the rest, each by index (missing 9999)."""
     key = F.struct(photo_rank(F.col("photo_source")).alias("r"), F.coalesce("photo_index", F.lit(9999)).alias("i"), F.col("photo_id").alias("n"), F.col("path").alias("path"))
-    ordered = photos.groupBy("photo_place").agg(F.sort_array(F.collect_list(key)).alias("keys"))
-    return ordered.select("photo_place", F.slice(F.array_distinct(F.transform("keys", lambda k: k["path"])), 1, most).alias("paths"))
+    first = photos.groupBy("photo_place", "path").agg(F.min(key).alias("k"))  # a path counts where it comes first
+    kept = first.withColumn("rn", F.row_number().over(Window.partitionBy("photo_place").orderBy("k"))).where(F.col("rn") <= most)
+    return kept.groupBy("photo_place").agg(F.transform(F.sort_array(F.collect_list("k")), lambda k: k["path"]).alias("paths"))
 
 
 def first_photos(photos: DataFrame) -> DataFrame:

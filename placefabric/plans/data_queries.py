@@ -59,9 +59,10 @@ def mth13(spark, sf):
     return entity(spark, sf, "places").select("id", walk.dwell_minutes(F.col("theme"), F.col("name"), F.col("reviews_count"), F.lit(None).cast("string")).alias("dwell"))
 
 
-@query("flt15_slot_membership", P + " SELECT theme, count(*) AS n FROM places WHERE theme IN ('theme1', 'theme4') GROUP BY theme")
+@query("flt15_slot_membership", P + " SELECT id, theme = 'theme1' AS strict, theme = 'theme1' OR contains(lower(name), 'ring') OR contains(lower(name), 'small') AS relaxed FROM places")
 def flt15(spark, sf):
-    return entity(spark, sf, "places").where(F.col("theme").isin("theme1", "theme4")).groupBy("theme").agg(F.count(F.lit(1)).alias("n"))
+    member = lambda relaxed: walk.slot_member("theme1", ["ring", "small"], F.lit(relaxed))
+    return entity(spark, sf, "places").select("id", member(False).alias("strict"), member(True).alias("relaxed"))
 
 
 _KM = "2 * 6371.0088e0 * asin(sqrt(least(1e0, pow(sin(radians(44.43e0 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(44.43e0)) * pow(sin(radians(26.10e0 - lng) / 2), 2))))"
@@ -79,37 +80,15 @@ def alg39(spark, sf):
     return entity(spark, sf, "places").select("id", walk.place_policy(st, F.col("id") % 2 == 1).alias("reason"))
 
 
-@query("alg49_route_legs", "WITH s AS (SELECT l_orderkey, l_partkey, 44.43e0 + ((l_partkey * 7919) % 2000 - 1000) * 1.2e-5 AS lat, 26.10e0 + ((l_partkey * 104729) % 2000 - 1000) * 1.7e-5 AS lng FROM lineitem WHERE l_orderkey < 2000), d AS (SELECT DISTINCT * FROM s), n AS (SELECT *, lead(lat) OVER w AS lat2, lead(lng) OVER w AS lng2 FROM d WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_partkey)) SELECT l_orderkey AS request_id, l_partkey AS place_id, round(2 * 6371.0088e0 * asin(sqrt(least(1e0, pow(sin(radians(lat2 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(lat2)) * pow(sin(radians(lng2 - lng) / 2), 2)))) * 1.35e0 / 4.5e0 * 60, 6) AS minutes FROM n WHERE lat2 IS NOT NULL")
+@query("alg49_route_legs", "WITH s AS (SELECT l_orderkey, l_partkey, 44.43e0 + ((l_partkey * 7919) % 2000 - 1000) * 1.2e-5 AS lat, 26.10e0 + ((l_partkey * 104729) % 2000 - 1000) * 1.7e-5 AS lng FROM lineitem), d AS (SELECT DISTINCT * FROM s), n AS (SELECT *, lead(lat) OVER w AS lat2, lead(lng) OVER w AS lng2 FROM d WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_partkey)) SELECT l_orderkey AS request_id, l_partkey AS place_id, round(2 * 6371.0088e0 * asin(sqrt(least(1e0, pow(sin(radians(lat2 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(lat2)) * pow(sin(radians(lng2 - lng) / 2), 2)))) * 1.35e0 / 4.5e0 * 60, 6) AS minutes FROM n WHERE lat2 IS NOT NULL")
 def alg49(spark, sf):
-    s = table(spark, sf, "lineitem").where("l_orderkey < 2000").select(F.col("l_orderkey").alias("request_id"), F.col("l_partkey").alias("place_id")).distinct()
+    s = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("request_id"), F.col("l_partkey").alias("place_id")).distinct()
     s = s.withColumns({"lat": F.lit(44.43) + ((F.col("place_id") * 7919) % 2000 - 1000) * F.lit(1.2e-5), "lng": F.lit(26.10) + ((F.col("place_id") * 104729) % 2000 - 1000) * F.lit(1.7e-5)})
     w = Window.partitionBy("request_id").orderBy("place_id")
     s = s.withColumns({"lat2": F.lead("lat").over(w), "lng2": F.lead("lng").over(w)}).where("lat2 is not null")
     return s.select("request_id", "place_id", F.round(walk.leg_minutes(F.col("lat"), F.col("lng"), F.col("lat2"), F.col("lng2")), 6).alias("minutes"))
 
 
-@query("alg47_walk_plans")
-def alg47(spark, sf):
-    """Plans of forty requests, three slots of the nearest places each."""
-    p = entity(spark, sf, "places").select(F.col("id").alias("place_id"), "lat", "lng", F.coalesce(F.col("rating") / 5, F.lit(0.3)).alias("interest"), "theme")
-    slots = spark.createDataFrame([(r, s, f"theme{(r + s) % 6}", 44.42 + 0.0005 * r, 26.09 + 0.0005 * r) for r in range(40) for s in range(3)], "request_id long, slot int, theme string, start_lat double, start_lng double")
-    from placefabric.functions.geo import haversine_km
-
-    c = p.join(F.broadcast(slots), "theme").withColumn("km", haversine_km(F.col("lat"), F.col("lng"), F.col("start_lat"), F.col("start_lng"))).where("km <= 2")
-    c = c.withColumn("rn", F.row_number().over(Window.partitionBy("request_id", "slot").orderBy(F.desc("interest"), "place_id"))).where("rn <= 25").withColumn("dwell", F.lit(30))
-    return walk.plan_requests(c.select("request_id", "slot", "place_id", "lat", "lng", "interest", "dwell", "start_lat", "start_lng"))
-
-
-@query("str18_polyline")
-def str18(spark, sf):
-    @F.pandas_udf("string")
-    def encode(lat: pd.Series, lng: pd.Series) -> pd.Series:
-        return pd.Series([walk.polyline(list(zip(b, a, strict=True))) for a, b in zip(lat, lng, strict=True)])
-
-    p = entity(spark, sf, "places").groupBy("city").agg(F.sort_array(F.collect_list(F.struct("id", "lat", "lng"))).alias("s"))
-    return p.select("city", encode(F.transform("s", lambda x: x["lat"]), F.transform("s", lambda x: x["lng"])).alias("line"))
-
-
 @query("str6_words_matched", "SELECT doc_id, CAST(contains(lower(text), 'license') AS INTEGER) + CAST(contains(lower(text), 'token') AS INTEGER) + CAST(contains(lower(text), 'the') AS INTEGER) AS matched FROM documents")
 def str6(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.words_matched(F.lower("text"), ["license", "token", "the"]).alias("matched"))
@@ -210,7 +189,7 @@ def src4(spark, sf):
 
 @query("src9_json_array_rows", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
 def src9(spark, sf):
-    j = table(spark, sf, "events").select(F.concat(F.lit('[{"event_id":'), "event_id", F.lit(","), F.substring("props", 2, 1000), F.lit("]")).alias("j"))
+    j = table(spark, sf, "events").select(F.concat(F.lit('[{"event_id":'), "event_id", F.lit(","), F.expr("substring(props, 2)"), F.lit("]")).alias("j"))
     return readers.from_json_array(j, "j", "event_id:bigint,k:int")
 
 

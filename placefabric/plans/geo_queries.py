@@ -259,10 +259,9 @@ def str2(spark, sf):
     return _places(spark, sf).select("id", F.round(text.word_similarity("ring")(F.col("name")), 6).alias("similarity"))
 
 
-@query("str1_unaccent", "SELECT doc_id, md5(lower(strip_accents(trim(substr(text, 1, 200))))) AS folded FROM documents WHERE NOT contains(text, 'ß') AND NOT contains(text, 'æ') AND NOT contains(text, 'œ')")
+@query("str1_unaccent", "SELECT doc_id, md5(replace(replace(replace(strip_accents(lower(trim(text, ' '))), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe')) AS folded FROM documents")
 def str1(spark, sf):
-    d = spark.read.parquet(f"{sf}/documents.parquet").where(~F.contains("text", F.lit("ß")) & ~F.contains("text", F.lit("æ")) & ~F.contains("text", F.lit("œ")))
-    return d.select("doc_id", F.md5(text.fold(F.substring("text", 1, 200))).alias("folded"))
+    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.md5(text.fold(F.col("text"))).alias("folded"))
 
 
 @query("str3_prefix_exact_word", PLACES + "SELECT id, starts_with(name, 'small') AS prefix, name = 'small ring' AS exact, (' ' || name || ' ') LIKE '% ring %' AS word FROM places")

@@ -14,7 +14,7 @@ from placefabric.operators import recommend as r
 from placefabric.plans.geo_queries import KM, LAT, LNG
 from placefabric.plans.registry import query
 from placefabric.plans.testmap import cte, entity, table
-from placefabric.plans.vector_queries import _lists, _vectors
+from placefabric.plans.vector_queries import _CENTROID, _PAIRS, _SEED, _VEC, _lists, _vectors
 from placefabric.sources import vector_tile
 
 P = cte("places")
@@ -59,7 +59,7 @@ def jn14(spark, sf):
     return table(spark, sf, "part").select(F.col("p_partkey").alias("place_id"), F.col("p_name").alias("name")).join(e, "place_id", "left").select("place_id", "name", F.coalesce("label", F.lit(-1)).alias("label"), F.coalesce("has", F.lit(False)).alias("has_embedding"))
 
 
-@query("agg11_robust_centroid")
+@query("agg11_robust_centroid", f"WITH {_VEC}, {_SEED}, {_CENTROID}, k AS (SELECT user_id, weight, vec[1] AS x, list_cosine_similarity(vec, c) AS cos FROM seed JOIN v USING (place_id) JOIN cent USING (user_id)), q AS (SELECT user_id, quantile_cont(cos, 0.25) AS q FROM k GROUP BY user_id), w AS (SELECT user_id, x, weight * CASE WHEN cos < q - 1e-9 THEN 0.25e0 ELSE 1e0 END AS w FROM k JOIN q USING (user_id)) SELECT user_id, round(sum(x * w) / sum(w), 6) AS c0 FROM w GROUP BY user_id")
 def agg11(spark, sf):
     """Members under the 25th percentile of cosine to the plain centroid weigh a quarter."""
     v = _vectors(spark, sf)
@@ -67,7 +67,7 @@ def agg11(spark, sf):
     plain = r.centroid(seed, ["user_id"], "vector", "weight")
     c = seed.join(plain, "user_id").withColumn("cos", r.cosine(F.col("vector"), F.col("centroid")))
     low = c.groupBy("user_id").agg(F.expr("percentile(cos, 0.25)").alias("q"))
-    robust = r.centroid(c.join(low, "user_id").withColumn("w", F.col("weight") * F.when(F.col("cos") < F.col("q"), 0.25).otherwise(1.0)), ["user_id"], "vector", "w")
+    robust = r.centroid(c.join(low, "user_id").withColumn("w", F.col("weight") * F.when(F.col("cos") < F.col("q") - 1e-9, 0.25).otherwise(1.0)), ["user_id"], "vector", "w")
     return robust.select("user_id", F.round(F.col("centroid")[0], 6).alias("c0"))
 
 
@@ -82,25 +82,38 @@ def win6(spark, sf):
     return _p(spark, sf).where("theme = 'theme1'").select("id", F.row_number().over(Window.orderBy(F.desc_nulls_last("rating"), "id")).alias("new_position"), F.col("id").alias("position"))
 
 
-@query("win8_interleave", "SELECT * FROM (VALUES (1, 0), (2, 1), (100, 2), (3, 3), (4, 4), (101, 5), (5, 6), (6, 7)) AS v(place_id, position)")
+@query(
+    "win8_interleave",
+    P
+    + """, p AS (SELECT city, id, row_number() OVER (PARTITION BY city ORDER BY id) AS j FROM places WHERE theme = 'theme3'), q AS (SELECT city, list(id ORDER BY id) AS picks FROM p WHERE j <= 2 GROUP BY city),
+    l AS (SELECT city, list(id ORDER BY id) AS base FROM places WHERE theme <> 'theme3' GROUP BY city),
+    b AS (SELECT city, base, picks, greatest(2, least(15, len(base) + coalesce(len(picks), 0)) // (coalesce(len(picks), 0) + 1)) AS stride FROM l LEFT JOIN q USING (city)),
+    one AS (SELECT *, CASE WHEN picks IS NULL THEN base ELSE base[1:stride] || [picks[1]] || base[stride + 1:] END AS a FROM b),
+    two AS (SELECT city, CASE WHEN coalesce(len(picks), 0) < 2 THEN a ELSE a[1:2 * stride] || [picks[2]] || a[2 * stride + 1:] END AS a FROM one)
+    SELECT city, unnest(a) AS id, CAST(unnest(range(0, len(a))) AS INTEGER) AS position FROM two""",
+)
 def win8(spark, sf):
-    return spark.createDataFrame([(x, k) for k, x in enumerate(r.interleave([1, 2, 3, 4, 5, 6], [100, 101], 9))], "place_id int, position int")
+    """Two places of one theme set among the others of their city, inside its first fifteen."""
+    p = _p(spark, sf).select(F.col("city").alias("key"), F.col("id").alias("item"), "theme")
+    pos = F.row_number().over(Window.partitionBy("key").orderBy("item")) - 1
+    base, picks = p.where("theme <> 'theme3'").withColumn("pos", pos), p.where("theme = 'theme3'").withColumn("pos", pos).where("pos < 2")
+    return r.interleaved(base.drop("theme"), picks.drop("theme"), 15).select(F.col("key").alias("city"), F.col("item").alias("id"), "position")
 
 
-@query("top2_tile_caps", "SELECT * FROM (VALUES (6, 6), (12, 6), (13, 10), (15, 10), (16, 15), (17, 25), (20, 25)) AS v(zoom, cap)")
+@query("top2_tile_caps", P + "SELECT id, CAST(5 + id % 16 AS INTEGER) AS zoom, CASE WHEN 5 + id % 16 <= 12 THEN 6 WHEN 5 + id % 16 <= 15 THEN 10 WHEN 5 + id % 16 <= 16 THEN 15 ELSE 25 END AS cap FROM places")
 def top2(spark, sf):
-    return spark.createDataFrame([(z, geo.tile_cap(z)) for z in (6, 12, 13, 15, 16, 17, 20)], "zoom int, cap int")
+    return _p(spark, sf).select("id", (5 + F.col("id") % 16).cast("int").alias("zoom")).withColumn("cap", geo.tile_cap_of(F.col("zoom")))
 
 
-@query("top9_zoom_of_span", "SELECT span, CAST(greatest(1, least(22, floor(log2(360 / span)))) AS INTEGER) AS zoom FROM (VALUES (360e0), (90e0), (1e0), (0.02e0), (0.00001e0)) AS v(span)")
+@query("top9_zoom_of_span", P + "SELECT id, CASE WHEN (id * 37) % 400 = 0 THEN 22 ELSE CAST(greatest(1, least(22, floor(log2(360 / (((id * 37) % 400) / 100e0))))) AS INTEGER) END AS zoom FROM places")
 def top9(spark, sf):
-    return spark.createDataFrame([(s, g.zoom_of_span(s)) for s in (360.0, 90.0, 1.0, 0.02, 0.00001)], "span double, zoom int")
+    return _p(spark, sf).select("id", g.zoom_for(((F.col("id") * 37) % 400) / 100.0).alias("zoom"))
 
 
-@query("set1_union_all", P + "SELECT id FROM places WHERE id < 50 UNION ALL SELECT id FROM places WHERE id < 20")
+@query("set1_union_all", P + "SELECT id FROM places WHERE rating >= 4 UNION ALL SELECT id FROM places WHERE theme = 'theme1'")
 def set1(spark, sf):
-    p = _p(spark, sf).select("id")
-    return p.where("id < 50").unionByName(p.where("id < 20"))
+    p = _p(spark, sf)
+    return p.where("rating >= 4").select("id").unionByName(p.where("theme = 'theme1'").select("id"))
 
 
 @query("str11_chain_name", P + "SELECT id, trim(regexp_replace(regexp_replace(lower(category), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')) AS chain FROM places")
@@ -108,14 +121,43 @@ def str11(spark, sf):
     return _p(spark, sf).select("id", F.trim(F.regexp_replace(F.regexp_replace(F.lower("category"), "[^a-z0-9 ]+", " "), " +", " ")).alias("chain"))
 
 
-@query("str19_map_links")
+_ROUTE = "r AS (SELECT o_custkey AS route_id, l_partkey AS place_id FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL), s AS (SELECT route_id, place_id, lat, lng, row_number() OVER (PARTITION BY route_id ORDER BY place_id) - 1 AS pos FROM r JOIN places ON id = place_id)"
+
+
+def _routes(spark, sf):
+    """The places of a user's orders as a route, which is a few dozen stops."""
+    stops = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("route_id"), F.col("l_partkey").alias("place_id")).distinct()
+    stops = stops.join(_p(spark, sf).select(F.col("id").alias("place_id"), "lat", "lng"), "place_id")
+    return stops.withColumn("pos", F.row_number().over(Window.partitionBy("route_id").orderBy("place_id")) - 1)
+
+
+@query(
+    "str19_map_links",
+    P
+    + f""", {_ROUTE}, c AS (SELECT *, pos // 10 AS chunk FROM s UNION ALL SELECT *, pos // 10 - 1 FROM s WHERE pos % 10 = 0 AND pos > 0),
+    t AS (SELECT route_id, chunk, list(printf('%.6f,%.6f', lat, lng) ORDER BY pos) AS pts FROM c GROUP BY route_id, chunk HAVING count(*) > 1)
+    SELECT route_id, chunk, concat('https://www.google.com/maps/dir/?api=1&origin=', pts[1], '&destination=', pts[len(pts)], CASE WHEN len(pts) > 2 THEN concat('&waypoints=', array_to_string(pts[2:len(pts) - 1], '%7C')) ELSE '' END, '&travelmode=walking') AS link FROM t""",
+)
 def str19(spark, sf):
-    @F.pandas_udf("array<string>")
-    def links(lat: pd.Series, lng: pd.Series) -> pd.Series:
-        return pd.Series([walk.map_links(list(zip(b, a, strict=True))) for a, b in zip(lat, lng, strict=True)])
+    """Directions links of routes: nine waypoints each, the next begins where the last ended."""
+    s = _routes(spark, sf)
+    chunk = F.floor(F.col("pos") / 10)
+    both = F.when((F.col("pos") % 10 == 0) & (F.col("pos") > 0), F.array(chunk, chunk - 1)).otherwise(F.array(chunk))
+    t = s.withColumn("chunk", F.explode(both)).groupBy("route_id", "chunk").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "lat", "lng"))), lambda x: F.format_string("%.6f,%.6f", x["lat"], x["lng"])).alias("at")).where(F.size("at") > 1)
+    way = F.when(F.size("at") > 2, F.concat(F.lit("&waypoints="), F.array_join(F.slice("at", F.lit(2), F.size("at") - 2), "%7C"))).otherwise("")
+    return t.select("route_id", "chunk", F.concat(F.lit("https://www.google.com/maps/dir/?api=1&origin="), F.col("at")[0], F.lit("&destination="), F.element_at("at", -1), way, F.lit("&travelmode=walking")).alias("link"))
+
+
+@query("str18_polyline")
+def str18(spark, sf):
+    """Encoded lines of routes."""
+
+    @F.pandas_udf("string")
+    def encode(lat: pd.Series, lng: pd.Series) -> pd.Series:
+        return pd.Series([walk.polyline(list(zip(b, a, strict=True))) for a, b in zip(lat, lng, strict=True)])
 
-    s = _p(spark, sf).where("id < 400").groupBy("city").agg(F.sort_array(F.collect_list(F.struct("id", "lat", "lng"))).alias("s"))
-    return s.select("city", F.explode(links(F.transform("s", lambda x: x["lat"]), F.transform("s", lambda x: x["lng"]))).alias("link"))
+    s = _routes(spark, sf).groupBy("route_id").agg(F.sort_array(F.collect_list(F.struct("pos", "lat", "lng"))).alias("s"))
+    return s.select("route_id", encode(F.transform("s", lambda x: x["lat"]), F.transform("s", lambda x: x["lng"])).alias("line"))
 
 
 @query("geo1_geodesic")
@@ -133,9 +175,10 @@ def geo4(spark, sf):
     return _p(spark, sf).groupBy(g.tile_x(F.col("lng"), 14).alias("x"), g.tile_y(F.col("lat"), 14).alias("y")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("geo6_reach", "SELECT budget, round(greatest(20e0, budget - 60) / 60 * 4.5e0 / 1.35e0 / 2, 6) AS km FROM (VALUES (60e0), (120e0), (240e0)) AS v(budget)")
+@query("geo6_reach", P + "SELECT id, round(greatest(20e0, 60 + id % 300 - (30 + id % 70)) / 60 * 4.5e0 / 1.35e0 / 2, 6) AS loop_km, round(greatest(20e0, 60 + id % 300 - (30 + id % 70)) / 60 * 4.5e0 / 1.35e0, 6) AS line_km FROM places")
 def geo6(spark, sf):
-    return spark.createDataFrame([(b, round(g.reach_km(b, 60, True), 6)) for b in (60.0, 120.0, 240.0)], "budget double, km double")
+    budget, dwell = 60 + F.col("id") % 300, 30 + F.col("id") % 70
+    return _p(spark, sf).select("id", F.round(g.reach(budget, dwell, True), 6).alias("loop_km"), F.round(g.reach(budget, dwell, False), 6).alias("line_km"))
 
 
 @query("mth1_feed_score", P + f"SELECT id, round(coalesce(visibility, 0) + 0.20e0 * coalesce(rating * 20, 0) + 0.15e0 * coalesce(popularity, 0) + CASE WHEN lower(country) = 'europe' THEN 10 ELSE 0 END + 25 / (1 + {KM}), 6) AS score FROM places")
@@ -222,27 +265,35 @@ def stm8(spark, sf):
     return table(spark, sf, "events").groupBy(F.col("event_type").isin(*events.KNOWN_TYPES).alias("known")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("stm10_rate_limit", "WITH k AS (SELECT event_id, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS rn FROM events) SELECT event_id, rn <= 3 AS allowed FROM k")
-def stm10(spark, sf):
-    """Three events of a user in a day's window; the batch form of the streaming limiter."""
-    w = Window.partitionBy("user_id", F.to_date("ts")).orderBy("ts", "event_id")
-    return table(spark, sf, "events").select("event_id", (F.row_number().over(w) <= 3).alias("allowed"))
-
-
 @query("stm13_log_retention", "SELECT count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-20' - INTERVAL 336 HOUR")
 def stm13(spark, sf):
     return table(spark, sf, "events").where("ts >= timestamp_ntz '2024-01-20' - interval 336 hours").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("alg13_weight_normalisation", "SELECT * FROM (VALUES ('text', 0.733333e0), ('tags', 0.266667e0), ('axis', 0e0), ('quality', 0e0)) AS v(channel, weight)")
-def alg13(spark, sf):
-    w = hybrid.normalized({**hybrid.WEIGHTS, "quality": -1.0}, {"text", "tags", "quality"})
-    return spark.createDataFrame([(k, round(v, 6)) for k, v in w.items()], "channel string, weight double")
+_CHANNELS = "w AS (SELECT id, greatest(0e0, coalesce(visibility, 0e0) / 100 - 0.2e0) AS a, greatest(0e0, coalesce(rating, 0e0) - 2.5e0) AS b, greatest(0e0, coalesce(popularity, 0e0) / 100 - 0.9e0) AS c FROM places)"
 
 
-@query("alg15_profile_quotas", "SELECT * FROM (VALUES (0, 5), (1, 3), (2, 2)) AS v(profile, quota)")
+@query("alg13_weight_normalisation", P + f", {_CHANNELS} SELECT id, CASE WHEN a + b + c > 0 THEN round(a / (a + b + c), 6) ELSE 1e0 END AS text, CASE WHEN a + b + c > 0 THEN round(b / (a + b + c), 6) ELSE 0e0 END AS tags, CASE WHEN a + b + c > 0 THEN round(c / (a + b + c), 6) ELSE 0e0 END AS quality, 0e0 AS axis FROM w")
+def alg13(spark, sf):
+    """Channel weights of every row: negative and disabled ones are 0, the rest adds up to 1."""
+    w = {"text": F.col("visibility") / 100 - 0.2, "tags": F.col("rating") - 2.5, "quality": F.col("popularity") / 100 - 0.9, "axis": F.lit(5.0)}
+    return _p(spark, sf).select("id", *[F.round(c, 6).alias(k) for k, c in hybrid.normalized_of(w, {"text", "tags", "quality"}).items()])
+
+
+@query(
+    "alg15_profile_quotas",
+    P
+    + """, w AS (SELECT city AS user_id, price_level AS profile_id, CAST(count(*) AS DOUBLE) AS weight FROM places GROUP BY ALL),
+    s AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n, 7 * weight / sum(weight) OVER (PARTITION BY user_id) AS share FROM w), b AS (SELECT *, greatest(1, CAST(floor(share) AS INTEGER)) AS base FROM s),
+    t AS (SELECT *, sum(base) OVER (PARTITION BY user_id) - 7 AS surplus, row_number() OVER (PARTITION BY user_id ORDER BY share - floor(share) DESC, profile_id DESC) AS f FROM b),
+    u AS (SELECT user_id, profile_id, unit, surplus, row_number() OVER (PARTITION BY user_id ORDER BY unit DESC, profile_id DESC) AS top FROM (SELECT *, unnest(range(1, base + 1)) AS unit FROM t)),
+    k AS (SELECT user_id, profile_id, count(*) FILTER (WHERE top > surplus) AS kept FROM u GROUP BY ALL)
+    SELECT user_id, CAST(profile_id AS BIGINT) AS profile_id, CAST(kept + CASE WHEN f <= -surplus THEN 1 ELSE 0 END AS INTEGER) AS quota FROM t JOIN k USING (user_id, profile_id)""",
+)
 def alg15(spark, sf):
-    return spark.createDataFrame(list(enumerate(r.quotas([5.0, 3.0, 2.0], 10))), "profile int, quota int")
+    """Seven places dealt to the price levels of each city by their counts."""
+    w = _p(spark, sf).groupBy(F.col("city").alias("user_id"), F.col("price_level").cast("long").alias("profile_id")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    return r.profile_quotas(w, 7).drop("weight")
 
 
 def _features(spark, sf):
@@ -266,6 +317,42 @@ def alg8(spark, sf):
     return hybrid.recommend(_seed(spark, sf), _vectors(spark, sf).select("place_id", "vector"), _features(spark, sf), 20)
 
 
+@query("alg22_item_to_item")
+def alg22(spark, sf):
+    """Similar places for the queries (every id that 50 divides) against all places."""
+    v = _vectors(spark, sf).select("place_id", "vector")
+    return hybrid.similar_places(v.where("place_id % 50 = 0").select("place_id"), v, _features(spark, sf))
+
+
+@query("alg31_given_clusters")
+def alg31(spark, sf):
+    """Hybrid ranking with the labels of the seeds as profiles, the best profile of each place, the first hundred of each user."""
+    v = _vectors(spark, sf)
+    given = _seed(spark, sf).join(v.select("place_id", "vector", (F.col("cluster") % 4).cast("int").alias("profile_id")), "place_id").withColumn("weight", F.lit(1.0))
+    vectors = v.select("place_id", "vector")
+    best = hybrid.feature_frame(hybrid.score(given, vectors, _features(spark, sf).drop("cluster"), r.csls_density(vectors)))
+    rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("score"), "place_id"))
+    return best.withColumn("rank", rank).where("rank <= 100").select("user_id", "profile_id", "place_id", "rank", F.round("score", 6).alias("score"))
+
+
+_IMAGE = "e AS (SELECT vec_id AS place_id, embedding::DOUBLE[] AS vec, CASE WHEN vec_id % 5 <> 0 THEN [abs(x) for x in embedding::DOUBLE[]] END AS img FROM embeddings), m AS (SELECT o_custkey AS user_id, (l_partkey % 3) AS profile_id, l_partkey AS place_id FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN e ON e.place_id = l_partkey GROUP BY ALL)"
+_COHERE = "SELECT user_id, profile_id, CASE WHEN max(n) > 1 THEN (sum(s * s) - max(n)) / (max(n) * (max(n) - 1)) END AS c FROM (SELECT user_id, profile_id, d, sum({0}[d] / sqrt(list_dot_product({0}, {0}))) AS s, count(*) AS n FROM m JOIN e USING (place_id), range(1, 65) t(d) WHERE img IS NOT NULL GROUP BY ALL) GROUP BY ALL"
+_BASE = "SELECT greatest((sum(s * s) - max(n)) / (max(n) * (max(n) - 1)), 1e-6) AS b FROM (SELECT d, sum({0}[d] / sqrt(list_dot_product({0}, {0}))) AS s, count(*) AS n FROM e, range(1, 65) t(d) WHERE {0} IS NOT NULL GROUP BY d)"
+
+
+@query(
+    "alg14_image_weight",
+    f"WITH {_IMAGE}, x AS ({_COHERE.format('vec')}), y AS ({_COHERE.format('img')}), bx AS ({_BASE.format('vec')}), by_ AS ({_BASE.format('img')}), p AS (SELECT DISTINCT user_id, profile_id FROM m) SELECT user_id, profile_id, round(CASE WHEN y.c IS NULL OR x.c / bx.b <= 0 THEN 1e0 ELSE greatest(0.5e0, least(1.5e0, (y.c / by_.b) / (x.c / bx.b))) END, 4) AS scale FROM p LEFT JOIN x USING (user_id, profile_id) LEFT JOIN y USING (user_id, profile_id), bx, by_",
+)
+def alg14(spark, sf):
+    """How much a profile's pictures say against its texts; the magnitudes of the vector stand in for pictures."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("place_id"), F.col("embedding").cast("array<double>").alias("vector"))
+    e = e.withColumn("image", F.when(F.col("place_id") % 5 != 0, F.transform("vector", F.abs)))
+    lines = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
+    members = lines.select(F.col("o_custkey").alias("user_id"), (F.col("l_partkey") % 3).alias("profile_id"), F.col("l_partkey").alias("place_id")).distinct().join(e.select("place_id"), "place_id", "left_semi")
+    return hybrid.image_weight_scale(members, e).select("user_id", "profile_id", F.round("scale", 4).alias("scale"))
+
+
 @query("alg27_feature_frame")
 def alg27(spark, sf):
     return hybrid.feature_frame(_hybrid(spark, sf)).withColumn("reasons", F.array_join("reasons", ","))
@@ -287,10 +374,10 @@ def alg21(spark, sf):
     return hybrid.cold(users, _features(spark, sf), 30).withColumn("score", F.round("score", 6))
 
 
-@query("alg33_seed_resolution", "WITH l AS (SELECT c_custkey AS user_id, (c_custkey * 7 + j * 13) % 520 AS place_id, 0 AS l, j FROM customer, range(5) t(j) WHERE c_custkey < 40 UNION ALL SELECT c_custkey, (c_custkey * 11 + j * 13) % 520, 1, j FROM customer, range(3) t(j) WHERE c_custkey < 40), f AS (SELECT *, row_number() OVER (PARTITION BY user_id, place_id ORDER BY l, j) AS k FROM l WHERE place_id < 500), n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY l, j) AS rn FROM f WHERE k = 1) SELECT user_id, place_id, rn FROM n WHERE rn <= 6")
+@query("alg33_seed_resolution", "WITH l AS (SELECT c_custkey AS user_id, (c_custkey * 7 + j * 13) % 520 AS place_id, 0 AS l, j FROM customer, range(5) t(j) UNION ALL SELECT c_custkey, (c_custkey * 11 + j * 13) % 520, 1, j FROM customer, range(3) t(j)), f AS (SELECT *, row_number() OVER (PARTITION BY user_id, place_id ORDER BY l, j) AS k FROM l WHERE place_id < 500), n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY l, j) AS rn FROM f WHERE k = 1) SELECT user_id, place_id, rn FROM n WHERE rn <= 6")
 def alg33(spark, sf):
     """Favourites first, each place once, unknown ones left out, at most six."""
-    c = table(spark, sf, "customer").where("c_custkey < 40").select(F.col("c_custkey").alias("user_id"))
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"))
     lists = [c.select("user_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("j"), F.lit(k).alias("l")).withColumn("place_id", (F.col("user_id") * m + F.col("j") * 13) % 520) for k, (n, m) in enumerate(((5, 7), (3, 11)))]
     known = lists[0].unionByName(lists[1]).join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("place_id")), "place_id", "left_semi")
     once = known.withColumn("k", F.row_number().over(Window.partitionBy("user_id", "place_id").orderBy("l", "j"))).where("k = 1")
@@ -309,7 +396,7 @@ def alg34(spark, sf):
     return pairs.groupBy("user_id", "place_id").agg(F.first("score").alias("score"), F.max_by("seed_id", like).alias("similar_to"))
 
 
-@query("alg36_taste_artifacts")
+@query("alg36_taste_artifacts", f"WITH {_VEC}, {_PAIRS}, d AS (SELECT place_id, avg(cosine) AS density FROM k WHERE rank <= 10 GROUP BY place_id) SELECT v.place_id, concat('theme', label) AS theme, true AS has_text, round(density, 6) AS density, round(((v.place_id * 29) % 97) / 97e0, 6) AS quality FROM v JOIN d USING (place_id)")
 def alg36(spark, sf):
     v = _vectors(spark, sf)
     return v.select("place_id", F.concat(F.lit("theme"), "cluster").alias("theme"), F.lit(True).alias("has_text")).join(r.csls_density(v.select("place_id", "vector")), "place_id").join(_features(spark, sf).select("place_id", "quality"), "place_id").select("place_id", "theme", "has_text", F.round("density", 6).alias("density"), F.round("quality", 6).alias("quality"))
@@ -334,41 +421,6 @@ def alg38(spark, sf):
     return p.withColumn("rn", F.row_number().over(Window.partitionBy("theme").orderBy(F.desc("i"), "id"))).where("rn <= 30").select("id", "theme")
 
 
-def _solver(spark, sf, kind):
-    """Three slots of eight stops around forty starts, and one step of the solver on each."""
-    p = _p(spark, sf).where("id < 960").select(F.col("id").alias("place_id"), "lat", "lng", F.coalesce(F.col("rating") / 5, F.lit(0.3)).alias("interest"), (F.col("id") % 40).alias("request_id"), (F.floor(F.col("id") / 40) % 3).cast("int").alias("slot"))
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["slot", "place_id"])
-        slots = [[walk.Stop(int(x.place_id), x.lat, x.lng, x.interest, 30) for x in s.itertuples()] for _, s in pdf.groupby("slot")]
-        q = walk.Request(slots, LAT, LNG, budget=240, loop=True, extras=[s for slot in slots for s in slot], fill=0.8)
-        if kind == "beam":
-            stops = walk.solve_slots(q)
-        elif kind == "order":
-            flat = [s for slot in slots for s in slot]
-            stops = [flat[i] for i in walk.order_stops([(s.lat, s.lng) for s in flat])]
-        elif kind == "insert":
-            stops = walk.solve_slots(q)
-            new = next(s for s in slots[0] if s.place_id not in {x.place_id for x in stops})
-            k, _ = walk.insertion(stops, new, q)
-            stops = [*stops[:k], new, *stops[k:]]
-        else:
-            stops = walk.fill_extras(walk.solve_slots(q), q)
-        return pd.DataFrame({"request_id": int(pdf.request_id.iloc[0]), "position": range(len(stops)), "place_id": [s.place_id for s in stops]})
-
-    return p.groupBy("request_id").applyInPandas(work, "request_id long, position int, place_id long")
-
-
-for _name, _kind in (("alg41_slot_beam", "beam"), ("alg42_stop_order", "order"), ("alg44_best_insertion", "insert"), ("alg45_fill_extras", "fill")):
-    query(_name)(lambda spark, sf, kind=_kind: _solver(spark, sf, kind))
-
-
-@query("alg40_request_rules", "SELECT * FROM (VALUES (0, ''), (1, 'date,minutes'), (2, 'variants,radius_km')) AS v(n, errors)")
-def alg40(spark, sf):
-    raw = [{"date": "2026-10-02"}, {"date": "soon", "minutes": 5}, {"date": "2026-10-02", "variants": 9, "radius_km": 0.1}]
-    return spark.createDataFrame([(n, ",".join(walk.validate_request(x)[1])) for n, x in enumerate(raw)], "n int, errors string")
-
-
 @query("alg51_source_mapper", P + "SELECT concat('part:', source_id) AS key, name, CASE price_level WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 ELSE 4 END AS price_level, lower(category) AS category FROM places")
 def alg51(spark, sf):
     words = F.element_at(F.array(*[F.lit(x) for x in ("free", "inexpensive", "moderate", "expensive", "very expensive")]), (F.col("price_level") + 1).cast("int"))
@@ -385,9 +437,3 @@ def alg52(spark, sf):
 def alg57(spark, sf):
     cards = spark.createDataFrame([("12",), ("nope",), ("77",)], "source_id string")
     return cards.join(_p(spark, sf).select("source_id", "id"), "source_id", "left")
-
-
-@query("snk1_daily_partitions", "SELECT CAST(ts AS DATE) AS event_date, count(*) AS n FROM events GROUP BY 1")
-def snk1(spark, sf):
-    """What the daily sink writes, by partition; the sink itself is tested on files."""
-    return table(spark, sf, "events").groupBy(F.to_date("ts").alias("event_date")).agg(F.count(F.lit(1)).alias("n"))

@@ -32,9 +32,9 @@ def alg6(spark, sf):
     return feed.signals(entity(spark, sf, "saves"), entity(spark, sf, "reactions"))
 
 
-@query("jn4_saves_with_places", cte("saves", "places") + "SELECT user_id, place_id, name, list_name FROM saves JOIN places ON id = place_id WHERE user_id % 10 = 3")
+@query("jn4_saves_with_places", cte("saves", "places") + "SELECT user_id, place_id, name, list_name FROM saves JOIN places ON id = place_id")
 def jn4(spark, sf):
-    s = entity(spark, sf, "saves").where("user_id % 10 = 3")
+    s = entity(spark, sf, "saves")
     return s.join(entity(spark, sf, "places"), F.col("id") == F.col("place_id")).select("user_id", "place_id", "name", "list_name")
 
 
@@ -45,10 +45,10 @@ def jn5(spark, sf):
     return r.join(p, (F.col("id") == F.col("place_id")) & (F.col("source") == F.col("review_source"))).select("review_id", F.col("stars").alias("rating"), "name")
 
 
-@query("jn6_place_review_chain", cte("reviews", "places") + "SELECT id, r.rating, helpful, c_name AS author FROM places LEFT JOIN reviews r ON id = place_id LEFT JOIN customer ON c_custkey = user_id WHERE id < 400")
+@query("jn6_place_review_chain", cte("reviews", "places") + "SELECT id, r.rating, helpful, c_name AS author FROM places LEFT JOIN reviews r ON id = place_id LEFT JOIN customer ON c_custkey = user_id")
 def jn6(spark, sf):
     users = table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("author"))
-    p = entity(spark, sf, "places").where("id < 400")
+    p = entity(spark, sf, "places")
     return userstate.place_reviews(p, entity(spark, sf, "reviews"), users).select("id", "rating", "helpful", "author")
 
 
@@ -190,9 +190,9 @@ def set4(spark, sf):
     return userstate.membership_diff(s.where("slug = 'saved'"), s.where("slug = 'been'"), ["user_id", "place_id"])
 
 
-@query("set5_tag_jaccard", "WITH d AS (SELECT doc_id, list_distinct(string_split(lower(substr(text, 1, 400)), ' ')) AS w FROM documents) SELECT a.doc_id AS a_id, b.doc_id AS b_id, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) AS jaccard FROM d a JOIN d b ON b.doc_id = a.doc_id + 1")
+@query("set5_tag_jaccard", "WITH d AS (SELECT doc_id, list_distinct(string_split(lower(text), ' ')) AS w FROM documents) SELECT a.doc_id AS a_id, b.doc_id AS b_id, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) AS jaccard FROM d a JOIN d b ON b.doc_id = a.doc_id + 1")
 def set5(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.array_distinct(F.split(F.lower(F.substring("text", 1, 400)), " ")).alias("w"))
+    d = table(spark, sf, "documents").select("doc_id", F.array_distinct(F.split(F.lower("text"), " ")).alias("w"))
     a, b = d.select(F.col("doc_id").alias("a_id"), F.col("w").alias("x")), d.select(F.col("doc_id").alias("b_id"), F.col("w").alias("y"))
     return a.join(b, F.col("b_id") == F.col("a_id") + 1).select("a_id", "b_id", F.round(F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y")), 6).alias("jaccard"))
 

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from placefabric.operators import hybrid
 from placefabric.operators import recommend as r
 from placefabric.plans.registry import query
 from placefabric.plans.testmap import cte, entity, table
@@ -16,14 +17,14 @@ def _vectors(spark, sf):
 
 
 def _lists(spark, sf):
-    c = table(spark, sf, "customer").where("c_custkey < 40")
+    c = table(spark, sf, "customer")
     fav = c.select(F.col("c_custkey").alias("user_id"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("j")).select("user_id", ((F.col("user_id") * 7 + F.col("j") * 13) % 520).alias("place_id"))
     want = c.select(F.col("c_custkey").alias("user_id"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("j")).select("user_id", ((F.col("user_id") * 11 + F.col("j") * 13) % 520).alias("place_id"))
     return fav, want
 
 
 _VEC = "v AS (SELECT vec_id AS place_id, embedding::DOUBLE[] AS vec, label FROM embeddings)"
-_SEED = "lists AS (SELECT c_custkey AS user_id, (c_custkey * 7 + j * 13) % 520 AS place_id, 1e0 AS weight FROM customer, range(5) t(j) WHERE c_custkey < 40 UNION ALL SELECT c_custkey, (c_custkey * 11 + j * 13) % 520, 0.55e0 FROM customer, range(3) t(j) WHERE c_custkey < 40), seed AS (SELECT user_id, place_id, max(weight) AS weight FROM lists GROUP BY user_id, place_id)"
+_SEED = "lists AS (SELECT c_custkey AS user_id, (c_custkey * 7 + j * 13) % 520 AS place_id, 1e0 AS weight FROM customer, range(5) t(j) UNION ALL SELECT c_custkey, (c_custkey * 11 + j * 13) % 520, 0.55e0 FROM customer, range(3) t(j)), seed AS (SELECT user_id, place_id, max(weight) AS weight FROM lists GROUP BY user_id, place_id)"
 _CENTROID = "dims AS (SELECT user_id, d, sum(vec[d] * weight) / sum(weight) AS m FROM seed JOIN v USING (place_id), range(1, 65) t(d) GROUP BY user_id, d), cent AS (SELECT user_id, list(m ORDER BY d) AS c FROM dims GROUP BY user_id)"
 
 
@@ -88,11 +89,14 @@ def win4(spark, sf):
     return rank_blend(p, 0.6).select("id", "theme", F.round("interest", 6).alias("interest"))
 
 
+#: Every user meets the places of the same cell.
+_SCORED = "s AS (SELECT c_custkey AS user_id, vec_id AS place_id, label AS cluster, ((vec_id * 31 + c_custkey * 17) % 101) / 101e0 AS score FROM customer JOIN embeddings ON vec_id % 10 = c_custkey % 10)"
+
+
 def _scored(spark, sf):
-    v = _vectors(spark, sf)
-    users = table(spark, sf, "customer").where("c_custkey < 8").select(F.col("c_custkey").alias("user_id"))
-    pool = users.crossJoin(v.where("place_id < 120"))  # eight users, a bounded pool
-    return pool.withColumn("score", ((F.col("place_id") * 31 + F.col("user_id") * 17) % 101) / 101.0)
+    v = _vectors(spark, sf).withColumn("cell", F.col("place_id") % 10)
+    users = table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), (F.col("c_custkey") % 10).alias("cell"))
+    return users.join(v, "cell").drop("cell").withColumn("score", ((F.col("place_id") * 31 + F.col("user_id") * 17) % 101) / 101.0)
 
 
 @query("alg17_mmr")
@@ -100,13 +104,13 @@ def alg17(spark, sf):
     return r.mmr_by_user(_scored(spark, sf).select("user_id", "place_id", "score", "vector"), 15)
 
 
-@query("alg18_cluster_cap", "WITH s AS (SELECT c_custkey AS user_id, vec_id AS place_id, label AS cluster, ((vec_id * 31 + c_custkey * 17) % 101) / 101e0 AS score FROM customer, embeddings WHERE c_custkey < 8 AND vec_id < 120), k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, place_id) AS rank FROM s), c AS (SELECT *, row_number() OVER (PARTITION BY user_id, cluster ORDER BY rank, place_id) AS n FROM k) SELECT user_id, place_id, cluster, rank FROM c WHERE n <= 3")
+@query("alg18_cluster_cap", f"WITH {_SCORED}, k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, place_id) AS rank FROM s), c AS (SELECT *, row_number() OVER (PARTITION BY user_id, cluster ORDER BY rank, place_id) AS n FROM k) SELECT user_id, place_id, cluster, rank FROM c WHERE n <= 3")
 def alg18(spark, sf):
     ranked = _scored(spark, sf).select("user_id", "place_id", "cluster", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("score"), "place_id")).alias("rank"))
     return r.cluster_cap(ranked, 3)
 
 
-@query("win5_best_profile", "WITH s AS (SELECT vec_id AS place_id, c_custkey AS profile_id, ((vec_id * 31 + c_custkey * 17) % 101) / 101e0 AS score FROM customer, embeddings WHERE c_custkey < 8 AND vec_id < 120) SELECT place_id, profile_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY place_id ORDER BY score DESC, profile_id) AS rn FROM s) WHERE rn = 1")
+@query("win5_best_profile", f"WITH {_SCORED} SELECT place_id, profile_id, round(score, 6) AS score FROM (SELECT *, user_id AS profile_id, row_number() OVER (PARTITION BY place_id ORDER BY score DESC, user_id) AS rn FROM s) WHERE rn = 1")
 def win5(spark, sf):
     s = _scored(spark, sf).select("place_id", F.col("user_id").alias("profile_id"), "score")
     return r.best_profile(s).withColumn("score", F.round("score", 6))
@@ -136,53 +140,73 @@ def alg10(spark, sf):
 @query("alg16_quota_round_robin")
 def alg16(spark, sf):
     """Quotas by profile weight and one pick a round, over the clusters as profiles."""
-    s = _scored(spark, sf).select("user_id", "place_id", "cluster", "score")
+    s = _scored(spark, sf).select("user_id", "place_id", F.col("cluster").alias("profile_id"), "score")
+    weights = s.groupBy("user_id", "profile_id").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    s = s.join(r.profile_quotas(weights, 20), ["user_id", "profile_id"])
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["score", "place_id"], ascending=[False, True])
-        groups = [g.place_id.tolist() for _, g in pdf.groupby("cluster")]
-        taken = r.round_robin(groups, r.quotas([float(len(g)) for g in groups], 20), 20)
+        groups = [g for _, g in pdf.groupby("profile_id")]
+        taken = r.round_robin([list(zip(g.score.tolist(), g.place_id.tolist(), strict=True)) for g in groups], [int(g.quota.iloc[0]) for g in groups], 20)
         return pd.DataFrame({"user_id": pdf.user_id.iloc[0], "place_id": taken, "pick": range(1, len(taken) + 1)})
 
     return s.groupBy("user_id").applyInPandas(pick, "user_id long, place_id long, pick int")
 
 
+def _targets(spark, sf):
+    """Taste targets: the types of a user's seeds against those of the user's candidates."""
+    kind = lambda df: df.select("user_id", F.concat(F.lit("t"), F.col("cluster") % 4).alias("type"))
+    seeds = r.seeds(*_lists(spark, sf), _vectors(spark, sf)).where("known").join(_vectors(spark, sf), "place_id")
+    return r.taste_target(kind(seeds), kind(_scored(spark, sf)))
+
+
+@query("alg19_taste_target", f"WITH {_VEC}, {_SEED}, {_SCORED}, a AS (SELECT user_id, concat('t', label % 4) AS type, count(*) AS n FROM seed JOIN v USING (place_id) GROUP BY ALL), b AS (SELECT user_id, concat('t', cluster % 4) AS type, count(*) AS n FROM s GROUP BY ALL), an AS (SELECT user_id, sum(n) AS t FROM a GROUP BY user_id), bn AS (SELECT user_id, sum(n) AS t FROM b GROUP BY user_id), k AS (SELECT user_id, type FROM a UNION SELECT user_id, type FROM b) SELECT k.user_id, k.type, round((coalesce(a.n, 0) + 5 * coalesce(b.n, 0) / bn.t) / (an.t + 5), 6) AS target FROM k JOIN an USING (user_id) JOIN bn USING (user_id) LEFT JOIN a ON a.user_id = k.user_id AND a.type = k.type LEFT JOIN b ON b.user_id = k.user_id AND b.type = k.type")
+def alg19_target(spark, sf):
+    return _targets(spark, sf).withColumn("target", F.round("target", 6))
+
+
 @query("alg19_calibrated_rerank")
 def alg19(spark, sf):
+    """Twenty of each user's candidates, towards the user's taste target."""
     s = _scored(spark, sf).select("user_id", "place_id", F.concat(F.lit("t"), F.col("cluster") % 4).alias("type"), "score")
+    target = _targets(spark, sf).groupBy("user_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "target")))).alias("target"))
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["score", "place_id"], ascending=[False, True])
-        order = r.calibrated(pdf.score.to_numpy(float), pdf.type.tolist(), {"t0": 0.5, "t1": 0.3, "t2": 0.2}, 20)
+        order = r.calibrated(pdf.score.to_numpy(float), pdf.type.tolist(), dict(pdf.target.iloc[0]), 20)
         return pd.DataFrame({"user_id": pdf.user_id.iloc[order], "place_id": pdf.place_id.iloc[order], "pick": range(1, len(order) + 1)})
 
-    return s.groupBy("user_id").applyInPandas(pick, "user_id long, place_id long, pick int")
+    return s.join(target, "user_id").groupBy("user_id").applyInPandas(pick, "user_id long, place_id long, pick int")
 
 
-@query("alg20_cross_theme_injection")
+@query(
+    "alg20_cross_theme_injection",
+    f"""WITH {_SCORED}, k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, place_id) AS rn, first_value(cluster) OVER (PARTITION BY user_id ORDER BY score DESC, place_id) AS theme FROM s),
+    o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY rn) AS j FROM k WHERE rn > 20 AND cluster <> theme AND score >= 0.45), p AS (SELECT * FROM o WHERE j <= 2),
+    l AS (SELECT user_id, list(place_id ORDER BY rn) AS base FROM k WHERE rn <= 20 GROUP BY user_id), q AS (SELECT user_id, list(place_id ORDER BY j) AS picks FROM p GROUP BY user_id),
+    b AS (SELECT l.user_id, base, picks, greatest(2, least(20, len(base) + coalesce(len(picks), 0)) // (coalesce(len(picks), 0) + 1)) AS stride FROM l LEFT JOIN q USING (user_id)),
+    one AS (SELECT *, CASE WHEN picks IS NULL THEN base ELSE base[1:stride] || [picks[1]] || base[stride + 1:] END AS a FROM b),
+    two AS (SELECT user_id, CASE WHEN coalesce(len(picks), 0) < 2 THEN a ELSE a[1:2 * stride] || [picks[2]] || a[2 * stride + 1:] END AS a FROM one)
+    SELECT user_id, unnest(a) AS place_id, unnest(range(1, len(a) + 1)) AS pick FROM two""",
+)
 def alg20(spark, sf):
-    s = _scored(spark, sf).select("user_id", "place_id", "cluster", "score")
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "place_id"], ascending=[False, True])
-        theme = pdf.cluster.iloc[0]
-        base = pdf.place_id.tolist()[:20]
-        other = pdf[(pdf.cluster != theme) & (pdf.score >= 0.45) & ~pdf.place_id.isin(base)].place_id.tolist()[:2]
-        out = r.interleave(base, other, 20)
-        return pd.DataFrame({"user_id": pdf.user_id.iloc[0], "place_id": out, "pick": range(1, len(out) + 1)})
-
-    return s.groupBy("user_id").applyInPandas(pick, "user_id long, place_id long, pick int")
+    """The best twenty of each user, with the two best places of other themes set among them."""
+    s = _scored(spark, sf).select("user_id", "place_id", "cluster", "score").withColumn("rn", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("score"), "place_id")))
+    s = s.withColumn("theme", F.first("cluster").over(Window.partitionBy("user_id").orderBy("rn")))
+    other = s.where("rn > 20 and cluster <> theme and score >= 0.45").withColumn("j", F.row_number().over(Window.partitionBy("user_id").orderBy("rn"))).where("j <= 2")
+    item = lambda df, pos: df.select(F.col("user_id").alias("key"), F.col("place_id").alias("item"), (F.col(pos) - 1).alias("pos"))
+    out = r.interleaved(item(s.where("rn <= 20"), "rn"), item(other, "j"), 20)
+    return out.select(F.col("key").alias("user_id"), F.col("item").alias("place_id"), (F.col("position") + 1).cast("long").alias("pick"))
 
 
 @query(
-    "alg22_item_to_item",
-    f"WITH {_VEC}, p AS (SELECT a.place_id, b.place_id AS other, list_cosine_similarity(a.vec, b.vec) AS cosine FROM v a, v b WHERE a.place_id <> b.place_id AND a.place_id % 10 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY place_id ORDER BY round(cosine, 9) DESC, other) AS rank FROM p) SELECT place_id, other, rank, round(cosine, 6) AS cosine FROM k WHERE rank <= 10",
+    "alg22_nearest_by_cosine",
+    f"WITH {_VEC}, p AS (SELECT a.place_id, b.place_id AS other, list_cosine_similarity(a.vec, b.vec) AS cosine FROM v a, v b WHERE a.place_id <> b.place_id), k AS (SELECT *, row_number() OVER (PARTITION BY place_id ORDER BY round(cosine, 9) DESC, other) AS rank FROM p) SELECT place_id, other, rank, round(cosine, 6) AS cosine FROM k WHERE rank <= 10",
 )
-def alg22(spark, sf):
-    """Similar places of every tenth place; the seeds are the query's parameter."""
+def alg22_cosine(spark, sf):
+    """The ten nearest places of each by cosine alone."""
     v = _vectors(spark, sf).select("place_id", r.unit(F.col("vector")).alias("v"))
-    left = v.where("place_id % 10 = 0").select(F.col("place_id").alias("lid"), "v", F.array("place_id").alias("exclude"))
-    found = r.block_top(left, v.select(F.col("place_id").alias("rid"), "v"), 10)
+    found = r.block_top(v.select(F.col("place_id").alias("lid"), "v", F.array("place_id").alias("exclude")), v.select(F.col("place_id").alias("rid"), "v"), 10)
     return found.select(F.col("lid").alias("place_id"), F.col("rid").alias("other"), "rank", F.round("similarity", 6).alias("cosine"))
 
 
@@ -240,14 +264,16 @@ def alg11(spark, sf):
     return entity(spark, sf, "places").select("id", F.round(r.blend(c), 6).alias("score"))
 
 
-@query("alg12_seed_aggregation", f"WITH {_VEC}, {_SEED}, s AS (SELECT seed.user_id, b.place_id, list_cosine_similarity(a.vec, b.vec) AS c FROM seed JOIN v a USING (place_id), v b WHERE user_id < 10 AND b.place_id < 100), k AS (SELECT *, row_number() OVER (PARTITION BY user_id, place_id ORDER BY c DESC) AS rn FROM s) SELECT user_id, place_id, round(max(c), 6) AS best, round(avg(c) FILTER (WHERE rn <= 2), 6) AS top2 FROM k GROUP BY user_id, place_id")
+@query("alg12_seed_aggregation", f"WITH {_VEC}, {_SEED}, pc AS (SELECT a.place_id AS s, b.place_id, list_cosine_similarity(a.vec, b.vec) AS c FROM v a, v b WHERE a.place_id IN (SELECT place_id FROM seed)), k AS (SELECT user_id, pc.place_id, c, row_number() OVER (PARTITION BY user_id, pc.place_id ORDER BY c DESC) AS rn FROM seed JOIN pc ON seed.place_id = s) SELECT user_id, place_id, round(max(c), 6) AS best, round(avg(c) FILTER (WHERE rn <= 2), 6) AS top2 FROM k GROUP BY user_id, place_id")
 def alg12(spark, sf):
+    """Cosines of the places that are seeds of anyone, once; then the best, and the mean of the best two, of each user's seeds."""
     v = _vectors(spark, sf)
-    seed = r.seeds(*_lists(spark, sf), v).where("known and user_id < 10").join(v.select("place_id", "vector"), "place_id").select("user_id", F.col("vector").alias("s"))
-    pool = v.where("place_id < 100").select("place_id", "vector")
-    c = seed.join(F.broadcast(pool), F.lit(True)).select("user_id", "place_id", r.cosine(F.col("s"), F.col("vector")).alias("c"))  # a pool of a hundred rows
-    top = F.slice(F.sort_array(F.collect_list("c"), False), 1, 2)
-    out = c.groupBy("user_id", "place_id").agg(F.max("c").alias("best"), top.alias("t"))
+    seed = r.seeds(*_lists(spark, sf), v).where("known").select("user_id", F.col("place_id").alias("lid"))
+    unit = v.select("place_id", r.unit(F.col("vector")).alias("v"))
+    left = unit.join(seed.select(F.col("lid").alias("place_id")).distinct(), "place_id", "left_semi")
+    c = r.block_all(left.select(F.col("place_id").alias("lid"), "v", F.array().cast("array<bigint>").alias("exclude")), unit.select(F.col("place_id").alias("rid"), "v"))
+    top = F.slice(F.sort_array(F.collect_list("similarity"), False), 1, 2)
+    out = seed.join(c, "lid").groupBy("user_id", F.col("rid").alias("place_id")).agg(F.max("similarity").alias("best"), top.alias("t"))
     return out.select("user_id", "place_id", F.round("best", 6).alias("best"), F.round(F.aggregate("t", F.lit(0.0), lambda s, x: s + x) / F.size("t"), 6).alias("top2"))
 
 
@@ -283,12 +309,7 @@ def agg17(spark, sf):
     return p.join(n, "k").select("id", ((F.col("n") >= 60) | F.startswith(F.lower("name"), F.lit("small r"))).alias("is_chain"))
 
 
-@query("agg26_mean_pairwise_similarity")
+@query("agg26_mean_pairwise_similarity", f"WITH {_VEC}, d AS (SELECT label AS cluster, d, sum(vec[d] / sqrt(list_dot_product(vec, vec))) AS s, count(*) AS n FROM v, range(1, 65) t(d) GROUP BY label, d) SELECT cluster, CASE WHEN max(n) > 1 THEN round((sum(s * s) - max(n)) / (max(n) * (max(n) - 1)), 6) END AS coherence FROM d GROUP BY cluster")
 def agg26(spark, sf):
-    """Coherence: mean cosine of the pairs of the first 256 rows of each cluster, from the length of their sum."""
-    v = _vectors(spark, sf).withColumn("rn", F.row_number().over(Window.partitionBy("cluster").orderBy("place_id"))).where("rn <= 256")
-    dims = v.select("cluster", "place_id", F.posexplode(r.unit(F.col("vector"))).alias("d", "x")).groupBy("cluster", "d").agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("n"))
-    total = dims.groupBy("cluster").agg(F.sum(F.col("s") * F.col("s")).alias("q"), F.max("n").alias("n"))
-    return total.select("cluster", F.round((F.col("q") - F.col("n")) / (F.col("n") * (F.col("n") - 1)), 6).alias("coherence"))
-
-
+    """Coherence: mean cosine of the pairs of each cluster."""
+    return hybrid.coherence(_vectors(spark, sf), ["cluster"], "vector").select("cluster", F.round("coherence", 6).alias("coherence"))

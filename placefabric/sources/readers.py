@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,21 +29,31 @@ def jsonl(spark: SparkSession, paths: str | list[str], schema: T.StructType) ->
     return lines.select(F.monotonically_increasing_id().alias("line_order"), F.from_json("value", schema).alias("r")).where("r is not null").select("line_order", "r.*")
 
 
-def matrix(spark: SparkSession, path: str, ids: list[str]) -> DataFrame:
-    """A .npy matrix with the ids of its rows -> (place_id, vector). Rows and ids must match, ids must be distinct.
+def matrix(files: DataFrame, ids: DataFrame) -> DataFrame:
+    """.npy matrices, (path, content) as the binaryFile source reads them, with (path, row, place_id) -> (place_id, vector).
 
-    The file is memory-mapped on the driver and read in slices; artifacts of this kind are bounded by one city.
+    Files are read by the executors, in slices of rows. Every row must have one id and every id one row, ids must be
+    distinct and values finite; else it is an error. Only the counts of these checks reach the driver.
     """
-    import numpy as np
-
-    m = np.load(path, mmap_mode="r")
-    if m.ndim != 2 or len(m) != len(ids) or len(set(ids)) != len(ids):
-        raise ValueError("the matrix and its ids don't match")
-    out = None
-    for k in range(0, len(ids), 10_000):
-        part = spark.createDataFrame([(i, v) for i, v in zip(ids[k : k + 10_000], m[k : k + 10_000].astype("float32").tolist(), strict=True)], "place_id string, vector array<float>")
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], "place_id string, vector array<float>")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                m = np.load(io.BytesIO(content.as_py()), allow_pickle=False)
+                if m.ndim != 2:
+                    raise ValueError(f"{path} is not a matrix")
+                for k in range(0, len(m), 4096):
+                    part = np.ascontiguousarray(m[k : k + 4096], dtype=np.float32)
+                    vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * m.shape[1], pa.int32()), pa.array(part.ravel()))
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(part)), pa.array(np.arange(k, k + len(part))), vectors], names=["path", "row", "vector"])
+
+    read = files.select("path", "content").mapInArrow(rows, "path string, row long, vector array<float>")
+    joined = read.join(ids.select("path", "row", "place_id"), ["path", "row"], "full_outer")
+    bad = F.exists("vector", lambda x: F.isnan(x) | (F.abs(x) == float("inf")))
+    found = joined.agg(F.count(F.when(F.col("vector").isNull() | F.col("place_id").isNull(), 1)).alias("unmatched"), (F.count(F.lit(1)) - F.count_distinct("place_id")).alias("repeated"), F.count(F.when(bad, 1)).alias("broken")).first()
+    if any(found):
+        raise ValueError(f"the matrix and its ids don't match: {found.asDict()}")
+    return joined.select("place_id", "vector")
 
 
 def aligned(places: DataFrame, features: DataFrame, key: str = "place_id") -> DataFrame:

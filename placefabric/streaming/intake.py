@@ -27,6 +27,34 @@ def rejected(lines: DataFrame) -> DataFrame:
     return validated(lines).where("reject_reason is not null")
 
 
+MOST_EVENTS, MOST_BYTES = 500, 1 << 20  # of a batch
+
+
+def batch_events(lines: DataFrame) -> DataFrame:
+    """Batches as JSON text -> parsed events with batch_id and reject_reason (null if accepted).
+
+    A batch that is no object with an array of events, holds over MOST_EVENTS or MOST_BYTES is refused as one row;
+    a bad event is refused alone, and its batch stays.
+    """
+    b = F.from_json("value", "batch_id string, events array<string>")
+    refused = F.when(F.octet_length("value") > MOST_BYTES, "too_large").when(b["events"].isNull(), "not_a_batch").when(F.size(b["events"]) > MOST_EVENTS, "too_many_events")
+    rows = lines.select(b["batch_id"].alias("batch_id"), b["events"].alias("events"), refused.alias("refused"))
+    each = rows.select("batch_id", "refused", F.explode_outer(F.when(F.col("refused").isNull(), F.col("events"))).alias("value")).where("refused is not null or value is not null")
+    own = validated(each.withColumn("value", F.struct("value", "batch_id", "refused")), "value.value", keep=["value.batch_id", "value.refused"])
+    return own.withColumn("reject_reason", F.coalesce("refused", "reject_reason")).drop("refused")
+
+
+def to_end(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over all that is there now, and returns what it wrote as a table. Batches are written again under their number, so a retried one adds nothing."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out/{'all' if mode == 'complete' else f'batch={number}'}")
+
+    run = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).foreachBatch(write).start()
+    run.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out/*")
+
+
 def deduplicated(events: DataFrame, ts: str = "server_ts", horizon: str = HORIZON) -> DataFrame:
     """First event of each id within the horizon; state older than it is dropped."""
     return events.withWatermark(ts, horizon).dropDuplicatesWithinWatermark(["event_id"])
@@ -39,15 +67,19 @@ def windowed_counts(events: DataFrame, ts: str, width: str, slide: str | None =
 
 
 def store_batch(path: str):
-    """A foreachBatch sink that writes a batch's events that the store doesn't hold; a retried batch adds nothing."""
+    """A foreachBatch sink that writes a batch's events that the store doesn't hold; a retried batch adds nothing.
+
+    Only the days of the horizon before the batch are read: an event that was stored earlier isn't delivered again.
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
         fresh = batch.dropDuplicates(["event_id"]).withColumn("event_date", F.to_date("server_ts"))
-        try:
-            fresh = fresh.join(batch.sparkSession.read.parquet(path).select("event_id"), "event_id", "left_anti")
-        except Exception as e:  # the store's first batch
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
+        spark = batch.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+            since = batch.agg(F.to_date(F.min("server_ts")) - F.expr(f"interval {HORIZON}")).first()[0]  # one row
+            held = spark.read.schema("event_id string, event_date date").parquet(path)
+            fresh = fresh.join(held.where(F.col("event_date") >= F.lit(since)).select("event_id"), "event_id", "left_anti")
         fresh.write.mode("append").partitionBy("event_date").parquet(path)
 
     return write

@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pytest
@@ -73,15 +74,55 @@ def test_scalars():
     assert parse_list("['a', 'b', None, 'a']") == ["a", "b"] and parse_list("x; y,x") == ["x", "y"] and parse_list(None) == [] and parse_list('["p"]') == ["p"]
 
 
-@settings(max_examples=80, deadline=None)
-@given(st.lists(st.floats(0.1, 9), min_size=1, max_size=6), st.integers(1, 40))
-def test_quotas(weights, limit):
-    q = recommend.quotas(weights, limit)
-    assert sum(q) == limit and (limit <= len(weights) or min(q) >= 1)
-
-
-def test_round_robin_backfills():
-    assert recommend.round_robin([[1, 2, 3], [1, 4]], [2, 1], 5) == [1, 4, 2, 3]
+def quotas_by_rule(weights, limit):
+    """One unit at a time, as the rule is told."""
+    n = len(weights)
+    if limit <= n:
+        first = sorted(range(n), key=lambda i: (-weights[i], i))[:limit]
+        return [1 if i in first else 0 for i in range(n)]
+    share = [limit * w / sum(weights) for w in weights]
+    have = {i: max(1, math.floor(share[i])) for i in range(n)}
+    while sum(have.values()) > limit:
+        top = max(have.values())
+        have[max(i for i in have if have[i] == top)] -= 1
+    order = sorted(have, key=lambda i: (share[i] - math.floor(share[i]), i))
+    while sum(have.values()) < limit:
+        have[order.pop()] += 1
+    return [have[i] for i in range(n)]
+
+
+def test_profile_quotas(spark):
+    r = random.Random(3)
+    users = {u: ([round(r.choice([r.uniform(0.01, 9), 1.0, 5.0]), 2) for _ in range(r.randint(1, 7))]) for u in range(120)}
+    rows = [(u, k, w) for u, ws in users.items() for k, w in enumerate(ws)]
+    df = spark.createDataFrame(rows, "user_id long, profile_id long, weight double")
+    for limit in (1, 4, 7, 20, 33):
+        got = {(x.user_id, x.profile_id): x.quota for x in recommend.profile_quotas(df, limit).collect()}
+        assert got == {(u, k): q for u, ws in users.items() for k, q in enumerate(quotas_by_rule(ws, limit))}
+
+
+def test_round_robin_backfills_with_the_best():
+    lists = [[(0.9, 1), (0.8, 2), (0.2, 3)], [(0.7, 1), (0.6, 4), (0.5, 5), (0.4, 6)]]
+    assert recommend.round_robin(lists, [1, 1], 2) == [1, 4]
+    assert recommend.round_robin(lists, [1, 1], 5) == [1, 4, 2, 5, 6]  # the best scores left, whatever list they stand in
+    assert recommend.round_robin(lists, [3, 1], 9) == [1, 4, 2, 3, 5, 6]
+
+
+def test_interleave_by_the_rule():
+    assert recommend.interleave([1, 2, 3, 4, 5, 6], [100, 101], 9) == [1, 2, 100, 3, 101, 4, 5, 6]
+    assert recommend.interleave([1, 2], [9]) == [1, 2, 9] and recommend.interleave([1, 2, 3, 4, 5, 6, 7], [9], 4) == [1, 2, 9, 3, 4, 5, 6, 7]
+    assert recommend.interleave([], [8, 9]) == [8, 9] and recommend.interleave([1], []) == [1]
+
+
+@pytest.mark.parametrize("window", [0, 4, 9, 100])
+def test_interleaved_frames(spark, window):
+    keys = {k: (list(range(100 * k, 100 * k + n)), list(range(100 * k + 50, 100 * k + 50 + m))) for k, (n, m) in enumerate([(6, 2), (0, 2), (5, 0), (1, 3), (20, 4), (9, 1)])}
+    frame = lambda at: spark.createDataFrame([(k, x, p) for k, v in keys.items() for p, x in enumerate(v[at])], "key int, item int, pos int")
+    got = {}
+    for x in recommend.interleaved(frame(0), frame(1), window).orderBy("position").collect():
+        got.setdefault(x.key, []).append((x.position, x["item"]))
+    for k, (base, picks) in keys.items():
+        assert got[k] == list(enumerate(recommend.interleave(base, picks, window)))
 
 
 def test_mmr_prefers_the_unlike():
@@ -95,14 +136,6 @@ def test_profiles_split_two_directions():
     assert len(set(labels[:6])) == 1 and len(set(labels[6:])) == 1 and labels[0] != labels[6]
 
 
-def test_solver_respects_budget_and_order():
-    stops = [[walk.Stop(10 * s + k, 44.43 + 0.002 * s, 26.10 + 0.001 * k, 0.5 + 0.1 * k, 30) for k in range(4)] for s in range(3)]
-    r = walk.Request(stops, 44.43, 26.10, budget=180, loop=True)
-    plan = walk.solve_slots(r)
-    assert len({s.place_id for s in plan}) == len(plan) == 3 and walk.total_minutes(plan, r) <= 180
-    assert len(walk.variants(r, 3)) >= 2
-
-
 def test_average_rank_percentile(spark):
     df = spark.createDataFrame([(1, 5.0), (2, 5.0), (3, 7.0), (4, None)], "id int, v double")
     got = {r.id: r.p for r in recommend.average_rank_percentile(df.where("v is not null"), "v", "p").collect()}

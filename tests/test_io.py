@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from placefabric.operators.events import EVENT
@@ -28,9 +29,14 @@ def test_matrix_checks_ids(spark, tmp_path):
     import pytest
 
     np.save(tmp_path / "m.npy", np.arange(6, dtype="float32").reshape(3, 2))
-    assert readers.matrix(spark, str(tmp_path / "m.npy"), ["a", "b", "c"]).count() == 3
-    with pytest.raises(ValueError):
-        readers.matrix(spark, str(tmp_path / "m.npy"), ["a", "a", "c"])
+    files = spark.read.format("binaryFile").load(str(tmp_path / "m.npy"))
+    path = files.first().path
+    ids = lambda names: spark.createDataFrame([(path, k, n) for k, n in enumerate(names)], "path string, row long, place_id string")
+    got = readers.matrix(files, ids(["a", "b", "c"])).collect()
+    assert {(r.place_id, *r.vector) for r in got} == {("a", 0, 1), ("b", 2, 3), ("c", 4, 5)}
+    for wrong in (["a", "a", "c"], ["a", "b"], ["a", "b", "c", "d"]):
+        with pytest.raises(ValueError):
+            readers.matrix(files, ids(wrong))
 
 
 def test_parquet_by_day_replaces_one_day(spark, tmp_path):
@@ -47,6 +53,12 @@ def test_bundle_manifest(spark, sf, tmp_path):
     again = sinks.bundle(entity(spark, sf, "places").orderBy(F.desc("id")), str(tmp_path / "c"))
     assert m["rows"] == m["keys"] and m == again
     assert json.loads(spark.read.text(str(tmp_path / "b/manifest")).first().value) == m
+    assert sinks.changed_files(spark, str(tmp_path / "b")).count() == 0
+    with pytest.raises(FileExistsError):
+        sinks.bundle(entity(spark, sf, "places"), str(tmp_path / "b"))
+    part = next((tmp_path / "b/catalog").glob("*.parquet"))
+    part.rename(part.with_name("other.parquet"))
+    assert sinks.changed_files(spark, str(tmp_path / "b")).count() == 2
 
 
 def test_batch_requests(spark, tmp_path):
