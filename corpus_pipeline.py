@@ -1,7 +1,8 @@
 """The corpus pipeline: five stages from raw documents to a mixed training set.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as the next one's docs.
-All but the last return the columns of documents.
+All but the last return the columns of documents, extra ones included. An empty table stays empty in every stage. What a
+run writes stays in the shared folder, so that a lost stage can be read again; clearing it is up to the caller.
 """
 
 from __future__ import annotations
@@ -20,14 +21,18 @@ from placefabric.llm.source_mix import mix_sources
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that language ID rejects: no letters, or a narrow margin in a text long enough to judge."""
+    """Drops the documents that language ID rejects: no letters, or a narrow margin in a text long enough to judge.
+
+    Null and empty texts have no letters. Repeated rows are judged alike; null ids and languages don't matter.
+    """
     return predict(docs, learn(docs.select("doc_id", "text", "lang"))).where(~F.col("rejected")).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of each component of documents alike in five-word shingles (0.8 or more).
 
-    Rows that repeat a doc_id stand for one document; the first by text stays.
+    Rows that repeat a doc_id stand for one document; the first by text stays. Rows without an id, and those without words,
+    link with nothing and stay.
     """
     found = materialise(ngram_components(docs, width=5, num=8, den=10).select("doc_id", "component_id"))
     heads = found.where("doc_id = component_id").select("doc_id").distinct()
@@ -41,17 +46,21 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a benchmark item."""
+    """Drops the documents that hold a benchmark item. Null and empty texts hold none; repeated rows are judged alike."""
     return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def scan_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces secrets in the texts by a mark; n_chars follows."""
+    """Replaces secrets in the texts by a mark; n_chars follows. All rows stay; null texts stay null, with their n_chars."""
     return redact(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with size, source_size, target and taken (words, repeats counted)."""
+    """The documents that the mix takes, with size, source_size, target and taken (words, repeats counted).
+
+    Null and wordless texts have no words and aren't taken. Repeated rows and null ids are documents of their own; a null
+    source is a source. Columns of these four names are replaced.
+    """
     return mix_sources(docs, keep=docs.columns).where("taken > 0")
 
 
