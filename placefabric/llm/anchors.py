@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placefabric.llm.arrays import byte_table, chunks, prefix_hash, sliding_min, span_hash, word_hashes
+from placefabric.llm.arrays import byte_table, chunks, prefix_hash, sliding_min, span_hash, word_hashes, word_spans
 from placefabric.llm.components import materialise
 from placefabric.llm.exchange import Dealer, runs, unpack
 
@@ -32,6 +32,7 @@ CLOSER_BYTES = 1 << 20  # of symbols in one of the second, which are worked on a
 COMMON = 1 << 20  # most grams of the shared set, the most frequent
 OFTEN = 3  # how often a gram stands in COUNTED_BYTES of texts that differ, to be counted
 COUNTED_BYTES = 32 << 20
+CHUNK = 256 << 10  # of texts that are hashed at a time
 RUNS_BYTES = 8 << 20  # of runs among which a scan task looks for equal ones
 NO_ID = (1 << 63) - 1
 RUN = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("ver", "<i8"), ("lo", "<u4"), ("n", "<u2"), ("at", "<u2"), ("more", "?")])
@@ -71,10 +72,9 @@ class Common:
         return out
 
 
-def slices(at: np.ndarray, to: np.ndarray) -> np.ndarray:
-    """All places in [at, to) of each slice."""
-    n = to - at
-    return np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())
+def gram_of(length: int) -> int:
+    """Symbols of an anchor: a shorter one stands in longer runs, of which less is sent twice."""
+    return max(1, length // 4)
 
 
 def find_runs(symbols: np.ndarray, first: np.ndarray, length: int, gram: int, common: Common | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,7 +130,7 @@ def _often(symbols: Symbols, length: int, gram: int):
             return pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(n.astype(np.int64))], names=["gram", "n"])
 
         for batch in batches:
-            for _, _, data, offsets in chunks(batch.column(0)):
+            for _, _, data, offsets in chunks(batch.column(0), CHUNK):
                 units, first = symbols.units(data, offsets)
                 found, row, whole = find_runs(symbols.hashes(units), first, length, gram)
                 new = np.zeros(len(whole), bool)
@@ -202,7 +202,7 @@ def _scan(symbols: Symbols, length: int, gram: int, buckets: int, both: bool, se
         for batch in batches:
             ids = batch.column(0).to_numpy()
             vers = batch.column(1).to_numpy()
-            for at, to, data, offsets in chunks(batch.column(2)):
+            for at, to, data, offsets in chunks(batch.column(2), CHUNK):
                 units, first = symbols.units(data, offsets)
                 found, row, whole = find_runs(symbols.hashes(units), first, length, gram, common)
                 send, copies = np.ones(to - at, bool), []
@@ -285,15 +285,18 @@ def _fetch(symbols: Symbols, length: int):
             starts = asked.offsets.to_numpy()
             flat = asked.values
             lo, n, anchor, content, at_, target, many = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(7))
-            for at, to, data, offsets in chunks(batch.column(2)):
-                units, first = symbols.units(data, offsets)
-                raw, width = units.tobytes(), units.itemsize
-                rows: list[tuple] = []
+            for at, to, data, offsets in chunks(batch.column(2), CHUNK):
+                if symbols.words:  # as text, which is shorter than hashes
+                    from_, upto, first = word_spans(data, offsets)
+                else:
+                    from_, upto, first = np.arange(len(data)), np.arange(1, len(data) + 1), offsets
+                raw, rows = data.tobytes(), []
                 for k in range(at, to):
                     base = int(first[k - at])
                     for j in range(starts[k], starts[k + 1]):
                         s = base + int(lo[j])
-                        rows.append((int(anchor[j]), int(content[j]), ids[k], vers[k], int(lo[j]), int(n[j]), int(at_[j]), bool(target[j]), bool(many[j]), part, raw[s * width : (s + int(n[j]) - 1 + length) * width]))
+                        own = raw[from_[s] : upto[s + int(n[j]) - 2 + length]]
+                        rows.append((int(anchor[j]), int(content[j]), ids[k], vers[k], int(lo[j]), int(n[j]), int(at_[j]), bool(target[j]), bool(many[j]), part, own))
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.int32(), pa.binary())
                 for k in range(0, len(rows), 10_000):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 10_000], strict=True), kinds, strict=True)], names=[c.split()[0] for c in FETCHED.split(", ")])
@@ -354,7 +357,7 @@ def repeated_windows(docs: DataFrame, size: int, words: bool, length: int, both:
     if it stands in a smaller doc. decide: from a bucket of fetched runs to a table of decisions.
     """
     spark = docs.sparkSession
-    gram = length // 2
+    gram = gram_of(length)
     symbols = Symbols(words)
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     expected = 2 * (size / 6 if words else size) / (length - gram) * RUN.itemsize
@@ -363,7 +366,7 @@ def repeated_windows(docs: DataFrame, size: int, words: bool, length: int, both:
     met = materialise(docs.mapInArrow(_scan(symbols, length, gram, buckets, both, sent), Dealer.ddl).groupBy("bucket").applyInArrow(_meet(length, both), MET))
     asked = met.where("kind = 1").groupBy("doc", "ver").agg(F.collect_list(F.struct("lo", "n", "anchor", "content", "at", "target", "many")).alias("asked"))
     look = met.where("kind = 1").agg(F.sum(F.col("n") + length)).first()[0] or 0
-    pieces = max(least, look * (8 if words else 1) // (CLOSER_BYTES * (3 if words else 1)))
+    pieces = max(least, look * (6 if words else 1) // CLOSER_BYTES)
     fetched = docs.join(asked, ["doc", "ver"]).select("doc", "ver", "text", "asked").mapInArrow(_fetch(symbols, length), FETCHED)
     decided = materialise(fetched.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(pieces))).groupBy("bucket").applyInArrow(decide, DECIDED))
     follow = met.where("kind = 2").select("anchor", "content", "doc", "ver", "lo").alias("f")

@@ -169,6 +169,29 @@ def shingle_sets(words: np.ndarray, first: np.ndarray, width: int) -> Iterator[n
                 yield total[:0]
 
 
+def sorted_places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in stable order of their keys (not negative), and the sorted keys."""
+    bits = max(1, int(len(keys)).bit_length())
+    if len(keys) and int(keys.max()).bit_length() + bits < 63:  # one sort of key and place together
+        both = np.sort((keys << bits) | np.arange(len(keys)))
+        return both & ((1 << bits) - 1), both >> bits
+    order = np.argsort(keys, kind="stable")
+    return order, keys[order]
+
+
+def dense(hashes: np.ndarray) -> np.ndarray:
+    """Numbers from 0 for 64-bit hashes in their order, equal for equal ones."""
+    bits = np.uint64(max(1, len(hashes).bit_length()))
+    order = (np.sort((hashes >> bits << bits) | np.arange(len(hashes), dtype=np.uint64)) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    keys = hashes[order]
+    new = keys[1:] != keys[:-1]
+    if (new & (keys[1:] >> bits == keys[:-1] >> bits)).any():  # two that differ in their last bits alone
+        return np.unique(hashes, return_inverse=True)[1]
+    out = np.empty(len(hashes), np.int64)
+    out[order] = np.cumsum(np.concatenate(([0], new))) if len(hashes) else 0
+    return out
+
+
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """Minima of all windows of so many entries, from block-wise running minima."""
     n = len(x) - width + 1

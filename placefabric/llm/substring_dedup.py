@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placefabric.llm import anchors
-from placefabric.llm.arrays import chunks, word_spans
+from placefabric.llm.arrays import chunks, dense, sorted_places, word_hashes, word_spans
 from placefabric.llm.exchange import runs
 
 BLOCK_WORDS = 1 << 16  # words of the runs in one reference block
@@ -36,16 +36,18 @@ class ReferenceBlock:
         text = np.zeros(n, np.int64)
         inside = np.ones(n, bool)
         inside[self.starts + sizes] = False
-        text[inside] = np.unique(np.concatenate(sequences), return_inverse=True)[1] + len(sequences)
+        text[inside] = dense(np.concatenate(sequences)) + len(sequences)
         text[~inside] = np.arange(len(sequences))  # end marks differ, so no match goes beyond one
         levels, step = [text], 1
+        order = sorted_places(text)[0]
         while step <= sizes.max(initial=0):  # ranks of the next 1, 2, 4, ... words
             rank = levels[-1]
             after = np.zeros(n, np.int64)
             after[: n - step] = rank[step:] + 1
-            levels.append(np.unique(rank * (int(after.max()) + 1) + after, return_inverse=True)[1])
+            order, keys = sorted_places(rank * (int(after.max()) + 1) + after)
+            levels.append(np.empty(n, np.int64))
+            levels[-1][order] = np.cumsum(np.concatenate(([0], keys[1:] != keys[:-1])))
             step *= 2
-        order = np.argsort(levels[-1], kind="stable")
         a, b, common = order[:-1].copy(), order[1:].copy(), np.zeros(max(0, n - 1), np.int64)
         for k in range(len(levels) - 1, -1, -1):
             same = levels[k][np.minimum(a, n - 1)] == levels[k][np.minimum(b, n - 1)]
@@ -53,13 +55,8 @@ class ReferenceBlock:
             a[same] += 1 << k
             b[same] += 1 << k
             common[same] += 1 << k
-        owner = np.repeat(docs, sizes + 1)[order]
-        longest = np.zeros(n, np.int64)
-        near = np.flatnonzero(common >= gram)  # neighbours that share a gram; the others stand alone
-        for at, to in zip(*(x.tolist() for x in runs(near - np.arange(len(near)))), strict=True):
-            lo, hi = int(near[at]), int(near[to - 1]) + 2
-            if owner[lo:hi].min() < owner[lo:hi].max():
-                longest[order[lo:hi]] = longest_to_smaller(owner[lo:hi].tolist(), common[lo : hi - 1].tolist())
+        longest = np.empty(n, np.int64)
+        longest[order] = longest_to_smaller(np.repeat(docs, sizes + 1)[order], common)
         self.longest = longest
 
     def factors(self, number: int, size: int) -> list[tuple[int, int]]:
@@ -84,23 +81,21 @@ class ReferenceBlock:
         return found
 
 
-def longest_to_smaller(owner: list[int], common: list[int]) -> np.ndarray:
+def longest_to_smaller(owner: np.ndarray, common: np.ndarray) -> np.ndarray:
     """For sorted suffixes with the common prefixes of neighbours, the longest common prefix of each with one of a smaller owner."""
 
-    def one_way(owner: list[int], common: list[int]) -> list[int]:
-        out, who, shared = [], [], []  # the stack: owners in rising order, with the prefix shared with the one below
-        for x, h in zip(owner, common, strict=True):
-            while who and who[-1] >= x:
-                who.pop()
-                h = min(h, shared.pop())
-            out.append(h if who else 0)
-            who.append(x)
-            shared.append(h)
-        return out
+    def one_way(owner: np.ndarray, common: np.ndarray) -> np.ndarray:
+        """With the nearest one before of a smaller owner. Pointers jump over owners that aren't smaller, all at a time."""
+        who = np.concatenate(([np.iinfo(np.int64).min], owner))  # place 0 is smaller than all and shares nothing
+        to, shared = np.arange(-1, len(owner)), np.concatenate(([0, 0], common))[: len(who)]
+        to[0], active = 0, np.arange(1, len(who))
+        while len(active := active[who[to[active]] >= who[active]]):
+            jump = to[active]
+            shared[active] = np.minimum(shared[active], shared[jump])
+            to[active] = to[jump]
+        return shared[1:]
 
-    ahead = one_way(owner, [0, *common])
-    back = one_way(owner[::-1], [0, *common[::-1]])[::-1]
-    return np.maximum(ahead, back)
+    return np.maximum(one_way(owner, common), one_way(owner[::-1], common[::-1])[::-1])
 
 
 def repeated_in_smaller(sequences: list[np.ndarray], docs: np.ndarray, length: int, gram: int) -> list[np.ndarray]:
@@ -127,13 +122,15 @@ def _decide(length: int):
     def work(table: pa.Table) -> pa.Table:
         d = anchors.Decisions(table, False)
         order = np.argsort(d.anchor, kind="stable")
-        sizes = pc.binary_length(d.symbols).to_numpy()[order] // 8
+        sizes = pc.binary_length(d.symbols).to_numpy()[order] // 6  # words, about
         first, end = runs(d.anchor[order])
         upto, a = np.concatenate(([0], np.cumsum(sizes))), 0
         while a < len(first):  # whole anchors up to BLOCK_WORDS, or one that is larger
             b = max(a + 1, int(np.searchsorted(upto[end], upto[first[a]] + BLOCK_WORDS, "right")))
             rows = order[first[a] : end[b - 1]].tolist()
-            d.add(rows, repeated_in_smaller([np.frombuffer(d.symbols[k].as_py(), np.uint64) for k in rows], d.doc[rows], length, length // 2))
+            texts = [d.symbols[k].as_py() for k in rows]
+            words, at = word_hashes(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]), False)
+            d.add(rows, repeated_in_smaller(np.split(words, at[1:-1]), d.doc[rows], length, anchors.gram_of(length)))
             a = b
         return d.table()
 

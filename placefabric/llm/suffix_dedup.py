@@ -23,22 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placefabric.llm import anchors
-from placefabric.llm.arrays import byte_table, chunks, prefix_hash, span_hash
+from placefabric.llm.arrays import byte_table, chunks, dense, prefix_hash, sorted_places, span_hash
 from placefabric.llm.exchange import runs
 
 GROUP_BYTES = 256 << 10  # of runs that are merged in one go
 
 
-def _sorted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places in stable order of their keys (not negative), and the sorted keys."""
-    bits = max(1, int(len(keys)).bit_length())
-    if len(keys) and int(keys.max()).bit_length() + bits < 63:  # one sort of key and place together
-        both = np.sort((keys << bits) | np.arange(len(keys)))
-        return both & ((1 << bits) - 1), both >> bits
-    order = np.argsort(keys, kind="stable")
-    return order, keys[order]
-
-
 class Shard:
     """Suffixes of block strings in sorted order (to `depth` symbols) with their transform. Code 0 ends a string."""
 
@@ -49,14 +39,14 @@ class Shard:
         rank[ends] = np.arange(len(ends))  # end marks differ, in the order of their strings
         rank[codes != 0] += len(ends)
         limit = ends[np.searchsorted(ends, np.arange(n))]  # a suffix doesn't reach beyond its end
-        self.order, keys = _sorted(rank)
+        self.order, keys = sorted_places(rank)
         while step < depth:
             rank = np.empty(n, np.int64)
             rank[self.order] = np.cumsum(np.concatenate(([0], keys[1:] != keys[:-1])))
             after = np.zeros(n, np.int64)
             after[: n - step] = rank[step:] + 1
             after[np.arange(n) + step > limit] = 0
-            self.order, keys = _sorted(rank * (int(after.max()) + 1) + after)
+            self.order, keys = sorted_places(rank * (int(after.max()) + 1) + after)
             step *= 2
         before = np.empty(n, codes.dtype)
         before[1:], before[0] = codes[:-1], 0
@@ -68,15 +58,16 @@ def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """The interleave after `depth` passes (shard of each merged place) and for each place the common prefix with the one before."""
     sizes = [len(s.order) for s in shards]
     n, ends = sum(sizes), sum(s.ends for s in shards)
-    z = np.repeat(np.arange(len(shards)), sizes)
+    kind = np.int16 if len(shards) < 1 << 15 else np.int64  # short integers sort in linear time
+    z = np.repeat(np.arange(len(shards), dtype=kind), sizes)
     transforms = np.concatenate([s.transform for s in shards])
     block = np.zeros(n, np.int64)
     common = np.full(n, -1, np.int64)  # unknown yet: at least the passes so far
-    fixed = np.repeat(np.arange(len(shards)), [s.ends for s in shards])
+    fixed = np.repeat(np.arange(len(shards), dtype=kind), [s.ends for s in shards])
     for done in range(depth):
         symbol = np.empty(n, np.int64)
-        symbol[_sorted(z)[0]] = transforms  # a shard's places take its symbols in order
-        order, symbol = _sorted(symbol)
+        symbol[np.argsort(z, kind="stable")] = transforms  # a shard's places take its symbols in order
+        order, symbol = sorted_places(symbol)
         z, block = z[order], block[order]
         z[:ends] = fixed
         border = np.ones(n, bool)
@@ -103,11 +94,10 @@ def repeated_suffixes(pieces: list[bytes], parts: np.ndarray, length: int, width
     owner = np.repeat(np.arange(len(pieces)), blocks)
     place = np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)
     at = starts[owner] + place
-    codes = np.unique(span_hash(prefix_hash(byte_table()[data]), at, at + width), return_inverse=True)[1] + 1
+    codes = dense(span_hash(prefix_hash(byte_table()[data]), at, at + width)) + 1
     # strings: by piece and residue class, each followed by its end mark
     string = owner * width + place % width
-    order = np.lexsort((place, string))
-    line = string[order]
+    order, line = sorted_places(string)
     last = np.flatnonzero(np.concatenate((line[1:] != line[:-1], [True]))) if len(line) else np.zeros(0, np.int64)
     text = np.insert(codes[order], last + 1, 0)
     back = np.insert(order, last + 1, -1)  # which block position each symbol is
@@ -136,7 +126,7 @@ def twins(text: np.ndarray, depth: int, shards: np.ndarray, ends: np.ndarray) ->
     twin = common >= depth
     twin[:-1] |= twin[1:].copy()
     position = np.empty(len(z), np.int64)
-    position[_sorted(z)[0]] = np.concatenate([s.order + a for s, a in zip(built, starts.tolist(), strict=True)])
+    position[np.argsort(z, kind="stable")] = np.concatenate([s.order + a for s, a in zip(built, starts.tolist(), strict=True)])
     return position[twin]
 
 

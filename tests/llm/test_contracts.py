@@ -8,7 +8,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from placefabric.llm import decontaminate, dom, html_extract, language_id, queries, source_mix
+from placefabric.llm import decontaminate, dom, edit_fingerprint, html_extract, language_id, queries, source_mix
+from placefabric.llm.edit_fingerprint import near_classes
 from placefabric.llm.decontaminate import K1, NGRAM, OVERLAP, PASSAGE, THRESHOLD, B, find_leaks, hashed_words, split_item
 
 COLUMNS = {
@@ -20,6 +21,7 @@ COLUMNS = {
     "op5_suffix_array_dedup": "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string",
     "op6_substring_dedup": "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string",
     "op7_document_fingerprints": "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double",
+    "fingerprint_classes": "doc_id bigint, class_id bigint, n_links bigint",
     "op8_language_id": "doc_id bigint, held_out boolean, lang_pred string, score double, rejected boolean",
     "op9_license_scan": "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double",
     "op10_secret_scan": "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string",
@@ -150,3 +152,69 @@ def test_html_rows_close_rows():
     root = dom.parse("<table><tr><td>a<td>b<tr><td>c</table>d")
     table = root.children[0]
     assert [[c.tag for c in row.children] for row in table.children] == [["td", "td"], ["td"]] and root.children[1][0] == "d"
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def edited(r, text, edits):
+    t = list(text)
+    for _ in range(edits):
+        k = r.randrange(len(t)) if t else 0
+        t[k : k + r.randint(0, 1)] = r.choice(["", "x", "q", " "])
+    return "".join(t)
+
+
+def test_edits_within_is_the_edit_distance():
+    r = random.Random(2)
+    for _ in range(150):
+        a = "".join(r.choice("abc ") for _ in range(r.randint(0, 60)))
+        b = edited(r, a, r.randint(0, 9)) if r.random() < 0.7 else "".join(r.choice("abc ") for _ in range(r.randint(0, 60)))
+        n = distance(a, b)
+        for most in {0, n - 1, n, n + 2} - {-1}:
+            assert edit_fingerprint.edits_within(a, b, most) == (n <= most), (a, b, n, most)
+
+
+def test_near_classes_find_near_copies(spark, empty):
+    """Recall of pairs of neighbours at several rates of edits, against what was planted; no unlike texts are linked."""
+    r = random.Random(5)
+    vocabulary = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9))) for _ in range(900)]
+    rows, family, n = [], {}, 0
+    for f in range(60):
+        base = " ".join(r.choice(vocabulary) for _ in range(r.choice([12, 60, 300, 900])))
+        for k in range(20 if f < 2 else 3):
+            rows.append((n, base if k == 0 else edited(r, base, max(1, len(base) * r.choice([1, 5, 15]) // 1000))))
+            family[n] = f
+            n += 1
+    rows += [(n, rows[0][1]), (n + 1, None), (None, rows[0][1]), (n + 2, ""), (n + 3, rows[5][1])]
+    family |= {n: 0, n + 3: family[5]}
+    got = {x.doc_id: x for x in near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect() if x.doc_id is not None}
+    assert len(got) == len(rows) - 1 and got[n + 1].class_id == n + 1 and got[n + 2].n_links == 0
+    assert all(family[i] == family[got[i].class_id] for i in family)
+    least = {}
+    for i, f in family.items():
+        least[f] = min(i, least.get(f, i))
+    found = sum(got[i].class_id == least[f] for i, f in family.items() if i != least[f])
+    assert found >= 0.95 * (len(family) - len(least))
+    assert near_classes(empty).count() == 0
+
+
+def test_bands_without_a_near_leader_are_split(spark, monkeypatch):
+    monkeypatch.setattr(edit_fingerprint, "SMALL", 3)
+    r = random.Random(9)
+    letters = "abcdefghijklmnop "
+    start = "".join(r.choice(letters) for _ in range(700))
+    rows, n = [], 0
+    for _ in range(12):
+        rest = "".join(r.choice(letters) for _ in range(400))  # a third of each text is its family's own
+        for k in range(3):
+            rows.append((n, edited(r, start + rest, k)))
+            n += 1
+    got = {x.doc_id: x.class_id for x in near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] // 3 == i // 3 for i in got) and sum(got[i] == i - i % 3 for i in got) >= 0.9 * len(got)

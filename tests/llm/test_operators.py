@@ -239,8 +239,8 @@ def test_several_shards_are_merged_by_default(spark, monkeypatch):
     """The runs of one group come from several scan tasks, and each is a shard of the merge."""
     rows = common_passages(random.Random(6))
     docs, symbols = anchors.versioned(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)), anchors.Symbols(False)
-    sent = spark.sparkContext.broadcast(anchors.common_grams(docs, symbols, 400, 200))
-    met = docs.mapInArrow(anchors._scan(symbols, 400, 200, 4, True, sent), anchors.Dealer.ddl).groupBy("bucket").applyInArrow(anchors._meet(400, True), anchors.MET)
+    sent = spark.sparkContext.broadcast(anchors.common_grams(docs, symbols, 400, 100))
+    met = docs.mapInArrow(anchors._scan(symbols, 400, 100, 4, True, sent), anchors.Dealer.ddl).groupBy("bucket").applyInArrow(anchors._meet(400, True), anchors.MET)
     asked = met.where("kind = 1").groupBy("doc", "ver").agg(F.collect_list(F.struct("lo", "n", "anchor", "content", "at", "target", "many")).alias("asked"))
     fetched = docs.join(asked, ["doc", "ver"]).select("doc", "ver", "text", "asked").repartition(4, "doc").mapInArrow(anchors._fetch(symbols, 400), anchors.FETCHED).toArrow()
     seen, merge = [], suffix_dedup.merge
