@@ -21,3 +21,14 @@ g AS (SELECT DISTINCT doc_id, i + j AS place FROM (SELECT s.doc_id, s.i FROM s J
 k AS (SELECT w.doc_id, i, ws[i] AS word FROM w, LATERAL (SELECT unnest(range(1, len(ws) + 1)) AS i)),
 t AS (SELECT k.doc_id, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM k ANTI JOIN g ON g.doc_id = k.doc_id AND g.place = k.i GROUP BY k.doc_id)
 SELECT w.doc_id, len(ws) AS n_words, len(ws) - coalesce(t.n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN t USING (doc_id)"""
+
+OP5 = """WITH t AS (SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS x FROM documents),
+b AS (SELECT r, k, substr(x, 1024 * k + 1, 1824) AS y FROM (SELECT r, x, unnest(range(0, (len(x) // 2 - 400) // 512 + 1)) AS k FROM t WHERE len(x) >= 800)),
+w AS (SELECT r, 512 * k + j AS i, md5_number(substr(y, 2 * j + 1, 800)) AS h FROM (SELECT *, unnest(range(0, least(512, len(y) // 2 - 399))) AS j FROM b)),
+g AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
+s AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 400 THEN 0 ELSE 1 END AS fresh FROM w SEMI JOIN g USING (h)),
+k AS (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS span FROM s),
+p AS (SELECT r, min(i) AS a, max(i) + 400 AS b FROM k GROUP BY r, span),
+q AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM p),
+m AS (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(x), 2 * max(b) + 1) AS kept FROM q JOIN t USING (r) GROUP BY r)
+SELECT doc_id, len(x) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256 FROM t LEFT JOIN m USING (r)"""

@@ -86,4 +86,4 @@ QUERIES = {
         op10_secret_scan,
     )
 }
-ORACLES = {"op2_ngram_jaccard_join": oracles.OP2, "op6_substring_dedup": oracles.OP6}
+ORACLES = {"op2_ngram_jaccard_join": oracles.OP2, "op5_suffix_array_dedup": oracles.OP5, "op6_substring_dedup": oracles.OP6}

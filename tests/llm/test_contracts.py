@@ -5,6 +5,7 @@ import random
 import time
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -218,3 +219,13 @@ def test_bands_without_a_near_leader_are_split(spark, monkeypatch):
             n += 1
     got = {x.doc_id: x.class_id for x in near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(got[i] // 3 == i // 3 for i in got) and sum(got[i] == i - i % 3 for i in got) >= 0.9 * len(got)
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_oracles(spark, sf, name):
+    duck = duckdb.connect()
+    duck.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    expected = duck.execute(queries.ORACLES[name])
+    columns = [c[0] for c in expected.description]
+    rows = Counter(expected.fetchall())
+    assert Counter(tuple(r) for r in queries.QUERIES[name](spark, sf).select(*columns).collect()) == rows and set(columns) == set(queries.QUERIES[name](spark, sf).columns)
