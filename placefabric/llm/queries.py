@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from placefabric.llm import oracles
+from placefabric.llm.chat_format import chat_digests, with_probe
 from placefabric.llm.decontaminate import find_leaks
 from placefabric.llm.edit_fingerprint import near_classes, neighbour_fingerprints
 from placefabric.llm.html_extract import extract
@@ -69,6 +70,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(_table(spark, sf_dir, "documents"))
 
 
+def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_digests(with_probe(_table(spark, sf_dir, "conversations"), spark))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -84,6 +89,7 @@ QUERIES = {
         op8_language_id,
         op9_license_scan,
         op10_secret_scan,
+        op13_chat_formatting,
     )
 }
-ORACLES = {"op2_ngram_jaccard_join": oracles.OP2, "op5_suffix_array_dedup": oracles.OP5, "op6_substring_dedup": oracles.OP6}
+ORACLES = {"op2_ngram_jaccard_join": oracles.OP2, "op5_suffix_array_dedup": oracles.OP5, "op6_substring_dedup": oracles.OP6, "op13_chat_formatting": oracles.OP13}
