@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +29,13 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder: what Python made is made once and read by column. Clearing it is up to the caller."""
+    path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """links (a long, b long) -> (node long, component long), component the smallest node reachable.
 

@@ -44,3 +44,16 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
 CAST({len(_MARKS[0])} + sum({sum(map(len, _MARKS[1:]))} + length({_ESCAPED.format("role")}) + length({_ESCAPED.format("text")})) AS BIGINT) AS formatted_chars
 FROM t GROUP BY conv_id"""
+
+_CRC32 = "xor(list_reduce([4294967295] || list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda x: ascii(x)), lambda c, b: list_reduce([xor(c, b)] || range(8), lambda k, i: xor(k >> 1, 3988292384 * (k & 1)))), 4294967295)"
+
+OP12 = f"""WITH o AS (SELECT conv_id AS c, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS l FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+q AS (SELECT o.c, coalesce(b.l[1:h], []) || o.l[h + 1:] AS l FROM (SELECT *, {_CRC32.format("c")} % 6 AS h FROM o) o LEFT JOIN o b ON b.c = o.c - o.c % 100),
+p AS (SELECT c, l, unnest(range(len(l) + 1)) AS d FROM q),
+n AS (SELECT c, d, min(c) OVER (PARTITION BY l[1:d], d) AS rep, d = len(l) AS ends, length(l[d].text) AS chars FROM p),
+g AS (SELECT rep, d, count(*) AS n_convs, any_value(chars) AS chars, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '') AS ids FROM n GROUP BY rep, d),
+u AS (SELECT g.*, n.rep AS above FROM g LEFT JOIN n ON n.c = g.rep AND n.d = g.d - 1),
+k AS (SELECT above, d - 1 AS d, count(*) AS n_children FROM u WHERE d > 0 GROUP BY above, d),
+w AS (SELECT u.*, coalesce(n_children, 0) AS n_children FROM u LEFT JOIN k ON k.above = u.rep AND k.d = u.d),
+s AS (SELECT n.rep, n.d, sum((w.n_convs - 1) * coalesce(w.chars, 0)) AS saved, count(*) FILTER (w.n_children = 0) AS leaves FROM w JOIN n ON n.c = w.rep AND n.d <= w.d GROUP BY n.rep, n.d)
+SELECT w.rep AS conv_id, w.d AS depth, w.above AS parent_conv_id, n_convs, n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(ids) AS ends_sha256 FROM w JOIN s ON s.rep = w.rep AND s.d = w.d"""

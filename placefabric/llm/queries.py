@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from placefabric.llm import oracles
 from placefabric.llm.chat_format import chat_digests, with_probe
+from placefabric.llm.conversation_trie import conversation_trie
 from placefabric.llm.decontaminate import find_leaks
 from placefabric.llm.edit_fingerprint import near_classes, neighbour_fingerprints
 from placefabric.llm.html_extract import extract
@@ -70,6 +71,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(_table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
 def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digests(with_probe(_table(spark, sf_dir, "conversations"), spark))
 
@@ -89,7 +94,8 @@ QUERIES = {
         op8_language_id,
         op9_license_scan,
         op10_secret_scan,
+        op12_conversation_trie,
         op13_chat_formatting,
     )
 }
-ORACLES = {"op2_ngram_jaccard_join": oracles.OP2, "op5_suffix_array_dedup": oracles.OP5, "op6_substring_dedup": oracles.OP6, "op13_chat_formatting": oracles.OP13}
+ORACLES = {"op2_ngram_jaccard_join": oracles.OP2, "op5_suffix_array_dedup": oracles.OP5, "op6_substring_dedup": oracles.OP6, "op12_conversation_trie": oracles.OP12, "op13_chat_formatting": oracles.OP13}
