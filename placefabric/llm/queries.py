@@ -17,6 +17,7 @@ from placefabric.llm.secret_scan import secret_spans
 from placefabric.llm.source_mix import mix_sources
 from placefabric.llm.substring_dedup import substring_dedup
 from placefabric.llm.suffix_dedup import suffix_dedup
+from placefabric.llm.token_alignment import alignment
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +72,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(_table(spark, sf_dir, "documents"))
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment(_table(spark, sf_dir, "documents"))
+
+
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(_table(spark, sf_dir, "conversations"))
 
@@ -94,6 +99,7 @@ QUERIES = {
         op8_language_id,
         op9_license_scan,
         op10_secret_scan,
+        op11_cross_tokenizer_alignment,
         op12_conversation_trie,
         op13_chat_formatting,
     )
