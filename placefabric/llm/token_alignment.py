@@ -28,14 +28,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placefabric.llm.arrays import memo
+from placefabric.llm.arrays import memo, mix
 from placefabric.llm.components import stored
 
 FOLDER = "/opt/tokenizers"
 CHUNK_CHARS, CHUNK_DOCS = 6 << 20, 1 << 14
 PIECE = 1 << 20  # characters of a text that are split at once
-KNOWN = 200_000  # stretches of text that a process keeps tokenised, short ones only
-SHORT = 64
+KNOWN = 300_000  # stretches of text that a process keeps tokenised, until the next chunk begins
+LONG = 500  # characters up to which a stretch is encoded by rank
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed: the words of byte-level BPE
 DOCS, GROUPS = 0, 1
 _SPACE = re.compile(r"(?<=\S) (?=\S)")
 _LONGS = pa.list_(pa.int64())
@@ -57,30 +58,52 @@ def _bytes_of_characters() -> dict[str, int]:
 
 
 class Pair:
-    """The two tokenizers. a: the JSON of a byte-level BPE; b: a serialised piece model. Groups of known stretches are kept."""
+    """The two tokenizers, and the groups and stretches of text that this process has met.
+
+    a: the JSON of a byte-level BPE; b: a serialised piece model. Where a's ids stand in the order of its merges, short
+    stretches are encoded by rank, with the same result.
+    """
 
     def __init__(self, a: bytes, b: bytes, overlaps: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from sentencepiece import SentencePieceProcessor
         from sentencepiece.sentencepiece_model_pb2 import ModelProto
         from tokenizers import Tokenizer
 
-        self.overlaps, self.known = overlaps, {}
+        self.overlaps = overlaps
         self.a = Tokenizer.from_str(a.decode())
         self.a.encode_special_tokens = True
         letters = _bytes_of_characters()
-        self.a_bytes = {i: bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode() for t, i in self.a.get_vocab(with_added_tokens=True).items()}
+        vocabulary = self.a.get_vocab(with_added_tokens=True)
+        self.a_bytes = {i: bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode() for t, i in vocabulary.items()}
         self.b = SentencePieceProcessor()
         self.b.LoadFromSerializedProto(b)
         proto = ModelProto.FromString(b)
         self.b_bytes = [bytes([int(p.piece[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p.piece) else p.piece.replace("▁", " ").encode() for p in proto.pieces]
+        self.a_size = np.array([len(self.a_bytes.get(i, b"")) for i in range(max(self.a_bytes) + 1)], np.int64)
+        self.b_size = np.array([len(x) for x in self.b_bytes], np.int64)
         settings, spec = json.loads(a), proto.normalizer_spec
-        split = settings.get("pre_tokenizer") or {}
+        split, model = settings.get("pre_tokenizer") or {}, settings["model"]
+        plain = not settings.get("normalizer") and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and all(t["special"] for t in settings.get("added_tokens", []))
         self.cuts = (
-            not settings.get("normalizer") and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and all(t["special"] for t in settings.get("added_tokens", []))
-            and spec.add_dummy_prefix and not spec.remove_extra_whitespaces and not spec.precompiled_charsmap and proto.trainer_spec.model_type == 2
+            plain and spec.add_dummy_prefix and not spec.remove_extra_whitespaces and not spec.precompiled_charsmap and proto.trainer_spec.model_type == 2
             and not proto.trainer_spec.treat_whitespace_as_suffix and not any(re.search("[^▁]▁", p.piece) for p in proto.pieces)
         )
+        merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+        own = {i: t for t, i in model["vocab"].items()}
+        self.by_rank = None
+        if plain and not model.get("ignore_merges") and all(own.get(256 + k) == t for k, t in enumerate(merged)) and all(len(own.get(k, "")) == 1 for k in range(256)):
+            ranks = {self.a_bytes[i]: i for i in range(256 + len(merged))}
+            self.by_rank = tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, tuple[tuple[int, ...], str] | None] = {}
+        self.numbers: dict[str, int] = {}
+        self.spelled: list[str] = []
+        self.pairs: list[tuple[int, ...]] = []
+        self.sizes: list[tuple[int, int]] = []
 
     def units(self, text: str) -> Iterator[list[str]]:
         """Stretches whose tokens are the text's, a piece of the text at a time."""
@@ -93,24 +116,24 @@ class Pair:
             at = m.end()
         yield _SPACE.split(text[at:])
 
-    def cut(self, text: str, a: list[int], b: list[int]) -> list[tuple[str, tuple[int, ...], int, int]] | None:
-        """(text, linked pairs, A tokens, B tokens) of each group; none if the tokens don't spell the text with a space before it."""
-        x, y, want = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b], b" " + text.encode()
-        if b"".join(x) != want or b"".join(y) != want:
-            return None
-        out, i, j, p, q, end_a, end_b = [], 0, 0, 0, 0, 0, 0
-        while i < len(x) or j < len(y):
-            if end_a <= end_b and i < len(x):
-                end_a += len(x[i])
-                i += 1
-            else:
-                end_b += len(y[j])
-                j += 1
-            if end_a == end_b:
-                pairs = ((a[i - 1] << 32 | b[j - 1]),) if not self.overlaps else tuple(self._overlapping(a[p:i], x[p:i], b[q:j], y[q:j]))
-                out.append((f"{','.join(map(str, a[p:i]))}|{','.join(map(str, b[q:j]))}", pairs, i - p, j - q))
-                p, q = i, j
-        return out
+    def encode_a(self, texts: list[str]) -> list[list[int]]:
+        long_ = [t for t in texts if self.by_rank is None or len(t) > LONG]
+        whole = iter(self.a.encode_batch_fast([" " + t for t in long_], add_special_tokens=False) if long_ else [])
+        if self.by_rank is None:
+            return [e.ids for e in whole]
+        one = self.by_rank.encode_ordinary
+        return [one(" " + t) if len(t) <= LONG else next(whole).ids for t in texts]
+
+    def number(self, a: list[int], b: list[int]) -> int:
+        """The number of a group; its links are expanded when it is met for the first time."""
+        spelled = f"{','.join(map(str, a))}|{','.join(map(str, b))}"
+        k = self.numbers.get(spelled)
+        if k is None:
+            k = self.numbers[spelled] = len(self.spelled)
+            self.spelled.append(spelled)
+            self.pairs.append(tuple(self._overlapping(a, [self.a_bytes[i] for i in a], b, [self.b_bytes[i] for i in b])) if self.overlaps else (a[-1] << 32 | b[-1],))
+            self.sizes.append((len(a), len(b)))
+        return k
 
     @staticmethod
     def _overlapping(a: list[int], x: list[bytes], b: list[int], y: list[bytes]) -> Iterator[int]:
@@ -123,16 +146,54 @@ class Pair:
                 return
             end_a, end_b = end_a + len(x[i]) * step_a, end_b + len(y[j]) * step_b
 
-    def groups(self, texts: list[str]) -> list[list | None]:
-        """The groups of each text."""
-        fresh = [t for t in texts if t not in self.known]
-        made = dict(zip(fresh, map(self.cut, fresh, (e.ids for e in self.a.encode_batch([" " + t for t in fresh], add_special_tokens=False)), self.b.encode(fresh, num_threads=1)), strict=True)) if fresh else {}
-        out = [made[t] if t in made else self.known[t] for t in texts]
-        if len(self.known) + len(made) > KNOWN:
-            self.known = {}
-        if len(made) <= KNOWN:
-            self.known |= {t: g for t, g in made.items() if len(t) <= SHORT}
-        return out
+    def cut(self, texts: list[str]) -> None:
+        """Tokens, groups and their numbers of texts not met before. Those whose tokens don't spell them with a space before are None."""
+        by_a, by_b, spelled = self.encode_a(texts), self.b.encode(texts, num_threads=1), [b" " + t.encode() for t in texts]
+        good = [b"".join(map(self.a_bytes.__getitem__, x)) == s == b"".join(map(self.b_bytes.__getitem__, y)) for x, y, s in zip(by_a, by_b, spelled, strict=True)]
+        for t, g in zip(texts, good, strict=True):
+            if not g:
+                self.known[t] = None
+        texts, by_a, by_b = ([x for x, g in zip(xs, good, strict=True) if g] for xs in (texts, by_a, by_b))
+        if not texts:
+            return
+        a, b = (np.fromiter(chain.from_iterable(x), np.int64, sum(map(len, x))) for x in (by_a, by_b))
+        end_a, end_b = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        ends = np.zeros(int(end_a[-1]) + 1, bool)
+        ends[end_a] = True
+        ends = end_b[ends[end_b]]  # where both end
+        first_a, first_b = (np.concatenate(([0], np.searchsorted(e, ends) + 1)) for e in (end_a, end_b))
+        with np.errstate(over="ignore"):
+            hashes = np.zeros(len(ends), np.uint64)
+            for ids, first, salt in ((a, first_a, 1), (b, first_b, 2)):
+                place = np.arange(len(ids)) - np.repeat(first[:-1], np.diff(first))
+                hashes += np.add.reduceat(mix(ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + place.astype(np.uint64) * np.uint64(4) + np.uint64(salt)), first[:-1])
+        _, one, of = np.unique(hashes, return_index=True, return_inverse=True)
+        for ids, first in ((a, first_a), (b, first_b)):  # equal hashes are equal groups
+            size = np.diff(first)
+            place = np.arange(len(ids)) - np.repeat(first[:-1], size)
+            if not (size == size[one][of]).all() or not (ids == ids[np.repeat(first[:-1][one][of], size) + place]).all():
+                raise RuntimeError("two groups have one hash")
+        found = np.array([self.number(a[first_a[k] : first_a[k + 1]].tolist(), b[first_b[k] : first_b[k + 1]].tolist()) for k in one.tolist()], np.int64)[of].tolist()
+        upto = np.searchsorted(ends, np.cumsum([len(s) for s, g in zip(spelled, good, strict=True) if g]), "right").tolist()
+        at = 0
+        for t, to in zip(texts, upto, strict=True):
+            groups = tuple(found[at:to])
+            self.known[t] = groups, ";".join(map(self.spelled.__getitem__, groups))
+            at = to
+
+    def groups(self, texts: list[str]) -> list[tuple[tuple[int, ...], str] | None]:
+        """The groups of each text, by number, and how they are spelled. Numbers hold until the next call of forget."""
+        fresh, size = [], 0
+        for t in texts:
+            if t not in self.known:
+                fresh.append(t)
+                size += len(t)
+            if size > PIECE:
+                self.cut(fresh)
+                fresh, size = [], 0
+        if fresh:
+            self.cut(fresh)
+        return [self.known[t] for t in texts]
 
 
 class _Codes(dict):
@@ -169,20 +230,23 @@ def _chunk(name: str, rows: list[tuple[int | None, str | None]], pair: Pair) ->
             for part in pair.units(text):
                 own.extend([units[u] for u in part])
         codes.append(np.frombuffer(own, np.uint32))
+    if len(pair.known) > KNOWN:
+        pair.forget()
     found = pair.groups(list(units))
-    for k, (_, text) in enumerate(rows):
-        if any(found[c] is None for c in set(codes[k].tolist())):  # decided by the whole text
-            whole = pair.groups([text])[0]
-            codes[k] = np.array([] if whole is None else [len(found)], np.uint32)
-            found += [] if whole is None else [whole]
-    found = [g or [] for g in found]
-    spelled = [";".join(g[0] for g in u) for u in found]
-    sizes = np.array([len(u) for u in found], np.int64)
-    groups, pairs_of = _Codes(), {}
-    flat = np.fromiter((groups[g[0]] for g in chain.from_iterable(found)), np.int64, int(sizes.sum()))
-    for g in chain.from_iterable(found):
-        pairs_of.setdefault(g[0], g[1])
-    of_unit = [np.array([f(u) for u in found], np.int64) for f in (lambda u: sum(g[2] for g in u), lambda u: sum(g[3] for g in u), len, lambda u: sum(len(g[1]) for g in u))]
+    if None in found:  # such documents are decided by their whole texts
+        bad = np.array([g is None for g in found])
+        for k, (_, text) in enumerate(rows):
+            if bad[codes[k]].any():
+                whole = pair.groups([text])[0]
+                codes[k] = np.array([] if whole is None else [len(found)], np.uint32)
+                found += [] if whole is None else [whole]
+        found = [g or ((), "") for g in found]
+    spelled = [g[1] for g in found]
+    sizes = np.array([len(g[0]) for g in found], np.int64)
+    own = np.fromiter(chain.from_iterable(g[0] for g in found), np.int64, int(sizes.sum()))
+    groups, flat = np.unique(own, return_inverse=True)
+    of_group = np.array([(*pair.sizes[g], 1, len(pair.pairs[g])) for g in groups.tolist()], np.int64).reshape(-1, 4)
+    of_unit = [_sums(of_group[flat, c], sizes) for c in range(4)]
     lengths = np.array([len(c) for c in codes], np.int64)
     every = np.concatenate([*codes, np.zeros(0, np.uint32)]).astype(np.int64)
     shas = []
@@ -191,18 +255,18 @@ def _chunk(name: str, rows: list[tuple[int | None, str | None]], pair: Pair) ->
         for at in range(0, len(c), PIECE):
             h.update((";" * (at > 0) + ";".join(map(spelled.__getitem__, c[at : at + PIECE].tolist()))).encode())
         shas.append(h.hexdigest() if len(c) else "")
-    times = np.bincount(every, minlength=len(found)) if len(found) else np.zeros(0, np.int64)
-    freq = np.bincount(flat, weights=np.repeat(times, sizes), minlength=len(groups)).astype(np.int64) if len(flat) else np.zeros(len(groups), np.int64)
+    times = np.bincount(every, minlength=len(found))
+    freq = np.bincount(flat, weights=np.repeat(times, sizes), minlength=len(groups)).astype(np.int64)
     row = {"chunk": name, "kind": DOCS, "doc_id": [i for i, _ in rows], "sha": shas, "units": lengths.tolist(), "codes": _pack(every), "unit_sizes": _pack(sizes), "unit_groups": _pack(flat)}
     row |= {c: _sums(x[every], lengths).tolist() for c, x in zip(("n_a", "n_b", "n_groups", "n_links"), of_unit, strict=True)}
     yield pa.RecordBatch.from_pylist([row], schema=_SCHEMA)
     used = np.flatnonzero(freq)
-    names = list(groups)
+    names, pairs = [pair.spelled[g] for g in groups.tolist()], [pair.pairs[g] for g in groups.tolist()]
     for at in range(0, len(used), 1 << 16):
         part = used[at : at + (1 << 16)]
         made = {
             "chunk": pa.array([name] * len(part)), "kind": pa.array(np.full(len(part), GROUPS, np.int32)), "code": pa.array(part.astype(np.int32)),
-            "grp": pa.array([names[k] for k in part]), "n": pa.array(freq[part]), "pairs": pa.array([pairs_of[names[k]] for k in part], _LONGS),
+            "grp": pa.array([names[k] for k in part]), "n": pa.array(freq[part]), "pairs": pa.array([pairs[k] for k in part], _LONGS),
         }
         yield pa.record_batch([made[f.name] if f.name in made else pa.nulls(len(part), f.type) for f in _SCHEMA], schema=_SCHEMA)
 
