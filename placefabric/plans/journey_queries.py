@@ -14,6 +14,7 @@ from placefabric.plans.registry import query
 from placefabric.plans.testmap import cte, entity, table
 from placefabric.sources import readers, scratch, sinks
 from placefabric.streaming import intake
+from placefabric.streaming.event_store import EventStore
 
 P = cte("places")
 
@@ -263,6 +264,18 @@ def stm5(spark, sf):
     return intake.to_end(counts, scratch.folder(spark, "windows"), "complete")
 
 
+@query("stm2_event_store", "SELECT 'e' || event_id AS event_id, CASE WHEN event_id % 3 <> 0 THEN 1 WHEN event_id % 2 = 0 THEN 2 ELSE 3 END AS delivery, event_type FROM events UNION ALL SELECT 'counts', d, a || ' ' || i FROM (SELECT 1 AS d, count(*) FILTER (event_id % 3 <> 0) AS a, count(*) FILTER (event_id % 3 <> 0) AS i FROM events UNION ALL SELECT 2, count(*) FILTER (event_id % 2 = 0), count(*) FILTER (event_id % 6 = 0) FROM events UNION ALL SELECT 3, 2 * count(*), count(*) FILTER (event_id % 6 = 3) FROM events)")
+def stm2_store(spark, sf):
+    """Three deliveries over two years into one store: the second resends half of the log after 400 days, the third all of it, twice."""
+    e = table(spark, sf, "events").select(F.concat(F.lit("e"), F.col("event_id")).alias("event_id"), "event_id", "event_type", F.col("ts").cast("timestamp").alias("server_ts")).toDF("event_id", "n", "event_type", "server_ts")
+    late = lambda days, k: e.withColumns({"server_ts": F.col("server_ts") + F.expr(f"interval {days} days"), "delivery": F.lit(k)})
+    store = EventStore(spark, scratch.folder(spark, "events"))
+    third = late(700, 3)
+    done = [store.append(d) for d in (late(0, 1).where("n % 3 <> 0"), late(400, 2).where("n % 2 = 0"), third.unionByName(third))]
+    counts = spark.createDataFrame([("counts", k, f"{c['accepted']} {c['inserted']}") for k, c in enumerate(done, 1)], "event_id string, delivery int, event_type string")
+    return spark.read.parquet(store.path).select("event_id", "delivery", "event_type").unionByName(counts)
+
+
 @query("stm10_rate_limit", "WITH k AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts) AS rn FROM events) SELECT CAST(user_id AS VARCHAR) AS key, date_trunc('second', ts) AS ts, rn <= 3 AS allowed FROM k")
 def stm10(spark, sf):
     """Three events of a user in a day's window, by the stateful limiter."""

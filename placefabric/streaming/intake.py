@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from placefabric.operators.events import validated
+from placefabric.streaming.event_store import BUCKETS, EventStore
 
-HORIZON = "3 days"  # devices that were offline deliver late; more than the floor of retention
+HORIZON = "3 days"  # of deduplication in state; the event store has none
 
 
 def json_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -66,21 +67,11 @@ def windowed_counts(events: DataFrame, ts: str, width: str, slide: str | None =
     return events.withWatermark(ts, late).groupBy(w.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
 
 
-def store_batch(path: str):
-    """A foreachBatch sink that writes a batch's events that the store doesn't hold; a retried batch adds nothing.
-
-    Only the days of the horizon before the batch are read: an event that was stored earlier isn't delivered again.
-    """
+def store_batch(path: str, buckets: int = BUCKETS):
+    """A foreachBatch sink into an event store: ids that it holds, from whenever, are left out; a retried batch adds nothing."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        fresh = batch.dropDuplicates(["event_id"]).withColumn("event_date", F.to_date("server_ts"))
-        spark = batch.sparkSession
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-            since = batch.agg(F.to_date(F.min("server_ts")) - F.expr(f"interval {HORIZON}")).first()[0]  # one row
-            held = spark.read.schema("event_id string, event_date date").parquet(path)
-            fresh = fresh.join(held.where(F.col("event_date") >= F.lit(since)).select("event_id"), "event_id", "left_anti")
-        fresh.write.mode("append").partitionBy("event_date").parquet(path)
+        EventStore(batch.sparkSession, path, buckets).append(batch)
 
     return write
 
