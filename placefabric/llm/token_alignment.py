@@ -32,9 +32,9 @@ from placefabric.llm.arrays import memo, mix
 from placefabric.llm.components import stored
 
 FOLDER = "/opt/tokenizers"
-CHUNK_CHARS, CHUNK_DOCS = 6 << 20, 1 << 14
+CHUNK_CHARS, CHUNK_DOCS = 4 << 20, 1 << 14
 PIECE = 1 << 20  # characters of a text that are split at once
-KNOWN = 300_000  # stretches of text that a process keeps tokenised, until the next chunk begins
+KNOWN = 150_000  # stretches of text that a process keeps tokenised, until the next chunk begins
 LONG = 500  # characters up to which a stretch is encoded by rank
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed: the words of byte-level BPE
 DOCS, GROUPS = 0, 1
