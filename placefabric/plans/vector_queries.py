@@ -8,8 +8,10 @@ from pyspark.sql.window import Window
 
 from placefabric.operators import hybrid
 from placefabric.operators import recommend as r
-from placefabric.plans.registry import query
+from placefabric.operators.vector_index import VectorIndex
+from placefabric.plans.registry import ORACLES, query
 from placefabric.plans.testmap import cte, entity, table
+from placefabric.sources import scratch
 
 
 def _vectors(spark, sf):
@@ -64,6 +66,27 @@ def jn15(spark, sf):
     return r.csls_density(_vectors(spark, sf)).withColumn("density", F.round("density", 6))
 
 
+def _index(spark, sf):
+    return VectorIndex.build(_vectors(spark, sf), scratch.folder(spark, "vector-index"))
+
+
+@query("jn15_indexed_neighbours", f"WITH {_VEC}, {_PAIRS} SELECT place_id, other, round(cosine, 6) AS cosine, rank FROM k WHERE rank <= 10")
+def jn15_neighbours(spark, sf):
+    """The ten nearest rows of every row, by the stored index with its second pass."""
+    return r.neighbours(_vectors(spark, sf), 10, _index(spark, sf)).withColumn("cosine", F.round("cosine", 6))
+
+
+@query("jn15_indexed_density", f"WITH {_VEC}, {_PAIRS} SELECT place_id, round(avg(cosine), 6) AS density FROM k WHERE rank <= 10 GROUP BY place_id")
+def jn15_indexed(spark, sf):
+    return r.csls_density(_vectors(spark, sf), index=_index(spark, sf)).withColumn("density", F.round("density", 6))
+
+
+@query("alg7_indexed_recommender", ORACLES["alg7_centroid_recommender"])
+def alg7_indexed(spark, sf):
+    v = _vectors(spark, sf)
+    return r.recommend_by_centroid(r.seeds(*_lists(spark, sf), v), v, 10, _index(spark, sf))
+
+
 @query("alg23_mutual_knn", f"WITH {_VEC}, {_PAIRS}, t AS (SELECT place_id, other FROM k WHERE rank <= 5) SELECT a.place_id, a.other FROM t a JOIN t b ON a.place_id = b.other AND a.other = b.place_id")
 def alg23(spark, sf):
     return r.mutual(r.neighbours(_vectors(spark, sf), 5)).select("place_id", "other")
