@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from placefabric.functions import geo, text
 from placefabric.operators.geo import clamp, resolve_city
+from placefabric.operators.text_index import TrigramIndex, may_match
 
 SIMILAR = 0.3
 MOST = 50
@@ -43,14 +44,18 @@ def search_score(distance: Column | None, city: str | None, country: str | None,
     at = lambda c, v: F.when(text.norm(F.col(c)) == v, 1).otherwise(0) if v else F.lit(0)
     return (
         100 * F.greatest("name_similarity", 0.6 * F.greatest("category_similarity", "type_similarity"))
-        + 30 * (F.col("name_norm") == q).cast("int") + 15 * F.startswith("name_norm", F.lit(q)).cast("int")
+        + F.when(F.col("name_norm") == q, 30).otherwise(0) + F.when(F.startswith("name_norm", F.lit(q)), 15).otherwise(0)
         + 12 * at("city", city) + 6 * at("country", country) + near
         + 8 * F.coalesce("visibility", F.lit(0.0)) / 100 + 5 * F.coalesce("popularity", F.lit(0.0)) / 100
     )
 
 
-def search(places: DataFrame, q: str | None, lat: float | None = None, lng: float | None = None, city: str | None = None, country: str | None = None, keywords: list[str] | None = None, radius_m: float | None = None, limit: int | None = None) -> DataFrame:
-    """One of four plans: text, browse by city, browse by distance, browse by score; none without a query and keywords."""
+def search(places: DataFrame, q: str | None, lat: float | None = None, lng: float | None = None, city: str | None = None, country: str | None = None, keywords: list[str] | None = None, radius_m: float | None = None, limit: int | None = None, index: TrigramIndex | None = None) -> DataFrame:
+    """One of four plans: text, browse by city, browse by distance, browse by score; none without a query and keywords.
+
+    The text plan looks for the best run of trigrams only in rows whose name has enough of the query's, which a count of the
+    row's own trigrams tells, or an index of the folded names.
+    """
     q = " ".join((q or "").lower().split())
     q = q if len(q) >= 2 else ""
     n = clamp(limit, 20, MOST)
@@ -71,9 +76,15 @@ def search(places: DataFrame, q: str | None, lat: float | None = None, lng: floa
             return rows.limit(0).withColumn("search_score", F.lit(None).cast("double"))
         keys = [F.asc_nulls_last("distance_km")] if distance is not None else []
         return rows.withColumn("search_score", F.coalesce("visibility", F.lit(0.0))).orderBy(*keys, F.desc("search_score"), "id").limit(n)
-    similar = text.word_similarity(q)
+    similar, typed = text.word_similarity(q), text.has_keyword(text.norm(F.col("primary_type")), [q])
+    if index is None:
+        rows = rows.where(may_match(text.norm(F.col("name")), q, SIMILAR) | typed)
+    else:
+        asked = places.sparkSession.createDataFrame([(q,)], "q string")
+        named = index.candidates(asked, SIMILAR).select(F.col("text").alias("_name"), F.lit(True).alias("_named"))
+        rows = rows.join(named, text.norm(F.col("name")) == F.col("_name"), "left").where(F.col("_named") | typed).drop("_name", "_named")
     rows = rows.withColumns({"name_norm": text.norm(F.col("name")), "name_similarity": similar(text.norm(F.col("name"))), "category_similarity": similar(text.norm(F.col("category"))), "type_similarity": similar(text.norm(F.col("primary_type")))})
-    rows = rows.where((F.col("name_similarity") >= SIMILAR) | text.has_keyword(text.norm(F.col("primary_type")), [q]))
+    rows = rows.where((F.col("name_similarity") >= SIMILAR) | typed)
     reason = F.when(F.col("name_similarity") >= F.greatest("category_similarity", "type_similarity"), "name").when(F.col("category_similarity") >= F.col("type_similarity"), "category").otherwise("type")
     rows = rows.withColumn("search_score", search_score(distance, city, country.lower() if country else None, q)).withColumn("match_reason", reason)
     return rows.orderBy(F.desc("search_score"), "id").limit(n)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from placefabric.functions import geo as g
 from placefabric.functions import text
 from placefabric.operators import feed, geo, search
+from placefabric.operators.text_index import TrigramIndex
 from placefabric.plans.registry import query
 from placefabric.plans.testmap import cte, entity
+from placefabric.sources import scratch
 
 BOX = (44.421, 26.093, 44.437, 26.110)
 LAT, LNG = 44.43, 26.10
@@ -249,16 +253,60 @@ def alg3_score(spark, sf):
     return search.search(_places(spark, sf), "", keywords=["promo"], limit=30).select("id", "search_score")
 
 
-@query("alg3_search_text")
+_GRAMS = r"flatten(list_transform(list_filter(string_split(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3))))"
+
+
+def similarities(pairs: str) -> str:
+    """CTEs from pairs (q, t) to sims (q, t, similarity): the best share of the query's trigrams with a run of the text's, over all runs that begin and end in one."""
+    return f"""ga AS (SELECT q, t, list_distinct({_GRAMS.format('q')}) AS qg, {_GRAMS.format('t')} AS tg FROM {pairs}),
+gh AS (SELECT q, t, unnest(list_filter(range(1, len(tg) + 1), lambda i: list_contains(qg, tg[i]))) AS h FROM ga),
+gr AS (SELECT a.q, a.t, a.h AS i, b.h AS j FROM gh a JOIN gh b ON a.q = b.q AND a.t = b.t AND a.h <= b.h),
+gs AS (SELECT q, t, len(qg) AS n, list_distinct(tg[i:j]) AS run, len(list_intersect(qg, list_distinct(tg[i:j]))) AS shared FROM gr JOIN ga USING (q, t)),
+gm AS (SELECT q, t, max(shared / (n + len(run) - shared)) AS s FROM gs GROUP BY q, t),
+sims AS (SELECT q, t, coalesce(s, 0e0) AS similarity FROM ga LEFT JOIN gm USING (q, t))"""
+
+
+def text_rank(q: str, city: str, where: str = "true", near: bool = True) -> str:
+    """The text plan of search as SQL: floor, score and reason from real similarities."""
+    return PLACES.rstrip() + f""", pairs AS (SELECT DISTINCT '{q}' AS q, unnest([lower(name), category, primary_type]) AS t FROM places), {similarities('pairs')},
+r AS (SELECT p.*, a.similarity AS ns, b.similarity AS cs, c.similarity AS ts, {KM} AS km FROM places p JOIN sims a ON a.t = lower(name) JOIN sims b ON b.t = category JOIN sims c ON c.t = primary_type WHERE {where}),
+k AS (SELECT id, name, CASE WHEN ns >= greatest(cs, ts) THEN 'name' WHEN cs >= ts THEN 'category' ELSE 'type' END AS match_reason, 100 * greatest(ns, 0.6e0 * greatest(cs, ts)) + CASE WHEN lower(name) = '{q}' THEN 30 ELSE 0 END + CASE WHEN starts_with(lower(name), '{q}') THEN 15 ELSE 0 END
++ CASE WHEN lower(city) = '{city}' THEN 12 ELSE 0 END + {'10 / (1 + km)' if near else '0e0'} + 8 * coalesce(visibility, 0) / 100 + 5 * coalesce(popularity, 0) / 100 AS score FROM r WHERE ns >= 0.3 OR contains(' ' || primary_type || ' ', ' {q} '))
+SELECT id, name, match_reason, round(score, 6) AS search_score FROM k ORDER BY score DESC, id"""
+
+
+@query("alg3_search_text", text_rank("small rig", "nation_1", "lower(city) = 'nation_1'") + " LIMIT 20")
 def alg3_text(spark, sf):
     return search.search(_places(spark, sf), "small rig", LAT, LNG, city="nation_1").select("id", "name", "match_reason", F.round("search_score", 6).alias("search_score"))
 
 
-@query("str2_word_similarity")
+@query("alg3_search_indexed", text_rank("blue wigdet", "nowhere", near=False) + " LIMIT 50")
+def alg3_indexed(spark, sf):
+    """The text plan through an index of the folded names, over the whole catalogue."""
+    p = _places(spark, sf)
+    index = TrigramIndex.build(p.select(text.norm(F.col("name")).alias("text")), scratch.folder(spark, "trigrams"))
+    return search.search(p, "Blue  wigdet", limit=50, index=index).select("id", "name", "match_reason", F.round("search_score", 6).alias("search_score"))
+
+
+@query("str2_word_similarity", PLACES.rstrip() + f", pairs AS (SELECT DISTINCT 'ring' AS q, name AS t FROM places), {similarities('pairs')} SELECT id, round(similarity, 6) AS similarity FROM places JOIN sims ON t = name")
 def str2(spark, sf):
     return _places(spark, sf).select("id", F.round(text.word_similarity("ring")(F.col("name")), 6).alias("similarity"))
 
 
+_TEXTS = "SELECT p_name AS t FROM part UNION SELECT p_type FROM part UNION SELECT p_brand FROM part UNION SELECT c_name FROM customer UNION SELECT url FROM pages UNION SELECT n_name FROM nation"
+
+
+@query("str2_indexed_matches", f"WITH texts AS ({_TEXTS}), pairs AS (SELECT q, t FROM (SELECT p_name AS q FROM part UNION SELECT n_name FROM nation UNION SELECT p_type || ' ' || p_brand FROM part) CROSS JOIN texts), {similarities('pairs')} SELECT q, t AS text, round(similarity, 6) AS similarity FROM sims WHERE similarity >= 0.3")
+def str2_indexed(spark, sf):
+    """All names, types, brands and nations as queries against all texts of the catalogue, by posting lists."""
+    col = lambda name, *cs: spark.read.parquet(f"{sf}/{name}.parquet").select(F.concat_ws(" ", *cs))
+    texts = [col("part", "p_name"), col("part", "p_type"), col("part", "p_brand"), col("customer", "c_name"), col("pages", "url"), col("nation", "n_name")]
+    queries = [col("part", "p_name"), col("nation", "n_name"), col("part", "p_type", "p_brand")]
+    texts, queries = (reduce(lambda a, b: a.union(b), x).toDF(n) for x, n in ((texts, "text"), (queries, "q")))
+    index = TrigramIndex.build(texts, scratch.folder(spark, "trigrams"))
+    return index.matches(queries).withColumn("similarity", F.round("similarity", 6))
+
+
 @query("str1_unaccent", "SELECT doc_id, md5(replace(replace(replace(strip_accents(lower(trim(text, ' '))), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe')) AS folded FROM documents")
 def str1(spark, sf):
     return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.md5(text.fold(F.col("text"))).alias("folded"))
