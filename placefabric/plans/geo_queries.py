@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from placefabric.functions import geo as g
 from placefabric.functions import text
-from placefabric.operators import feed, geo, search
+from placefabric.operators import feed, geo, nearest_join, search
 from placefabric.operators.text_index import TrigramIndex
 from placefabric.plans.registry import query
 from placefabric.plans.testmap import cte, entity
@@ -117,6 +117,29 @@ def jn2(spark, sf):
     return geo.hydrate(_places(spark, sf), ["17", " 3 ", "250", "17", "", "42", "1999", "nope"]).select("input_rank", "id", "name")
 
 
+_ORIGINS = (
+    "c_custkey AS lid",
+    "CASE WHEN c_custkey % 97 = 0 THEN NULL WHEN c_custkey % 50 = 0 THEN 45.5e0 + (c_custkey % 7) * 0.3e0 ELSE 44.43e0 + ((c_custkey * 7907) % 4000 - 2000) * 1.3e-5 END AS lat",
+    "26.10e0 + ((c_custkey * 6151) % 4000 - 2000) * 1.1e-5 AS lng",
+)
+_MET = f"o AS (SELECT {', '.join(_ORIGINS)} FROM customer), m AS (SELECT lid, id, city, country, o.lat AS olat, o.lng AS olng, p.lat, p.lng, row_number() OVER (PARTITION BY lid ORDER BY pow(p.lat - o.lat, 2) + pow(p.lng - o.lng, 2), id) AS rank FROM o, places p WHERE o.lat IS NOT NULL)"
+_MET_KM = _KM.format("olat", "lat", "olng", "lng")
+
+
+@query("jn12_cities_of_customers", PLACES.rstrip() + f", {_MET} SELECT lid, id, city, country FROM m WHERE rank = 1 AND {_MET_KM} <= 50")
+def jn12_cities(spark, sf):
+    """The nearest place's city for every customer, far ones left out."""
+    return nearest_join.resolve_cities(spark.read.parquet(f"{sf}/customer.parquet").selectExpr(*_ORIGINS), _places(spark, sf))
+
+
+@query("jn12_nearest_five", PLACES.rstrip() + f", {_MET} SELECT lid, id, CAST(rank AS INTEGER) AS rank, round({_MET_KM}, 6) AS distance_km FROM m WHERE rank <= 5")
+def jn12_five(spark, sf):
+    """The five nearest places of every customer, near and far."""
+    join = nearest_join.NearestJoin(_places(spark, sf).select(F.col("id").alias("rid"), "lat", "lng"), 5)
+    found = join.join(spark.read.parquet(f"{sf}/customer.parquet").selectExpr(*_ORIGINS))
+    return found.select("lid", F.col("rid").alias("id"), "rank", F.round("distance_km", 6).alias("distance_km"))
+
+
 @query("jn12_resolve_city", PLACES + f"SELECT city, country, id FROM (SELECT * FROM places ORDER BY pow(lat - 44.43e0, 2) + pow(lng - 26.10e0, 2), id LIMIT 1) WHERE {KM} <= 50")
 def jn12(spark, sf):
     return geo.resolve_city(_places(spark, sf), LAT, LNG)
