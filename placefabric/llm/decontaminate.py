@@ -30,7 +30,7 @@ SPAN = 16  # blocks of a span
 INDEX_BYTES = 8 << 20  # of items' texts in one index, which is broadcast; its arrays take about eight times that
 GATHER = 1 << 21  # list entries that are summed at a time
 THRESHOLD = 0.5  # of the item's score against itself
-PASSAGE = 128  # words; at least twice the longest item
+PASSAGE = 128  # words; for items over half of it twice the next power of two
 NGRAM = 3
 OVERLAP = 0.6  # share of the n-grams of question and answer
 
@@ -198,7 +198,7 @@ def leaks(index: Index, words: np.ndarray, first: np.ndarray) -> dict[int, list[
     """Rows (their words begin at `first`) with the (item_id, score, question overlap, answer overlap) of the best passage for each leaked item."""
     if not len(words) or not len(index.terms):
         return {}
-    width = max(PASSAGE, 2 * index.longest)
+    width = 2 << length_class(index.longest)
     step, sizes = width // 2, np.diff(first)
     each = np.where(sizes > 0, np.maximum(1, -(-(sizes - step) // step)), 0)
     row = np.repeat(np.arange(len(sizes)), each)
@@ -221,6 +221,11 @@ def leaks(index: Index, words: np.ndarray, first: np.ndarray) -> dict[int, list[
     return {k: [found[n] for n in sorted(found)] for k, found in sorted(best.items())}
 
 
+def length_class(words: int) -> int:
+    """Items of up to 2^class words share an index: how wide a passage is depends on an item's own length alone."""
+    return max((PASSAGE // 2 - 1).bit_length(), (max(words, 1) - 1).bit_length())
+
+
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         words = hashed_words(batch.column(1).to_pylist())
@@ -228,7 +233,7 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def indexes(items: DataFrame) -> Iterator[Index]:
-    """Indexes of about INDEX_BYTES of items' texts each; counts are over all items. Null texts and ids are left out; a
+    """Indexes of about INDEX_BYTES of items' texts of one length class each; counts are over all items. Null texts and ids are left out; a
     repeated item counts as often as it stands."""
     items = items.select(items["item_id"].cast("long").alias("item_id"), items["text"].cast("string").alias("text")).where("item_id is not null and text is not null")
     split = materialise(items.mapInArrow(_terms, "item_id long, text string, n long, terms array<long>").where("n > 0").withColumn("at", F.monotonically_increasing_id()))
@@ -237,10 +242,15 @@ def indexes(items: DataFrame) -> Iterator[Index]:
         return
     each = split.select("at", F.explode("terms").alias("term"))
     df = each.join(each.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term").groupBy("at").agg(F.collect_list(F.struct("term", "df")).alias("t"))
-    rows, size = [], 0
-    for r in split.select("at", "item_id", "text").join(df, "at").select("item_id", "text", "t.term", "t.df").orderBy("item_id", "text").toLocalIterator():
+    rows, size, kind = [], 0, None
+    classes = F.greatest(F.lit(length_class(1)), F.length(F.bin(F.col("n") - 1)))
+    for *r, own in split.select("at", "item_id", "text", classes.alias("class")).join(df, "at").select("item_id", "text", "t.term", "t.df", "class").orderBy("class", "item_id", "text").toLocalIterator():
+        if rows and own != kind:
+            yield Index(rows, count, mean)
+            rows, size = [], 0
+        kind = own
         rows.append(tuple(r))
-        size += len(r["text"])
+        size += len(r[1])
         if size >= INDEX_BYTES:
             yield Index(rows, count, mean)
             rows, size = [], 0

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 SAMPLE_DOCS = 400  # labelled texts of a language, at most about so many, chosen by hash
 SAMPLE_CHARS = 2_000  # of each, a window at a place chosen by hash
+HASHES = 1 << 62
 BROADCAST_ROWS = 10_000  # languages up to which their counts are broadcast
 DICTIONARY_BYTES = 96 << 10
 PIECE = 2_048  # code points encoded at once
@@ -34,6 +35,11 @@ def letters(text: str) -> str:
     return _OTHERS.sub(" ", text.lower())
 
 
+def least_hashes(n: int) -> int:
+    """How far the hashes of the sampled texts of a language go, of so many texts: never 0, however many they are."""
+    return min(HASHES, max(1, (SAMPLE_DOCS * HASHES) // n))
+
+
 def learn(labelled: DataFrame) -> dict[str, bytes]:
     """(doc_id, text, lang) -> a dictionary for each language. Null texts and languages are left out.
 
@@ -42,15 +48,15 @@ def learn(labelled: DataFrame) -> dict[str, bytes]:
     the driver too. Without labelled texts there is no dictionary.
     """
     labelled = labelled.where("text is not null and lang is not null").select("doc_id", labelled["text"].cast("string").alias("text"), labelled["lang"].cast("string").alias("lang"))
-    hashed = labelled.withColumn("h", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)))
+    hashed = labelled.withColumn("h", F.pmod(F.xxhash64("doc_id", "text"), F.lit(HASHES)))
     counts = {r["lang"]: r["n"] for r in hashed.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return {}
-    limits = labelled.sparkSession.createDataFrame([(lang, min(1 << 20, (SAMPLE_DOCS << 20) // n)) for lang, n in counts.items()], "lang string, most long")
+    limits = labelled.sparkSession.createDataFrame([(lang, least_hashes(n)) for lang, n in counts.items()], "lang string, most long")
     if len(counts) <= BROADCAST_ROWS:
         limits = F.broadcast(limits)
     start = F.pmod(F.xxhash64("text", F.lit(1)), F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS + 1)).cast("int") + 1
-    rows = hashed.join(limits, "lang").where("h < most").select("lang", "h", F.substring("text", start, F.lit(SAMPLE_CHARS)).alias("text"))
+    rows = hashed.join(limits, "lang").where("h < most").select("lang", "h", F.substring("text", start, F.lit(SAMPLE_CHARS)).alias("text")).dropDuplicates(["lang", "h"])  # rows of one id and text count once
     by_lang = defaultdict(list)
     for r in rows.collect():
         by_lang[r["lang"]].append((r["h"], r["text"]))
@@ -91,7 +97,7 @@ def coders(dictionaries: dict[str, bytes]) -> list[tuple[str, zstandard.ZstdComp
 
 
 def predict(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
-    """Adds lang_pred, score and rejected to the rows of docs, whose column text it reads.
+    """Adds lang_pred, score and rejected to the rows of docs, whose column text it reads; null texts are `und` and rejected.
 
     The dictionaries are bounded (DICTIONARY_BYTES for each language) and travel with the function. Rejected: `und`, or
     a margin under NARROW in a text of ENOUGH letters. Without any learned language every text is `und`.
