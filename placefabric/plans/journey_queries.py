@@ -264,6 +264,25 @@ def stm5(spark, sf):
     return intake.to_end(counts, scratch.folder(spark, "windows"), "complete")
 
 
+_ACTED = "l AS (SELECT event_id, event_type, user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) % 5 AS place_id, ts FROM events)"
+
+
+@query("stm4_actions_stream", f"WITH {_ACTED} SELECT a.event_id AS impression, b.event_id AS action FROM l a LEFT JOIN l b ON a.user_id = b.user_id AND a.place_id = b.place_id AND b.event_type <> 'view' AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 5 DAY WHERE a.event_type = 'view'")
+def stm4_stream(spark, sf):
+    """Impressions and what followed within five days, as a join of two streams. A last event a year later closes what is open."""
+    e = table(spark, sf, "events").select("event_id", "event_type", "user_id", (F.get_json_object("props", "$.k").cast("long") % 5).alias("place_id"), F.col("ts").cast("timestamp").alias("ts"))
+    path, views, others = scratch.folder(spark, "acts"), e.where("event_type = 'view'"), e.where("event_type <> 'view'")
+    last = e.agg(F.lit(-1).cast("long").alias("event_id"), F.lit(None).cast("string").alias("event_type"), F.lit(-1).cast("long").alias("user_id"), F.lit(-1).cast("long").alias("place_id"), (F.max("ts") + F.expr("interval 1 year")).alias("ts"))
+    streams = []
+    for name, own in (("views", views), ("others", others)):
+        parts = [own.where("user_id % 2 = 0"), own.where("user_id % 2 = 1"), last.select(own.columns)]  # three deliveries, the last to close
+        for k, part in enumerate(parts):
+            part.write.mode("append").parquet(f"{path}/{name}/{k}")
+        streams.append(spark.readStream.schema(own.schema).option("maxFilesPerTrigger", 1000).parquet(f"{path}/{name}/*"))
+    out = intake.to_end(intake.actions_joined(*streams, ["user_id", "place_id"], "5 days", "60 days"), scratch.folder(spark, "joined"))
+    return out.where("impression >= 0").select("impression", "action")
+
+
 @query("stm2_event_store", "SELECT 'e' || event_id AS event_id, CASE WHEN event_id % 3 <> 0 THEN 1 WHEN event_id % 2 = 0 THEN 2 ELSE 3 END AS delivery, event_type FROM events UNION ALL SELECT 'counts', d, a || ' ' || i FROM (SELECT 1 AS d, count(*) FILTER (event_id % 3 <> 0) AS a, count(*) FILTER (event_id % 3 <> 0) AS i FROM events UNION ALL SELECT 2, count(*) FILTER (event_id % 2 = 0), count(*) FILTER (event_id % 6 = 0) FROM events UNION ALL SELECT 3, 2 * count(*), count(*) FILTER (event_id % 6 = 3) FROM events)")
 def stm2_store(spark, sf):
     """Three deliveries over two years into one store: the second resends half of the log after 400 days, the third all of it, twice."""

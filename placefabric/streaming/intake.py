@@ -93,3 +93,19 @@ def rate_limited(events: DataFrame, most: int, seconds: int) -> DataFrame:
         state.update((start, count))
 
     return events.groupBy("key").applyInPandasWithState(work, "key string, ts timestamp, allowed boolean", "start long, count int", "append", GroupStateTimeout.NoTimeout)
+
+
+def actions_joined(impressions: DataFrame, actions: DataFrame, keys: list[str], within: str, late: str) -> DataFrame:
+    """Streams of impressions (keys, event_id, ts) and actions (keys, event_id, ts) -> each impression with each action up to `within` after it.
+
+    An impression without action comes once, with nulls, when the watermark says that none can follow. State is held for an
+    impression until then and for an action until no earlier impression can arrive; both sides may be late by `late`.
+    Events without one of the keys are never joined, and those of the actions don't move the watermark.
+    """
+    shown = impressions.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("event_id").alias("impression"), F.col("ts").alias("shown_at")).withWatermark("shown_at", late)
+    done = actions.select(*keys, F.col("event_id").alias("action"), F.col("ts").alias("done_at")).withWatermark("done_at", late)
+    match = (F.col("done_at") >= F.col("shown_at")) & (F.col("done_at") <= F.col("shown_at") + F.expr(f"interval {within}"))
+    for k in keys:
+        match = match & (F.col(k) == F.col(f"_{k}"))
+    joined = shown.join(done, match, "left_outer").drop(*keys)
+    return joined.select(*[F.col(f"_{k}").alias(k) for k in keys], "impression", "shown_at", "action", "done_at")
