@@ -15,6 +15,7 @@ from placefabric.plans.testmap import cte, entity, table
 from placefabric.sources import readers, scratch, sinks
 from placefabric.streaming import intake
 from placefabric.streaming.event_store import EventStore
+from placefabric.streaming.limits import Rule, keyed_state, limited
 
 P = cte("places")
 
@@ -298,7 +299,24 @@ def stm2_store(spark, sf):
 @query("stm10_rate_limit", "WITH k AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts) AS rn FROM events) SELECT CAST(user_id AS VARCHAR) AS key, date_trunc('second', ts) AS ts, rn <= 3 AS allowed FROM k")
 def stm10(spark, sf):
     """Three events of a user in a day's window, by the stateful limiter."""
+    return _limited(spark, sf, [Rule(3, 86_400, sliding=False)])
+
+
+def _limited(spark, sf, rules):
     e = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
-    e.coalesce(1).write.parquet(path := scratch.folder(spark, "hits"))  # one delivery: the limiter takes events in order of arrival
-    out = intake.rate_limited(spark.readStream.schema(e.schema).parquet(path), 3, 86_400)
-    return intake.to_end(out, scratch.folder(spark, "limited")).withColumn("ts", F.date_trunc("second", "ts"))
+    e.write.parquet(path := scratch.folder(spark, "hits"))
+    with keyed_state(spark):
+        out = intake.to_end(limited(spark.readStream.schema(e.schema).parquet(path), rules), scratch.folder(spark, "limited"))
+    return out.withColumn("ts", F.date_trunc("second", "ts"))
+
+
+@query(
+    "stm10_sliding_limits",
+    """WITH RECURSIVE k AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS rn FROM events),
+r AS (SELECT user_id, 0 AS rn, CAST(NULL AS TIMESTAMP) AS ts, false AS allowed, CAST([] AS TIMESTAMP[]) AS held FROM (SELECT DISTINCT user_id FROM k)
+UNION ALL SELECT user_id, rn, ts, ok, CASE WHEN ok THEN list_append(held, ts) ELSE held END FROM (SELECT k.user_id, k.rn, k.ts, r.held, len(list_filter(held, lambda x: x > k.ts - INTERVAL 3 HOUR)) < 1 AND len(list_filter(held, lambda x: x > k.ts - INTERVAL 48 HOUR)) < 3 AS ok FROM r JOIN k ON k.user_id = r.user_id AND k.rn = r.rn + 1))
+SELECT CAST(user_id AS VARCHAR) AS key, date_trunc('second', ts) AS ts, allowed FROM r WHERE rn > 0""",
+)
+def stm10_sliding(spark, sf):
+    """One event of a user in three hours and three in two days, both windows sliding."""
+    return _limited(spark, sf, [Rule(1, 3 * 3600), Rule(3, 48 * 3600)])

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from placefabric.operators.events import validated
 from placefabric.streaming.event_store import BUCKETS, EventStore
@@ -76,25 +72,6 @@ def store_batch(path: str, buckets: int = BUCKETS):
     return write
 
 
-def rate_limited(events: DataFrame, most: int, seconds: int) -> DataFrame:
-    """(key, ts) -> allowed: a fixed window of so many events for a key; blocked ones don't count."""
-
-    def work(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, count = state.get if state.exists else (0, 0)
-        for pdf in pdfs:
-            pdf = pdf.sort_values("ts")
-            out = []
-            for t in pdf.ts.astype("int64") // 1_000_000_000 if pdf.ts.dtype.kind == "M" and "ns" in str(pdf.ts.dtype) else pdf.ts.map(lambda x: int(x.timestamp())):
-                if t - t % seconds != start:
-                    start, count = int(t - t % seconds), 0
-                out.append(count < most)
-                count += out[-1]
-            yield pd.DataFrame({"key": pdf.key, "ts": pdf.ts, "allowed": out})
-        state.update((start, count))
-
-    return events.groupBy("key").applyInPandasWithState(work, "key string, ts timestamp, allowed boolean", "start long, count int", "append", GroupStateTimeout.NoTimeout)
-
-
 def actions_joined(impressions: DataFrame, actions: DataFrame, keys: list[str], within: str, late: str) -> DataFrame:
     """Streams of impressions (keys, event_id, ts) and actions (keys, event_id, ts) -> each impression with each action up to `within` after it.
 
