@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from placefabric.operators import hybrid
+from placefabric.operators import hybrid, inject
 from placefabric.operators import recommend as r
 from placefabric.operators.vector_index import VectorIndex
 from placefabric.plans.registry import ORACLES, query
@@ -222,6 +222,52 @@ def alg20(spark, sf):
     return out.select(F.col("key").alias("user_id"), F.col("item").alias("place_id"), (F.col("position") + 1).cast("long").alias("pick"))
 
 
+_POOLED = f"""{_VEC}, {_SEED}, {_CENTROID}, n0 AS (SELECT user_id, v.place_id, label, list_cosine_similarity(c, vec) AS sim FROM cent, v WHERE NOT EXISTS (SELECT 1 FROM seed WHERE seed.user_id = cent.user_id AND seed.place_id = v.place_id)),
+pool AS (SELECT user_id, place_id, concat('h', place_id % 3) AS theme, concat('t', label % 4) AS type, place_id % 11 / 10e0 AS axis, (place_id + user_id) % 5 / 4e0 AS overlap, place_id % 10 / 10e0 AS quality, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(sim, 9) DESC, place_id) AS rank FROM n0) WHERE rank <= 40),
+sd AS (SELECT user_id, CASE WHEN user_id % 4 = 0 THEN concat('h', place_id % 3) ELSE 'h0' END AS theme, CASE WHEN user_id % 5 = 0 THEN 't9' ELSE concat('t', place_id % 4) END AS type FROM seed),
+tn AS (SELECT user_id, theme, count(*) AS n FROM sd GROUP BY ALL), tp AS (SELECT *, n / sum(n) OVER (PARTITION BY user_id) AS p FROM tn),
+bal AS (SELECT user_id, arg_min(theme, (-n, theme)) AS dominant, CASE WHEN count(*) > 1 THEN -sum(p * ln(p)) / ln(count(*)) ELSE 0e0 END AS balance FROM tp GROUP BY user_id),
+sa AS (SELECT user_id, type, count(*) AS n FROM sd GROUP BY ALL), pa AS (SELECT user_id, type, count(*) AS n FROM pool GROUP BY ALL), st AS (SELECT user_id, sum(n) AS t FROM sa GROUP BY user_id), pt AS (SELECT user_id, sum(n) AS t FROM pa GROUP BY user_id),
+ty AS (SELECT user_id, type FROM sa UNION SELECT user_id, type FROM pa), tg AS (SELECT ty.user_id, coalesce(pa.n, 0) / pt.t AS q, (coalesce(sa.n, 0) + 5 * coalesce(pa.n, 0) / pt.t) / (st.t + 5) AS p FROM ty JOIN st USING (user_id) JOIN pt USING (user_id) LEFT JOIN sa ON sa.user_id = ty.user_id AND sa.type = ty.type LEFT JOIN pa ON pa.user_id = ty.user_id AND pa.type = ty.type),
+fo AS (SELECT user_id, greatest(0e0, least(1e0, (sum(p * ln(p / (0.99e0 * q + 0.01e0 * p))) - 0.3e0) / 0.9e0)) AS focus FROM tg GROUP BY user_id),
+am AS (SELECT user_id, dominant, balance, focus, CAST(round_even(round(0.1e0 * (1 - balance) * (1 - focus) * 20, 9), 0) AS INTEGER) AS k FROM bal JOIN fo USING (user_id))"""
+
+
+def _pooled(spark, sf):
+    """Forty candidates of each user by centroid, and the user's seeds, with themes and types."""
+    v = _vectors(spark, sf)
+    seed = r.seeds(*_lists(spark, sf), v)
+    pool = r.recommend_by_centroid(seed, v, 40).join(v.select("place_id", "cluster"), "place_id")
+    named = lambda prefix, c: F.concat(F.lit(prefix), F.col(c))
+    pool = pool.withColumns({"t": F.col("cluster") % 4, "h": F.col("place_id") % 3}).select(
+        "user_id", "place_id", "rank", named("h", "h").alias("theme"), named("t", "t").alias("type"), F.array().cast("array<string>").alias("tags"), (F.col("place_id") % 11 / 10).alias("axis"),
+        ((F.col("place_id") + F.col("user_id")) % 5 / 4).alias("overlap"), (F.col("place_id") % 10 / 10).alias("quality"),
+    )
+    seed = seed.withColumns({"t": F.col("place_id") % 4, "h": F.col("place_id") % 3})
+    return pool, seed.select("user_id", F.when(F.col("user_id") % 4 == 0, named("h", "h")).otherwise("h0").alias("theme"), F.when(F.col("user_id") % 5 == 0, "t9").otherwise(named("t", "t")).alias("type"))
+
+
+@query("alg20_injection_amounts", f"WITH {_POOLED} SELECT user_id, dominant, round(balance, 6) AS balance, round(focus, 6) AS focus, k FROM am")
+def alg20_amounts(spark, sf):
+    pool, seeds = _pooled(spark, sf)
+    return inject.amounts(seeds, pool, inject.Injection("auto"), 20).select("user_id", "dominant", F.round("balance", 6).alias("balance"), F.round("focus", 6).alias("focus"), "k")
+
+
+@query(
+    "alg20_injected_lists",
+    f"""WITH {_POOLED}, pk AS (SELECT * FROM (SELECT pool.user_id, place_id, k, row_number() OVER (PARTITION BY pool.user_id ORDER BY round(0.5e0 * axis + 0.5e0 * overlap + 0.15e0 * quality, 9) DESC, place_id) AS j FROM pool JOIN am USING (user_id) WHERE theme <> dominant AND round(0.5e0 * axis + 0.5e0 * overlap, 9) >= 0.45) WHERE j <= k),
+l AS (SELECT user_id, list(place_id ORDER BY rank) AS base FROM pool ANTI JOIN pk ON pk.user_id = pool.user_id AND pk.place_id = pool.place_id WHERE rank <= 20 GROUP BY user_id), q AS (SELECT user_id, list(place_id ORDER BY j) AS picks FROM pk GROUP BY user_id),
+b AS (SELECT l.user_id, base, coalesce(picks, []) AS picks, greatest(2, (len(base) + coalesce(len(picks), 0)) // (coalesce(len(picks), 0) + 1)) AS stride FROM l LEFT JOIN q USING (user_id)),
+one AS (SELECT *, CASE WHEN len(picks) = 0 THEN base ELSE base[1:stride] || [picks[1]] || base[stride + 1:] END AS a FROM b),
+two AS (SELECT user_id, picks, CASE WHEN len(picks) < 2 THEN a ELSE a[1:2 * stride] || [picks[2]] || a[2 * stride + 1:] END AS a FROM one),
+u AS (SELECT user_id, picks, unnest(a) AS place_id, unnest(range(0, len(a))) AS position FROM two)
+SELECT user_id, place_id, CAST(position AS INTEGER) AS position, list_contains(picks, place_id) AS injected FROM u WHERE position < 20""",
+)
+def alg20_lists(spark, sf):
+    pool, seeds = _pooled(spark, sf)
+    return inject.injected(pool.select("user_id", "place_id", (F.col("rank") - 1).alias("position")), seeds, pool, inject.Injection("auto"), 20)
+
+
 @query(
     "alg22_nearest_by_cosine",
     f"WITH {_VEC}, p AS (SELECT a.place_id, b.place_id AS other, list_cosine_similarity(a.vec, b.vec) AS cosine FROM v a, v b WHERE a.place_id <> b.place_id), k AS (SELECT *, row_number() OVER (PARTITION BY place_id ORDER BY round(cosine, 9) DESC, other) AS rank FROM p) SELECT place_id, other, rank, round(cosine, 6) AS cosine FROM k WHERE rank <= 10",
