@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from placefabric.functions import geo as g
 from placefabric.functions import text
 from placefabric.functions.geodesic import geodesic_m
-from placefabric.operators import events, feed, geo, hybrid, ingest, logs, userstate, walk
+from placefabric.operators import events, feed, geo, hybrid, ingest, json_diff, logs, userstate, walk
 from placefabric.operators import recommend as r
 from placefabric.plans.geo_queries import KM, LAT, LNG
 from placefabric.plans.registry import query
@@ -437,3 +437,21 @@ def alg52(spark, sf):
 def alg57(spark, sf):
     cards = spark.createDataFrame([("12",), ("nope",), ("77",)], "source_id string")
     return cards.join(_p(spark, sf).select("source_id", "id"), "source_id", "left")
+
+
+_LEFT = """concat('{"no":', o_orderkey, ',"status":"', o_orderstatus, '","total":', o_orderkey % 7, '.25,"tags":["a","b"],"by":{"clerk":', o_custkey, ',"at":1}}')"""
+_RIGHT = """CASE o_orderkey % 8 WHEN 0 THEN {0} WHEN 1 THEN replace({0}, '"a","b"', '"a","c","d"') WHEN 2 THEN replace({0}, '"status":', '"state":') WHEN 3 THEN replace({0}, '.25,', '.26,')
+WHEN 4 THEN replace({0}, '"at":1', '"at":"1"') WHEN 5 THEN replace({0}, '"at":1', '"at":2') WHEN 6 THEN replace({0}, '["a","b"]', '{{}}') ELSE replace({0}, '.25,', '.75,') END""".format(_LEFT)
+
+
+@query(
+    "jsn3_json_differences",
+    """WITH o AS (SELECT o_orderkey AS id, o_orderkey % 8 AS c, '"' || o_orderstatus || '"' AS s, CAST(o_orderkey % 7 AS VARCHAR) AS t FROM orders)
+SELECT id, '$.tags[1]' AS path, 'value' AS kind, '"b"' AS left, '"c"' AS right FROM o WHERE c = 1 UNION ALL SELECT id, '$.tags[2]', 'extra', NULL, '"d"' FROM o WHERE c = 1
+UNION ALL SELECT id, '$.status', 'missing', s, NULL FROM o WHERE c = 2 UNION ALL SELECT id, '$.state', 'extra', NULL, s FROM o WHERE c = 2
+UNION ALL SELECT id, '$.tags', 'type', '["a","b"]', '{}' FROM o WHERE c = 6 UNION ALL SELECT id, '$.total', 'value', t || '.25', t || '.75' FROM o WHERE c = 7""",
+)
+def jsn3(spark, sf):
+    """Every order against a changed copy; what happened at a time is ignored, and a cent is within the tolerance."""
+    pairs = table(spark, sf, "orders").selectExpr("o_orderkey AS id", f"{_LEFT} AS left", f"{_RIGHT} AS right")
+    return json_diff.json_differences(pairs, ["at"], 0.011)
