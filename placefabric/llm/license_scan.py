@@ -176,7 +176,7 @@ def hints(automata: dict[str, list[tuple[str, Automaton]]]) -> tuple[bytes, ...]
 def license_scan(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, a row for each row.
 
-    Null texts are empty. first_word and last_word are null where no base phrase stands. Score: 0.5 for a base phrase, and
+    Null texts are empty; rows that repeat and null ids are rows like any other; other columns are not read. first_word and last_word are null where no base phrase stands. Score: 0.5 for a base phrase, and
     m / (m + 2) for an accepted template of m mandatory words; the largest counts, 0 if there is none.
     """
 

@@ -1,7 +1,8 @@
 """Secret scanning: three base patterns, and an assignment-aware lexer over source and configuration syntax.
 
 The lexer reads quoted strings, names, numbers and operators. `name = "literal"`, `name: literal`, `"name": "literal"`,
-`name => literal`, `-Dname=literal`, `--name=literal` and `name := literal` give name-literal pairs; `a + b`, adjacent
+`name => literal`, `-Dname=literal`, `--name=literal`, `name := literal`, `map["name"] = "literal"` and
+`<name>literal</name>` give name-literal pairs, strings with a letter before the quote among them; `a + b`, adjacent
 strings and `${a}` or a bare name on the right side are resolved from constants bound before in the same text, on either
 side of a concatenation. A literal is scored by its target's name and by its own look (length, character classes,
 entropy); a pair above the threshold is a span `lexed`, and so is every literal that a constant in it was bound to.
@@ -29,12 +30,12 @@ SENSITIVE = {
     "auth": 0.6, "private": 0.5, "access": 0.3, "client": 0.1, "signing": 0.4, "bearer": 0.9, "salt": 0.5, "session": 0.3,
 }
 THRESHOLD = 1.0
-LONGEST = 1 << 14  # characters of a resolved constant; longer ones are not put into others, whose size could double line by line
 
 # One lexical step: where a name, or a quoted name, is followed by an assigning operator. Everything else is passed over
 # by the regular expression engine; a run without = or : costs nothing more.
-_TARGET = re.compile(r"""(?<![A-Za-z0-9_$.-])(?:-D|--?)?(["']?)([A-Za-z_$][A-Za-z0-9_$.-]*+)\1[\x20\t]*(?::=|=>|=(?!=)|:(?![:/]))[\x20\t]*""")
-_QUOTED = re.compile(r'"((?:[^"\\\n]|\\.)*)"|\'((?:[^\'\\\n]|\\.)*)\'|`((?:[^`\\\n]|\\.)*)`')
+_TARGET = re.compile(r"""(?<![A-Za-z0-9_$.-])(?:-D|--?)?(["']?)([A-Za-z_$][A-Za-z0-9_$.-]*+)\1(?:(?<=["'])\])?[\x20\t]*(?::=|=>|=(?!=)|:(?![:/]))[\x20\t]*""")
+_QUOTED = re.compile(r'(?:[bBfFrRuU]{1,2}(?=["\']))?(?:"((?:[^"\\\n]|\\.)*)"|\'((?:[^\'\\\n]|\\.)*)\'|`((?:[^`\\\n]|\\.)*)`)')
+_ELEMENT = re.compile(r"<([A-Za-z][A-Za-z0-9_.-]*+)>([^<>\s]{6,}+)</\1>")
 _BARE = re.compile(r"[A-Za-z0-9+/_.=~!@#%^*$-]+")
 _NAME = re.compile(r"[A-Za-z_$][A-Za-z0-9_$.]*\Z")
 _IDENTIFIER = re.compile(r"[A-Za-z_$][A-Za-z0-9_$]*+(?:\.[A-Za-z_$][A-Za-z0-9_$]*+)*+(?![\x20\t]*\()")
@@ -63,62 +64,111 @@ def name_weight(name: str) -> float:
 
 def look(value: str) -> float:
     """0..1: how much a literal looks like key material rather than like a word, a path or a placeholder."""
-    n = len(value)
-    if n < 6 or len(set(value)) < 4:
+    return look_of(Counter(value))
+
+
+def look_of(counts: Counter[str]) -> float:
+    """look of a text that has each character so often; the numbers may be of any size."""
+    n = counts.total()
+    if n < 6 or len(counts) < 4:
         return 0.0
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    classes = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    return min(1.0, 0.12 * classes + 0.1 * max(0.0, entropy - 1.5) + 0.01 * min(n, 32))
+    entropy = -sum(c / n * math.log2(c / n) for c in counts.values() if c / n > 0)
+    kinds = {"a" if "a" <= c <= "z" else "A" if "A" <= c <= "Z" else "0" if "0" <= c <= "9" else "." for c in counts}
+    return min(1.0, 0.12 * len(kinds) + 0.1 * max(0.0, entropy - 1.5) + 0.01 * min(n, 32))
+
+
+class Literal:
+    """A resolved right side: its place as written, the constants in it by reference, and how often it has each character.
+
+    Constants are never put together as text, so that one made of others costs what it adds, however long it would be.
+    """
 
+    __slots__ = ("counts", "place", "used")
 
-Bound = dict[str, tuple[str, frozenset[tuple[int, int]]]]
+    def __init__(self, counts: Counter[str], used: list[Literal], place: tuple[int, int] | None = None):
+        self.counts, self.used, self.place = counts, used, place
 
 
-def _operand(text: str, at: int, bound: Bound) -> tuple[str, frozenset, int, int, int] | None:
-    """(value, places of the constants in it, start, end as written, end with the quote) of a string or a bound name."""
+def _merged(parts: list[Literal]) -> Literal:
+    if len(parts) == 1:
+        return Literal(parts[0].counts, parts[0].used)
+    counts: Counter[str] = Counter()
+    for p in parts:
+        counts.update(p.counts)
+    return Literal(counts, [u for p in parts for u in p.used])
+
+
+def _operand(text: str, at: int, bound: dict[str, Literal]) -> tuple[Literal, int, int, int] | None:
+    """(literal, start, end as written, end with the quote) of a string or a bound name."""
     if q := _QUOTED.match(text, at):
-        value = next(g for g in q.groups() if g is not None)
-        used = frozenset().union(*(bound[n][1] for n in _REFERENCE.findall(value) if n in bound))
-        return _REFERENCE.sub(lambda r: bound[r[1]][0] if r[1] in bound else r[0], value), used, q.start() + 1, q.end() - 1, q.end()
+        k = q.lastindex
+        value, parts, done = q[k], [], 0
+        for r in _REFERENCE.finditer(value):
+            if r[1] in bound:
+                parts += [Literal(Counter(value[done : r.start()]), []), Literal(bound[r[1]].counts, [bound[r[1]]])]
+                done = r.end()
+        return _merged([*parts, Literal(Counter(value[done:]), [])]), q.start(k), q.end(k), q.end()
     if (r := _REFERENCE.match(text, at)) and r[1] in bound:
-        return *bound[r[1]], r.start(), r.end(), r.end()
+        return Literal(bound[r[1]].counts, [bound[r[1]]]), r.start(), r.end(), r.end()
     if (n := _IDENTIFIER.match(text, at)) and n[0] in bound:
-        return *bound[n[0]], n.start(), n.end(), n.end()
+        return Literal(bound[n[0]].counts, [bound[n[0]]]), n.start(), n.end(), n.end()
     return None
 
 
-def pairs(text: str) -> Iterator[tuple[str, str, int, int, frozenset[tuple[int, int]]]]:
-    """Name-literal pairs in order of place: name, resolved literal, start, end as written, places of the constants in it."""
+def pairs(text: str) -> Iterator[tuple[str, Literal]]:
+    """Name-literal pairs in order of place, with their resolved literals. An element's text is the literal of its name."""
+    if "</" in text:
+        for m in _ELEMENT.finditer(text):
+            yield m[1], Literal(Counter(m[2]), [], m.span(2))
     if "=" not in text and ":" not in text:
         return
-    bound: Bound = {}
+    bound: dict[str, Literal] = {}
     for m in _TARGET.finditer(text):
         name, at = m[2], m.end()
         b = _BARE.match(text, at)
-        operand, value, parts = _operand(text, at, bound), "", 0
+        operand, parts = _operand(text, at, bound), []
         if operand:
-            used, start = frozenset(), operand[2]
+            start = operand[1]
             while operand:
-                value, used, end, after, parts = value + operand[0], used | operand[1], operand[3], operand[4], parts + 1
+                parts.append(operand[0])
+                end, after = operand[2], operand[3]
                 j = after > end and _JOIN.match(text, after) or _PLUS.match(text, after)  # only strings stand side by side
                 operand = _operand(text, j.end(), bound) if j else None
-        if b and not text.startswith("${", at) and (not parts or end < b.end() and parts == 1):
-            value, used, start, end = b[0], frozenset(), b.start(), b.end()  # a bare literal, not a name alone
-            if _NAME.match(value) and value in bound:
-                value, used = bound[value]
-        elif not parts:
-            if not b:
-                continue
-            value, used, start, end = b[0], frozenset(), b.start(), b.end()
-        bound.pop(name, None)
-        if len(value) <= LONGEST:
-            bound[name] = value, used | {(start, end)}
-        yield name, value, start, end, used
+        quoted = parts and start > at  # what begins with a quote is no bare literal, whatever stands before the quote
+        if b and not quoted and not text.startswith("${", at) and (not parts or end < b.end() and len(parts) == 1):
+            start, end = b.span()  # a bare literal, not a name alone
+            known = bound.get(b[0]) if _NAME.match(b[0]) else None
+            value = Literal(known.counts, [known]) if known else Literal(Counter(b[0]), [])
+        elif parts:
+            value = _merged(parts)
+        elif b:
+            start, end = b.span()
+            value = Literal(Counter(b[0]), [])
+        else:
+            continue
+        value.place = start, end
+        bound[name] = value
+        yield name, value
 
 
 def lexed_spans(text: str) -> list[tuple[str, int, int]]:
-    found = [((start, end), used) for name, value, start, end, used in pairs(text) if (w := name_weight(name)) and w + look(value) >= THRESHOLD + 0.4 and look(value) >= 0.45]
-    return [("lexed", *place) for place in {p for own, used in found for p in (own, *used)}]
+    """The literals of sensitive targets and all that the constants in them were bound to. Every constant is visited once."""
+    seen: set[Literal] = set()
+    places: set[tuple[int, int]] = set()
+    weights: dict[str, float] = {}
+    for name, literal in pairs(text):
+        if name not in weights:
+            weights[name] = name_weight(name)
+        if not weights[name] or (value := look_of(literal.counts)) < 0.45 or weights[name] + value < THRESHOLD + 0.4:
+            continue
+        todo = [literal]
+        while todo:
+            one = todo.pop()
+            if one not in seen:
+                seen.add(one)
+                places.add(one.place)
+                todo += one.used
+    return [("lexed", *place) for place in places]
 
 
 def all_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
@@ -132,7 +182,10 @@ def _said(spans: list[tuple[str, int, int]]) -> str:
 
 
 def secret_spans(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_assign, n_access, n_hex, base_sha256, spans, a row for each row. Null texts are empty."""
+    """docs (doc_id, text) -> doc_id, n_assign, n_access, n_hex, base_sha256, spans, a row for each row.
+
+    Null texts are empty. Rows that repeat and null ids are rows like any other; other columns are not read.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -67,7 +67,10 @@ def _keyed(docs: DataFrame, keep: list[str]) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     size = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
     u = (F.pmod(F.xxhash64("tie", F.lit(SEED)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
-    out = docs.withColumn("size", size).withColumn("tie", F.xxhash64("row", "doc_id", "text", "source"))
+    row = docs.schema["row"].dataType
+    odd = any(x in row.simpleString() for x in ("map<", "variant"))  # which have no hash
+    parts = [F.to_json(F.struct(F.col("row")[f.name])) if any(x in f.dataType.simpleString() for x in ("map<", "variant")) else F.col("row")[f.name] for f in row.fields] if odd else ["row"]
+    out = docs.withColumn("size", size).withColumn("tie", F.xxhash64(*parts, "doc_id", "text", "source"))
     out = out.withColumn("key", -F.log(u) / quality_weight(F.col("size"), text)).drop("text")
     return _ranged(out)
 

@@ -54,3 +54,9 @@ def test_run(spark, sf):
 
 def test_names():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")) == list(range(1, 11))
+
+
+def test_mix_takes_columns_without_a_hash(spark):
+    rows = spark.sql("select id as doc_id, concat('some words ', id) as text, 'en' as lang, 'web' as source, 12L as n_chars, map('k', id, 'j', 1L) as meta, array(map('a', 1)) as more, parse_json('{\"a\":1}') as v from range(6)")
+    out = corpus_pipeline.mix(spark, rows, "")
+    assert out.count() == 6 and {"meta", "more", "v", "taken"} <= set(out.columns)

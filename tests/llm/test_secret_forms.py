@@ -1,5 +1,7 @@
 """Each form of assignment that the secret lexer claims, and what the redaction leaves of it."""
 
+import time
+
 import pytest
 
 from placefabric.llm.secret_scan import lexed_spans, redact
@@ -23,6 +25,13 @@ FORMS = [
     ('p = "Xk39"\nq = p .. "qLm2Zt"\ndb_pwd = "${q}"', ["Xk39", "qLm2Zt"]),
     ("p = Xk39qLm2Zt\ndb_pwd = ${p}", ["Xk39qLm2Zt"]),
     ("p = 'Xk39qLm2Zt'\ndb_pwd = p", ["Xk39qLm2Zt"]),
+    ('cred["pwd"] = "Zx9Qw7rT5k"', ["Zx9Qw7rT5k"]),
+    ("cred['db_pwd']: 'Zx9Qw7rT5k'", ["Zx9Qw7rT5k"]),
+    ('db_pwd = b"Zx9Qw7rT5kL"', ["Zx9Qw7rT5kL"]),
+    ("db_pwd = rb'Zx9Qw7rT5kL'", ["Zx9Qw7rT5kL"]),
+    ('p = "Xk39q"\ndb_pwd = f"${p}Zx9Qw7rT5kL"', ["Xk39q", "Zx9Qw7rT5kL"]),
+    ("<password>Zx9Qw7rT5k</password>", ["Zx9Qw7rT5k"]),
+    ('k = "' + "aB3dE6gH" * 4000 + '"\ndb_pwd = k + "Zx9Q"', ["aB3dE6gH" * 4000, "Zx9Q"]),
     ("a" * 90 + "_pwd = 'Zx9Qw7rT5k'", ["Zx9Qw7rT5k"]),
 ]
 
@@ -53,3 +62,19 @@ def test_base64_is_not_a_sum():
 
 def test_doubling_constants_stay_small():
     assert lexed_spans("a = 'Xy7kLm9Q'\n" + "a = a + a\n" * 200) == []
+
+
+def test_a_secret_of_many_constants_names_each_once():
+    text = "a = 'Xy7kLm9Q'\n" + "a = a + a\n" * 3000 + "db_pwd = a\n" * 2
+    assert len(lexed_spans(text)) == 3003
+
+
+def test_long_code_takes_time_in_proportion():
+    def seconds(lines):
+        text = 'a = ""\n' + 'a = a + ""\n' * lines + "db_pwd = a + 'Zx9Qw7rT5k'\n" * (lines // 10)
+        began = time.process_time()
+        assert len(lexed_spans(text)) > lines
+        return time.process_time() - began
+
+    seconds(100)
+    assert seconds(40_000) < 20 * seconds(4_000)
