@@ -25,6 +25,9 @@ COLUMNS = {
     "fingerprint_classes": "doc_id bigint, class_id bigint, n_links bigint",
     "op8_language_id": "doc_id bigint, held_out boolean, lang_pred string, score double, rejected boolean",
     "op9_license_scan": "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double",
+    "op11_cross_tokenizer_alignment": "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string",
+    "op12_conversation_trie": "conv_id bigint, depth bigint, parent_conv_id bigint, n_convs bigint, n_children bigint, n_leaves bigint, saved_tokens bigint, ends_sha256 string",
+    "op13_chat_formatting": "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint",
     "op10_secret_scan": "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string",
 }
 
@@ -224,7 +227,8 @@ def test_bands_without_a_near_leader_are_split(spark, monkeypatch):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_oracles(spark, sf, name):
     duck = duckdb.connect()
-    duck.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    for table in ("documents", "conversations"):
+        duck.execute(f"create view {table} as select * from '{sf}/{table}.parquet'")
     expected = duck.execute(queries.ORACLES[name])
     columns = [c[0] for c in expected.description]
     rows = Counter(expected.fetchall())

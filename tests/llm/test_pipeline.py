@@ -53,7 +53,7 @@ def test_run(spark, sf):
 
 
 def test_names():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")) == list(range(1, 14))
 
 
 def test_mix_takes_columns_without_a_hash(spark):
