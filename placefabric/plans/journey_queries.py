@@ -132,7 +132,7 @@ def top4(spark, sf):
     b AS (SELECT *, (rt + (ct - 1) / 2e0) / n AS pct, 0.4e0 * (rc + (cc - 1) / 2e0) / n + 0.6e0 * (rt + (ct - 1) / 2e0) / n AS b FROM r),
     o AS (SELECT *, row_number() OVER (PARTITION BY user_id, theme ORDER BY round(b, 9), source_id) AS k, row_number() OVER (PARTITION BY user_id, theme ORDER BY cold) AS j FROM b),
     d AS (SELECT p.user_id, p.id, q.cold AS interest, p.pct FROM o p JOIN o q ON p.user_id = q.user_id AND p.theme = q.theme AND p.k = q.j)
-    SELECT z.user_id, z.source_id, round(coalesce(d.interest, z.cold), 6) AS interest, CASE WHEN warm THEN 'favourites' ELSE 'popularity' END AS mode, round(CASE WHEN is_seed THEN 1e0 ELSE d.pct END, 6) AS taste_pct FROM z LEFT JOIN d USING (user_id, id)""",
+    SELECT z.user_id, z.source_id, round(coalesce(d.interest, z.cold), 6) AS interest, CASE WHEN warm THEN 'favourites' ELSE 'popularity' END AS mode, round(CASE WHEN is_seed THEN 1e0 ELSE d.pct END, 9) AS taste_pct FROM z LEFT JOIN d USING (user_id, id)""",
 )
 def alg35(spark, sf):
     """Interest of every place for every supplier as a user; each fifth user has no seeds."""
@@ -142,7 +142,7 @@ def alg35(spark, sf):
     seeds = users.where("user_id % 5 <> 0").select("user_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("j")).select("user_id", ((F.col("user_id") * 7 + F.col("j") * 13) % 300).cast("string").alias("source_id")).distinct()
     taste = every.where("id % 11 <> user_id % 11").select("user_id", "source_id", ((F.col("id") * 53 + F.col("user_id") * 17) % 997).cast("double").alias("taste"))
     out = walk.interest_map(every.drop("id"), seeds, taste, 0.6)
-    return out.select("user_id", "source_id", F.round("interest", 6).alias("interest"), "mode", F.round("taste_pct", 6).alias("taste_pct"))
+    return out.select("user_id", "source_id", F.round("interest", 6).alias("interest"), "mode", F.round("taste_pct", 9).alias("taste_pct"))
 
 
 @query(
