@@ -291,7 +291,10 @@ def agg25(spark, sf):
     return logs.counter_rate(s, ["event_type"], "ts", "c").where("rate is not null").select("event_id", F.round("rate", 6).alias("rate"))
 
 
-@query("agg25_histogram_quantile")
+@query("agg25_histogram_quantile", """WITH b AS (SELECT event_type, le, count(*) FILTER (value <= le) AS c FROM events, (SELECT unnest([5e0, 10e0, 25e0, 50e0, 100e0, CAST('inf' AS DOUBLE)]) AS le) GROUP BY event_type, le),
+w AS (SELECT *, coalesce(lag(le) OVER k, 0e0) AS lo, coalesce(lag(c) OVER k, 0) AS below, max(c) OVER (PARTITION BY event_type) AS total FROM b WINDOW k AS (PARTITION BY event_type ORDER BY le)),
+h AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY le) AS n FROM w WHERE c >= total * 0.95e0)
+SELECT event_type, CASE WHEN isinf(le) THEN lo ELSE lo + (le - lo) * (total * 0.95e0 - below) / nullif(c - below, 0) END AS quantile FROM h WHERE n = 1""")
 def agg25h(spark, sf):
     b = F.explode(F.array(*[F.lit(float(x)) for x in (5, 10, 25, 50, 100)], F.lit(float("inf")))).alias("le")
     e = table(spark, sf, "events").select("event_type", "value", b).groupBy("event_type", "le").agg(F.count(F.when(F.col("value") <= F.col("le"), 1)).alias("count"))

@@ -148,7 +148,18 @@ def str19(spark, sf):
     return t.select("route_id", "chunk", F.concat(F.lit("https://www.google.com/maps/dir/?api=1&origin="), F.col("at")[0], F.lit("&destination="), F.element_at("at", -1), way, F.lit("&travelmode=walking")).alias("link"))
 
 
-@query("str18_polyline")
+def _polyline_of(d: str) -> str:
+    """The characters of one difference: sign in the lowest bit, five bits at a time from the lowest, 32 for more to come."""
+    return f"list_aggregate(list_transform(list_filter(range(0, 7), lambda i: i = 0 OR (({d}) >> CAST(5 * i AS INTEGER)) > 0), lambda i: chr(CAST((((({d}) >> CAST(5 * i AS INTEGER)) & 31) + CASE WHEN (({d}) >> CAST(5 * i + 5 AS INTEGER)) > 0 THEN 32 ELSE 0 END + 63) AS INTEGER))), 'string_agg', '')"
+
+
+_UNIT = "CAST(sign({0}) * floor(abs({0}) * 100000 + 0.5e0) AS BIGINT)"
+_SIGNED = "CASE WHEN {0} < 0 THEN -2 * {0} - 1 ELSE 2 * {0} END"
+
+
+@query("str18_polyline", P + f""", {_ROUTE}, i AS (SELECT route_id, pos, {_UNIT.format('lat')} AS a, {_UNIT.format('lng')} AS b FROM s),
+d AS (SELECT route_id, pos, a - coalesce(lag(a) OVER w, 0) AS da, b - coalesce(lag(b) OVER w, 0) AS db FROM i WINDOW w AS (PARTITION BY route_id ORDER BY pos)), v AS (SELECT route_id, pos, {_SIGNED.format('da')} AS va, {_SIGNED.format('db')} AS vb FROM d)
+SELECT route_id, string_agg({_polyline_of('va')} || {_polyline_of('vb')}, '' ORDER BY pos) AS line FROM v GROUP BY route_id""")
 def str18(spark, sf):
     """Encoded lines of routes."""
 
