@@ -69,13 +69,11 @@ class Pair:
         import tiktoken
         from sentencepiece import SentencePieceProcessor
         from sentencepiece.sentencepiece_model_pb2 import ModelProto
-        from tokenizers import Tokenizer
 
-        self.overlaps = overlaps
-        self.a = Tokenizer.from_str(a.decode())
-        self.a.encode_special_tokens = True
+        self.overlaps, self.json, self.a = overlaps, a, None
+        settings = json.loads(a)
         letters = _bytes_of_characters()
-        vocabulary = self.a.get_vocab(with_added_tokens=True)
+        vocabulary = settings["model"]["vocab"] | {t["content"]: t["id"] for t in settings.get("added_tokens", [])}
         self.a_bytes = {i: bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode() for t, i in vocabulary.items()}
         self.b = SentencePieceProcessor()
         self.b.LoadFromSerializedProto(b)
@@ -83,7 +81,7 @@ class Pair:
         self.b_bytes = [bytes([int(p.piece[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p.piece) else p.piece.replace("▁", " ").encode() for p in proto.pieces]
         self.a_size = np.array([len(self.a_bytes.get(i, b"")) for i in range(max(self.a_bytes) + 1)], np.int64)
         self.b_size = np.array([len(x) for x in self.b_bytes], np.int64)
-        settings, spec = json.loads(a), proto.normalizer_spec
+        spec = proto.normalizer_spec
         split, model = settings.get("pre_tokenizer") or {}, settings["model"]
         plain = not settings.get("normalizer") and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and all(t["special"] for t in settings.get("added_tokens", []))
         self.cuts = (
@@ -118,6 +116,11 @@ class Pair:
 
     def encode_a(self, texts: list[str]) -> list[list[int]]:
         long_ = [t for t in texts if self.by_rank is None or len(t) > LONG]
+        if long_ and self.a is None:  # it takes a hundred megabytes
+            from tokenizers import Tokenizer
+
+            self.a = Tokenizer.from_str(self.json.decode())
+            self.a.encode_special_tokens = True
         whole = iter(self.a.encode_batch_fast([" " + t for t in long_], add_special_tokens=False) if long_ else [])
         if self.by_rank is None:
             return [e.ids for e in whole]
