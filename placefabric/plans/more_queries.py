@@ -15,7 +15,7 @@ from placefabric.plans.geo_queries import KM, LAT, LNG
 from placefabric.plans.registry import query
 from placefabric.plans.testmap import cte, entity, table
 from placefabric.plans.vector_queries import _CENTROID, _PAIRS, _SEED, _VEC, _lists, _vectors
-from placefabric.sources import vector_tile
+from placefabric.sources import bucketed, scratch, vector_tile
 
 P = cte("places")
 
@@ -257,6 +257,17 @@ def snk6(spark, sf):
     return userstate.upsert(old, c.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id"), F.upper("c_mktsegment").alias("name")), ["id"])
 
 
+@query("snk6_bucketed_merge", "SELECT c_custkey AS id, CASE WHEN c_custkey % 50 = 7 THEN upper(c_mktsegment) ELSE c_name END AS name FROM customer WHERE c_custkey % 50 <> 9 UNION ALL SELECT -c_custkey, c_name FROM customer WHERE c_custkey % 100 = 1")
+def snk6_bucketed(spark, sf):
+    """Changed, deleted and new customers merged into a table on files."""
+    c, named = table(spark, sf, "customer"), lambda id_, name, gone: [id_.alias("id"), name.alias("name"), F.lit(gone).alias("gone")]
+    store = bucketed.BucketedTable(spark, scratch.folder(spark, "customers"), ["id"])
+    store.create(c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")))
+    changes = c.where("c_custkey % 50 = 7").select(named(F.col("c_custkey"), F.upper("c_mktsegment"), False)).unionByName(c.where("c_custkey % 50 = 9").select(named(F.col("c_custkey"), F.col("c_name"), True)))
+    store.merge(changes.unionByName(c.where("c_custkey % 100 = 1").select(named(-F.col("c_custkey"), F.col("c_name"), False))), "gone")
+    return store.read()
+
+
 @query("stm4_late_actions", cte("log").rstrip() + ", v AS (SELECT DISTINCT request_id, place_id FROM log WHERE event_type = 'view' AND server_ts < TIMESTAMP '2024-01-05') SELECT v.request_id, v.place_id, count(*) AS n_late FROM v JOIN log a ON a.request_id = v.request_id AND a.place_id = v.place_id AND a.event_type <> 'view' AND a.server_ts >= TIMESTAMP '2024-01-05' GROUP BY v.request_id, v.place_id")
 def stm4(spark, sf):
     log = entity(spark, sf, "log")
