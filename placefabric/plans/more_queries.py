@@ -302,6 +302,21 @@ def alg13(spark, sf):
     return _p(spark, sf).select("id", *[F.round(c, 6).alias(k) for k, c in hybrid.normalized_of(w, {"text", "tags", "quality"}).items()])
 
 
+@query(
+    "alg13_profile_weights",
+    f"""WITH {_SEED}, m AS (SELECT user_id, user_id % 2 AS profile_id, CASE place_id % 6 WHEN 0 THEN 'Vegan restaurant' WHEN 1 THEN 'Salad shop' WHEN 2 THEN NULL WHEN 3 THEN ' ' ELSE 'Bar' END AS type FROM seed),
+    s AS (SELECT user_id, profile_id, count(*) FILTER (type IN ('Vegan restaurant', 'Salad shop')) / nullif(count(*) FILTER (trim(type) <> ''), 0) >= 0.35e0 AS diet FROM m GROUP BY ALL)
+    SELECT user_id, profile_id, CASE WHEN diet THEN 'diet_niche' END AS weight_group, round(CASE WHEN diet THEN 0.4e0 / 0.97e0 ELSE 0.55e0 END, 9) AS text, 0e0 AS visual, round(CASE WHEN diet THEN 0.38e0 / 0.97e0 ELSE 0e0 END, 9) AS image,
+    round(CASE WHEN diet THEN 0.1e0 / 0.97e0 ELSE 0.2e0 END, 9) AS tags, round(CASE WHEN diet THEN 0.05e0 / 0.97e0 ELSE 0.1e0 END, 9) AS axis, round(CASE WHEN diet THEN 0.04e0 / 0.97e0 ELSE 0.15e0 END, 9) AS quality, 0e0 AS price FROM s""",
+)
+def alg13_profiles(spark, sf):
+    """Weights of each user's profile by the types of its places; prices are switched off."""
+    seed = r.seeds(*_lists(spark, sf), _vectors(spark, sf))
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("Vegan restaurant", "Salad shop", None, " ", "Bar", "Bar")]), (F.col("place_id") % 6 + 1).cast("int"))
+    out = hybrid.profile_weights(seed.select("user_id", (F.col("user_id") % 2).alias("profile_id"), kind.alias("type")), hybrid.WEIGHTS, {"text", "image", "tags", "axis", "quality"})
+    return out.select("user_id", "profile_id", "weight_group", *[F.round(c, 9).alias(c) for c in ("text", "visual", "image", "tags", "axis", "quality", "price")])
+
+
 @query(
     "alg15_profile_quotas",
     P
