@@ -15,6 +15,7 @@ from placefabric.plans.testmap import cte, entity, table
 from placefabric.sources import readers, scratch, sinks
 from placefabric.streaming import intake
 from placefabric.streaming.event_store import EventStore
+from placefabric.streaming.identity import last_told, stitched_stream
 from placefabric.streaming.limits import Rule, keyed_state, limited
 
 P = cte("places")
@@ -284,6 +285,19 @@ def stm4_stream(spark, sf):
     return out.where("impression >= 0").select("impression", "action")
 
 
+@query("stm6_identity_stream", "WITH e AS (SELECT event_id, 'a' || (event_id % 400) AS anon_id, CASE WHEN event_id % 3 = 0 THEN user_id END AS user_id, ts AS server_ts FROM events), l AS (SELECT anon_id, user_id, min(server_ts) AS linked_at FROM e WHERE user_id IS NOT NULL GROUP BY anon_id, user_id), m AS (SELECT anon_id, user_id AS linked FROM (SELECT *, row_number() OVER (PARTITION BY anon_id ORDER BY linked_at DESC, user_id DESC) AS rn FROM l) WHERE rn = 1) SELECT event_id, coalesce(user_id, linked) AS user_id FROM e LEFT JOIN m USING (anon_id)")
+def stm6_stream(spark, sf):
+    """The links of the log by a stream of four deliveries, which are not in the order of time."""
+    e = table(spark, sf, "events").select("event_id", F.concat(F.lit("a"), F.col("event_id") % 400).alias("anon_id"), F.when(F.col("event_id") % 3 == 0, F.col("user_id")).alias("user_id"), F.col("ts").cast("timestamp").alias("server_ts"))
+    path = scratch.folder(spark, "told")
+    for k in (2, 0, 3, 1):
+        e.where(F.floor(F.col("event_id") / 7) % 4 == k).coalesce(1).write.parquet(f"{path}/{k}")
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+    with keyed_state(spark):
+        told = intake.to_end(stitched_stream(stream), scratch.folder(spark, "stitched"))
+    return last_told(told).select(F.col("event_id").cast("long").alias("event_id"), "user_id")
+
+
 @query("stm2_event_store", "SELECT 'e' || event_id AS event_id, CASE WHEN event_id % 3 <> 0 THEN 1 WHEN event_id % 2 = 0 THEN 2 ELSE 3 END AS delivery, event_type FROM events UNION ALL SELECT 'counts', d, a || ' ' || i FROM (SELECT 1 AS d, count(*) FILTER (event_id % 3 <> 0) AS a, count(*) FILTER (event_id % 3 <> 0) AS i FROM events UNION ALL SELECT 2, count(*) FILTER (event_id % 2 = 0), count(*) FILTER (event_id % 6 = 0) FROM events UNION ALL SELECT 3, 2 * count(*), count(*) FILTER (event_id % 6 = 3) FROM events)")
 def stm2_store(spark, sf):
     """Three deliveries over two years into one store: the second resends half of the log after 400 days, the third all of it, twice."""

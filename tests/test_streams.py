@@ -3,8 +3,12 @@
 import datetime as dt
 import random
 
+import pytest
 
+
+from placefabric.operators import events as ev
 from placefabric.streaming import intake
+from placefabric.streaming.identity import last_told, stitched_stream
 from placefabric.streaming.limits import Rule, keyed_state, limited
 
 START = dt.datetime(2024, 1, 1)
@@ -65,3 +69,19 @@ def test_actions_join_over_deliveries(spark, tmp_path):
         hits = {n for n, c, d, u in done if (a, b) == (c, d) and a is not None and t <= u <= t + dt.timedelta(hours=2)}
         want |= {(k, n) for n in hits} or {(k, None)}
     assert got == want and any(n is None for _, n in want)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_identities_equal_the_batch_in_any_order(spark, tmp_path, seed):
+    r = random.Random(seed)
+    schema = "event_id string, anon_id string, user_id long, server_ts timestamp"
+    rows = [(f"e{k}", r.choice(["a", "b", "c", None]), r.choice([None, None, None, 1, 2, 3]), START + dt.timedelta(minutes=r.randrange(300))) for k in range(150)]
+    rows += [(f"x{k}", "quiet", None, START) for k in range(3)]
+    r.shuffle(rows)
+    stream = deliveries(spark, tmp_path / "in", [rows[i::5] for i in range(5)], schema)
+    with keyed_state(spark):
+        told = intake.to_end(stitched_stream(stream), str(tmp_path / "run"))
+    got = {x.event_id: x.user_id for x in last_told(told).collect()}
+    batch = spark.createDataFrame(rows, schema)
+    assert got == {x.event_id: x.user_id for x in ev.stitched(batch, ev.link_identities(batch)).collect()}
+    assert told.count() > len(rows)  # some were told again
