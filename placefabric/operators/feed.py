@@ -17,16 +17,19 @@ def feed_score(country: str | None, distance: Column | None) -> Column:
     return F.coalesce("visibility", F.lit(0.0)) + 0.20 * F.coalesce(F.col("rating") * 20, F.lit(0.0)) + 0.15 * F.coalesce("popularity", F.lit(0.0)) + same + near
 
 
-def fallback_feed(places: DataFrame, city: str | None = None, country: str | None = None, lat: float | None = None, lng: float | None = None, keywords: list[str] | None = None, limit: int | None = None) -> DataFrame:
-    """Best places of a city: ranked on narrow columns, cut, and only the winners joined back to their full rows."""
+def scored_feed(places: DataFrame, city: str | None = None, country: str | None = None, lat: float | None = None, lng: float | None = None, keywords: list[str] | None = None) -> DataFrame:
+    """All places of a city with their feed_score, in no order and without a cut."""
     distance = geo.haversine_km(F.col("lat"), F.col("lng"), lat, lng) if lat is not None and lng is not None else None
-    narrow = places
     if city is not None:
-        narrow = narrow.where(text.norm(F.col("city")) == city.lower())
+        places = places.where(text.norm(F.col("city")) == city.lower())
     if keywords:
-        narrow = narrow.where(category_filter(keywords))
-    score = feed_score(country.lower() if country else None, distance)
-    ranked = narrow.select("id", score.alias("feed_score"), "visibility", "rating", "reviews_count")
+        places = places.where(category_filter(keywords))
+    return places.withColumn("feed_score", feed_score(country.lower() if country else None, distance))
+
+
+def fallback_feed(places: DataFrame, city: str | None = None, country: str | None = None, lat: float | None = None, lng: float | None = None, keywords: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """Best places of a city: ranked on narrow columns, cut, and only the winners joined back to their full rows."""
+    ranked = scored_feed(places, city, country, lat, lng, keywords).select("id", "feed_score", "visibility", "rating", "reviews_count")
     order = [F.desc("feed_score"), F.desc_nulls_last("visibility"), F.desc_nulls_last("rating"), F.desc_nulls_last("reviews_count"), F.asc("id")]
     top = ranked.orderBy(*order).limit(clamp(limit, 50, 200)).select("id", "feed_score")  # 200 rows at most
     return places.join(F.broadcast(top), "id").orderBy(*order)
